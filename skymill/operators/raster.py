@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skymill.functions.camera import camera_center, cols, project, rot
 from skymill.functions.taxonomy import GROUND_LIKE_IDS
 from skymill.operators.confidence import confidence_tier
+from skymill.operators.quantiles import exact_percentiles
 
 MISSION = ["mission_id"]
 
@@ -113,9 +114,10 @@ def unobserved_share(grid: DataFrame) -> DataFrame:
 def ground_reference(points: DataFrame) -> DataFrame:
     """Median height of ground-like points, of all points where there is none."""
     ground = F.when(F.col("class_id").isin(*GROUND_LIKE_IDS), F.col("z"))
-    return points.groupBy(*MISSION).agg(
-        F.coalesce(F.percentile(ground, 0.5), F.percentile(F.col("z"), 0.5)).alias("z_ref")
-    )
+    df = points.select(*MISSION, "z", ground.alias("_g"))
+    on_ground = exact_percentiles(df, MISSION, "_g", {"_zg": 0.5})
+    overall = exact_percentiles(df, MISSION, "z", {"_za": 0.5})
+    return overall.join(on_ground, MISSION, "left").select(*MISSION, F.coalesce("_zg", "_za").alias("z_ref"))
 
 
 # --- pixel stencils -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from skymill.functions import camera, geodesy
 from skymill.operators import telemetry as tm
 from skymill.operators.ordered import previous_row
 from skymill.plans.fixtures import check_sql, load
-from skymill.plans.registry import query, rnd, rounded
+from skymill.plans.registry import query, rnd, rounded, settle
 
 # The test clock squeezes 30 days into 2.6 s; slices this narrow make every session span several chunks.
 TEST_CHUNK_S = 0.4
@@ -63,8 +63,8 @@ _TARGETS = "select session_id, frame_idx as fid, timestamp_s as t from frames"
 )
 def _sync(spark, sf):
     df = tm.sync_telemetry(*[load(spark, sf, n) for n in ("frames", "gps_fixes", "imu", "baro")], chunk_s=TEST_CHUNK_S)
-    fine = df.select("session_id", "frame_idx", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("lat", "lon")],
-                     *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("alt_m", *tm.IMU_VALUES, *tm.BARO_VALUES)])
+    fine = df.select("session_id", "frame_idx", *[settle(c, 9) for c in ("lat", "lon")],
+                     *[settle(c, 6) for c in ("alt_m", *tm.IMU_VALUES, *tm.BARO_VALUES)])
     return fine
 
 
@@ -78,7 +78,7 @@ def _sync(spark, sf):
 )
 def _bounded(spark, sf):
     df = tm.interpolate_fixes(load(spark, sf, "frames"), load(spark, sf, "gps_fixes"), 0.05, TEST_CHUNK_S)
-    return df.select("session_id", "frame_idx", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("lat", 9), ("lon", 9), ("alt_m", 6))])
+    return df.select("session_id", "frame_idx", *[settle(c, d) for c, d in (("lat", 9), ("lon", 9), ("alt_m", 6))])
 
 
 @query(
@@ -175,7 +175,7 @@ def _enu_back(spark, sf):
     gps = load(spark, sf, "gps_fixes")
     df = geodesy.with_enu(gps.join(tm.first_fix_origin(gps), ["session_id"])).drop("lat", "lon", "alt_m")
     df = geodesy.with_wgs84_from_enu(df)
-    return df.select("session_id", "seq", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("lat", 7), ("lon", 7), ("alt_m", 3))])
+    return df.select("session_id", "seq", *[settle(c, d) for c, d in (("lat", 7), ("lon", 7), ("alt_m", 3))])
 
 
 # Spread the fixes over the globe so that every zone and both hemispheres occur.
