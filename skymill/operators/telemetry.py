@@ -250,20 +250,23 @@ def event_stream(imu: DataFrame, frames: DataFrame) -> DataFrame:
         *base, F.lit(0).alias("frame_event"), F.col("seq").cast("long").alias("pos"), F.lit(0).alias("rank"),
         F.lit("IMU").alias("kind"), *IMU_VALUES,
     )
+    # one pass over the frames: each yields its fix, its barometer reading and itself, as far as present
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("e").isNotNull(), F.struct(F.lit(1).alias("rank"), F.lit("GPS").alias("kind"))),
+            F.when(F.col("altitude_m").isNotNull(), F.struct(F.lit(2).alias("rank"), F.lit("BARO").alias("kind"))),
+            F.struct(F.lit(3).alias("rank"), F.lit("FRAME").alias("kind")),
+        )
+    )
     at_frame = frames.select(
-        *base, F.lit(1).alias("frame_event"), F.col("frame_idx").cast("long").alias("pos"), "e", "n", "u", "altitude_m"
+        *base, F.lit(1).alias("frame_event"), F.col("frame_idx").cast("long").alias("pos"), F.explode(kinds).alias("_k"), "e", "n", "u", "altitude_m"
     )
-    gps = at_frame.where(F.col("e").isNotNull()).drop("altitude_m").withColumns({"rank": F.lit(1), "kind": F.lit("GPS")})
-    baro = (
-        at_frame.where(F.col("altitude_m").isNotNull())
-        .drop("e", "n", "u")
-        .withColumns({"rank": F.lit(2), "kind": F.lit("BARO")})
+    fix, baro = F.col("_k.rank") == 1, F.col("_k.rank") == 2
+    at_frame = at_frame.select(
+        *base, "frame_event", "pos", "_k.rank", "_k.kind",
+        *[F.when(fix, F.col(c)).alias(c) for c in ("e", "n", "u")], F.when(baro, F.col("altitude_m")).alias("altitude_m"),
     )
-    marks = at_frame.drop("e", "n", "u", "altitude_m").withColumns({"rank": F.lit(3), "kind": F.lit("FRAME")})
-    out = imu_rows
-    for df in (gps, baro, marks):
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
+    return imu_rows.unionByName(at_frame, allowMissingColumns=True)
 
 
 EVENT_ORDER = ["timestamp_s", "frame_event", "pos", "rank"]

@@ -82,8 +82,8 @@ def _d3(spark, sf):
     return rounded(_weights(spark, sf))
 
 
-_MVS = "select image_id, row, col, depth as mvs_depth, (row + col) % 11 / 10e0 as mvs_conf from depth_maps where (row + col) % 5 <> 0 and image_id in (select s_suppkey from {supplier} where s_acctbal >= 1000)"
-_AI = "select image_id, row, col, depth + 0.25 as ai_depth, (row * 3 + col) % 11 / 10e0 as ai_weight from depth_maps where (row + col) % 7 <> 0"
+_MVS = "select image_id, row, col, depth as mvs_depth, (row + col) % 11 / 10e0 as mvs_conf from depth_maps where depth > 60.25 and image_id in (select s_suppkey from {supplier} where s_acctbal >= 1000)"
+_AI = "select image_id, row, col, depth + 0.25 as ai_depth, (row * 3 + col) % 11 / 10e0 as ai_weight from depth_maps where depth < 61.75"
 
 
 @query("D4_blend_depths", check_sql(
@@ -95,8 +95,8 @@ def _d4(spark, sf):
     d = load(spark, sf, "depth_maps")
     rich = spark.read.parquet(f"{sf}/supplier.parquet").where(F.col("s_acctbal") >= 1000).select(F.col("s_suppkey").alias("image_id"))
     r, c = F.col("row"), F.col("col")
-    mvs = d.where((r + c) % 5 != 0).join(rich, "image_id", "left_semi").select("image_id", "row", "col", F.col("depth").alias("mvs_depth"), ((r + c) % 11 / 10.0).alias("mvs_conf"))
-    ai = d.where((r + c) % 7 != 0).select("image_id", "row", "col", (F.col("depth") + 0.25).alias("ai_depth"), ((r * 3 + c) % 11 / 10.0).alias("ai_weight"))
+    mvs = d.where(F.col("depth") > 60.25).join(rich, "image_id", "left_semi").select("image_id", "row", "col", F.col("depth").alias("mvs_depth"), ((r + c) % 11 / 10.0).alias("mvs_conf"))
+    ai = d.where(F.col("depth") < 61.75).select("image_id", "row", "col", (F.col("depth") + 0.25).alias("ai_depth"), ((r * 3 + c) % 11 / 10.0).alias("ai_weight"))
     return rounded(dp.blend_depths(mvs, ai))
 
 

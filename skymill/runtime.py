@@ -50,6 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def renew(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for joining a table with its own descendants."""
+    return df.select([F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path for a written intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
