@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
-from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skymill.operators.ordered import in_order
 from skymill.runtime import cut, renew
 
 SESSION = ["session_id"]
@@ -202,37 +204,46 @@ def read_state(rec: dict) -> dict | None:
     return None if s["frame_idx"] is None else s | {"frame_idx": int(s["frame_idx"])}
 
 
-def walk(pdf: pd.DataFrame, state: dict | None) -> tuple[list[dict], dict | None]:
-    """Verdicts of a run of frames in order, from a starting state."""
-    out = []
-    for r in pdf.sort_values("frame_idx").to_dict("records"):
-        row = {k: _none(r.get(k)) for k in ("timestamp_s", "e", "n", "u", "speed", "gate")} | {"frame_idx": int(r["frame_idx"])}
-        pair = (0.0, 0.0, 0.0)
-        ids = r["prev_ids"] if r["prev_ids"] is not None else []
-        if state is not None:
-            for i, prev in enumerate(ids):
-                if int(prev) == state["frame_idx"]:
-                    pair = (float(r["overlaps"][i]), float(r["parallaxes"][i]), float(r["motions"][i]))
-                    break
-        state, verdict = step_keyframes(state, row, pair)
-        out.append({"frame_idx": row["frame_idx"]} | verdict)
-    return out, state
-
-
-def _run_chunk(key: tuple[Any, ...], rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-    state = read_state(start.iloc[0].to_dict()) if len(start) else None
-    _, end = walk(rows, state)
-    end = end or dict.fromkeys(_STATE)
-    head = {"session_id": rows["session_id"].iloc[0], "_chunk": rows["_chunk"].iloc[0]}
-    return pd.DataFrame([head | {f"s_{c}": end[c] for c in _STATE}])
-
-
-def _emit_chunk(key: tuple[Any, ...], rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-    state = read_state(start.iloc[0].to_dict()) if len(start) else None
-    out, _ = walk(rows, state)
-    df = pd.DataFrame(out)
-    df.insert(0, "session_id", rows["session_id"].iloc[0])
-    return df
+def walk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, dict | None, dict]]:
+    """(frame record, state after it, verdict) for rows sorted by slice and frame; a slice starts from its ``s_*`` columns."""
+    now, state = None, None
+    for pdf in batches:
+        for r in pdf.to_dict("records"):
+            key = (r["session_id"], r["_chunk"])
+            if key != now:
+                now, state = key, read_state(r)
+            row = {k: _none(r.get(k)) for k in ("timestamp_s", "e", "n", "u", "speed", "gate")} | {"frame_idx": int(r["frame_idx"])}
+            pair = (0.0, 0.0, 0.0)
+            if state is not None and r["prev_ids"] is not None:
+                at = np.flatnonzero(r["prev_ids"] == state["frame_idx"])
+                if len(at):
+                    pair = (float(r["overlaps"][at[0]]), float(r["parallaxes"][at[0]]), float(r["motions"][at[0]]))
+            state, verdict = step_keyframes(state, row, pair)
+            yield r, state, verdict
+
+
+def _end_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["session_id", "_chunk", *_S_COLS]
+    ends: list[list] = []
+    for r, state, _ in walk(batches):
+        s = state or dict.fromkeys(_STATE)
+        row = [r["session_id"], r["_chunk"], *[s[c] for c in _STATE]]
+        if ends and ends[-1][:2] == row[:2]:
+            ends[-1] = row
+        else:
+            ends.append(row)
+    yield pd.DataFrame(ends, columns=names).astype({"s_frame_idx": "Int64"})
+
+
+def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: list[dict] = []
+    for r, _, verdict in walk(batches):
+        out.append({"session_id": r["session_id"], "frame_idx": int(r["frame_idx"])} | verdict)
+        if len(out) >= 5000:
+            yield pd.DataFrame(out)
+            out = []
+    if out:
+        yield pd.DataFrame(out)
 
 
 def keyframe_inputs(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -264,25 +275,23 @@ def select_keyframes(metrics: DataFrame, pairs: DataFrame, chunk_frames: int = 2
     key = {f.name: f.dataType.simpleString() for f in df.schema}["session_id"]
     ck = [*SESSION, "_chunk"]
     state_ddl = "s_frame_idx bigint, s_timestamp_s double, s_e double, s_n double, s_u double"
-    order = df.select(*ck).distinct()
+    order = cut(df.select(*ck).distinct())
     prior = cut(_previous_chunk(order))
     none = [F.lit(None).cast("bigint" if c == "frame_idx" else "double").alias(f"s_{c}") for c in _STATE]
     starts = cut(order.select(*ck, *none))
     todo, ends = order, None
     while True:
-        rows = df.join(todo, ck, "left_semi")
-        new = rows.groupBy(*ck).cogroup(renew(starts.join(todo, ck, "left_semi")).groupBy(*ck)).applyInPandas(
-            _run_chunk, f"session_id {key}, _chunk bigint, {state_ddl}"
-        )
+        rows = df.join(todo, ck, "left_semi").join(starts, ck)
+        new = in_order(rows, ck, ["frame_idx"]).mapInPandas(_end_states, f"session_id {key}, _chunk bigint, {state_ddl}")
         ends = cut(new if ends is None else ends.join(todo, ck, "left_anti").unionByName(new))
         handed = prior.join(ends.withColumnRenamed("_chunk", "_prev"), [*SESSION, "_prev"], "left").select(*ck, *_S_COLS)
         was = starts.select(*ck, F.struct(*_S_COLS).alias("_was"))
-        changed = cut(handed.join(was, ck).where(~F.struct(*_S_COLS).eqNullSafe(F.col("_was"))).select(*ck))
+        changed = cut(renew(handed).join(was, ck).where(~F.struct(*_S_COLS).eqNullSafe(F.col("_was"))).select(*ck))
         starts = cut(handed)
         if changed.isEmpty():
             break
         todo = changed
-    out = df.groupBy(*ck).cogroup(renew(starts).groupBy(*ck)).applyInPandas(_emit_chunk, f"session_id {key}, frame_idx bigint, {_V_COLS}")
+    out = in_order(df.join(starts, ck), ck, ["frame_idx"]).mapInPandas(_verdicts, f"session_id {key}, frame_idx bigint, {_V_COLS}")
     scored = out.join(metrics, FRAME)
     stability = F.col("semantic_stability") if "semantic_stability" in metrics.columns else F.lit(1.0)
     score = composite_score(F.col("sharpness"), F.col("exposure"), F.col("feature_quality"), F.col("parallax"), F.col("baseline_m"), stability)

@@ -23,6 +23,15 @@ def _before(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of one key side by side in order within a task, ready for ``mapInPandas``.
+
+    The partition count is stated so that small but compute-heavy stages are not merged into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
 def row_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, out: str = "idx"
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skymill.functions.camera import R_NAMES, euler_rotation
-from skymill.operators.ordered import CHUNK, previous_row, running_sum
+from skymill.operators.ordered import CHUNK, in_order, previous_row, running_sum
 from skymill.operators.telemetry import EVENT_ORDER, event_stream
 from skymill.runtime import cut
 
@@ -103,23 +103,6 @@ def _advance(el: dict[str, np.ndarray], dt: float, acc: np.ndarray) -> None:
     el["C"] = step @ el["C"] @ step.T + np.diag(process_noise(dt))
 
 
-def _compose(first: dict[str, np.ndarray], then: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    eye = np.eye(2)
-    mid = np.linalg.inv(eye + first["C"] @ then["J"])
-    at = np.swapaxes(first["A"], 1, 2)
-    back = at @ np.linalg.inv(eye + then["J"] @ first["C"])
-    lead = then["A"] @ mid
-    ch = np.einsum("aij,aj->ai", first["C"], then["h"])
-    jb = np.einsum("aij,aj->ai", then["J"], first["b"])
-    return {
-        "A": lead @ first["A"],
-        "b": np.einsum("aij,aj->ai", lead, first["b"] + ch) + then["b"],
-        "C": lead @ first["C"] @ np.swapaxes(then["A"], 1, 2) + then["C"],
-        "h": np.einsum("aij,aj->ai", back, then["h"] - jb) + first["h"],
-        "J": back @ then["J"] @ first["A"] + first["J"],
-    }
-
-
 def _apply(el: dict[str, np.ndarray], m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gain = np.linalg.inv(np.eye(2) + p @ el["J"])
     m1 = np.einsum("aij,aj->ai", gain, m + np.einsum("aij,aj->ai", p, el["h"]))
@@ -153,79 +136,92 @@ def _unpack_state(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([g[0], g[1]], 1), np.stack([np.stack([g[2], g[3]], 1), np.stack([g[3], g[4]], 1)], 1)
 
 
-def _rows(pdf: pd.DataFrame) -> Iterator[tuple[str, float, np.ndarray, np.ndarray, bool]]:
-    pdf = pdf.sort_values(["timestamp_s", "frame_event", "pos", "rank"], kind="stable")
-    acc, z = pdf[["we", "wn", "wu"]].to_numpy(float), pdf[["z_e", "z_n", "z_u"]].to_numpy(float)
-    for i, (kind, dt, first) in enumerate(zip(pdf["kind"], pdf["dt"], pdf["is_first_fix"])):
-        yield kind, dt, acc[i], z[i], bool(first)
-
-
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    el, reset = _identity(), None
-    for kind, dt, acc, z, first in _rows(pdf):
+# Rows arrive sorted by slice and event order, in Arrow batches; a slice may span batches, and a task holds one batch
+# and one running slice, never a group.
+
+
+def _events(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict[str, Any], int]]:
+    """(slice key, the batch's columns as arrays, row index), in order."""
+    for pdf in batches:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        cols["acc"] = pdf[["we", "wn", "wu"]].to_numpy(float)
+        cols["z"] = pdf[["z_e", "z_n", "z_u"]].to_numpy(float)
+        for i, key in enumerate(zip(cols["session_id"], cols["phase"], cols[CHUNK])):
+            yield key, cols, i
+
+
+def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["session_id", "phase", CHUNK, *_ELEMENT, "f_e", "f_n", "f_u"]
+    done: list[list] = []
+    now, el, fix = None, _identity(), [np.nan] * 3
+    for key, cols, i in _events(batches):
+        if key != now:
+            if now is not None:
+                done.append([*now, *_pack(el), *fix])
+                if len(done) >= 2000:
+                    yield pd.DataFrame(done, columns=names)
+                    done = []
+            now, el, fix = key, _identity(), [np.nan] * 3
+        kind = cols["kind"][i]
         if kind == "IMU":
+            dt = cols["dt"][i]
             if dt == dt:
-                _advance(el, dt, acc)
+                _advance(el, dt, cols["acc"][i])
         elif kind == "GPS":
-            if first:
-                reset = z
+            if cols["is_first_fix"][i]:
+                fix = list(cols["z"][i])
             else:
-                _observe(el, slice(0, 3), z, GPS_VARIANCE)
+                _observe(el, slice(0, 3), cols["z"][i], GPS_VARIANCE)
         elif kind == "BARO":
-            _observe(el, slice(2, 3), z[2:3], np.array([BARO_VARIANCE]))
-    head = pdf[["session_id", "phase", CHUNK]].iloc[[0]].reset_index(drop=True)
-    body = pd.DataFrame([_pack(el)], columns=_ELEMENT)
-    fix = pd.DataFrame([reset if reset is not None else [np.nan] * 3], columns=["f_e", "f_n", "f_u"])
-    return pd.concat([head, body, fix], axis=1)
-
-
-def _merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["phase", CHUNK])
-    v = pdf[_ELEMENT].to_numpy(float)
-    el = _unpack(v[0])
-    for row in v[1:]:
-        el = _compose(el, _unpack(row))
-    head = pdf[["session_id", "phase", "_block"]].iloc[[0]].rename(columns={"_block": CHUNK}).reset_index(drop=True)
-    fix = pdf[["f_e", "f_n", "f_u"]].iloc[[-1]].reset_index(drop=True)
-    return pd.concat([head, pd.DataFrame([_pack(el)], columns=_ELEMENT), fix], axis=1)
-
-
-def _fold_states(pdf: pd.DataFrame, start: pd.DataFrame | None) -> pd.DataFrame:
-    pdf = pdf.sort_values(["phase", CHUNK])
-    m, p = start_state() if start is None or start.empty else _unpack_state(start[_STATE].to_numpy(float)[0])
-    out = []
-    elements, fixes = pdf[_ELEMENT].to_numpy(float), pdf[["f_e", "f_n", "f_u"]].to_numpy(float)
-    for v, z in zip(elements, fixes):
-        out.append(_pack_state(m, p))
-        m, p = _apply(_unpack(v), m, p)
-        if not np.isnan(z).any():
-            p = p.copy()
-            place(m, p, z)
-    head = pdf[["session_id", "phase", CHUNK]].reset_index(drop=True)
-    return pd.concat([head, pd.DataFrame(out, columns=_STATE)], axis=1)
-
-
-def _filter(key: tuple[Any, ...], events: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-    m, p = _unpack_state(start[_STATE].to_numpy(float)[0])
-    out, frames = [], []
-    events = events.sort_values(["timestamp_s", "frame_event", "pos", "rank"], kind="stable").reset_index(drop=True)
-    for i, (kind, dt, acc, z, first) in enumerate(_rows(events)):
+            _observe(el, slice(2, 3), cols["z"][i, 2:3], np.array([BARO_VARIANCE]))
+    if now is not None:
+        done.append([*now, *_pack(el), *fix])
+    yield pd.DataFrame(done, columns=names)
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slice summaries in order -> state at the start of every slice."""
+    now, (m, p) = None, start_state()
+    for pdf in batches:
+        elements, fixes = pdf[_ELEMENT].to_numpy(float), pdf[["f_e", "f_n", "f_u"]].to_numpy(float)
+        out = []
+        for session, v, z in zip(pdf["session_id"], elements, fixes):
+            if session != now:
+                now, (m, p) = session, start_state()
+            out.append(_pack_state(m, p))
+            m, p = _apply(_unpack(v), m, p)
+            if not np.isnan(z).any():
+                place(m, p, z)
+        yield pd.concat([pdf[["session_id", "phase", CHUNK]].reset_index(drop=True), pd.DataFrame(out, columns=_STATE)], axis=1)
+
+
+def _filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["session_id", "frame_idx", "timestamp_s", "roll", "pitch", "yaw", *_OUT]
+    out: list[list] = []
+    now, m, p = None, None, None
+    for key, cols, i in _events(batches):
+        if key != now:
+            now = key
+            m, p = _unpack_state(np.array([cols[c][i] for c in _STATE], dtype=float))
+        kind = cols["kind"][i]
         if kind == "IMU":
+            dt = cols["dt"][i]
             if dt == dt:
-                predict(m, p, dt, acc)
+                predict(m, p, dt, cols["acc"][i])
         elif kind == "GPS":
-            if first:
-                place(m, p, z)
+            if cols["is_first_fix"][i]:
+                place(m, p, cols["z"][i])
             else:
-                update(m, p, slice(0, 3), z, GPS_VARIANCE)
+                update(m, p, slice(0, 3), cols["z"][i], GPS_VARIANCE)
         elif kind == "BARO":
-            update(m, p, slice(2, 3), z[2:3], np.array([BARO_VARIANCE]))
+            update(m, p, slice(2, 3), cols["z"][i, 2:3], np.array([BARO_VARIANCE]))
         else:
-            frames.append(i)
-            out.append(np.concatenate([m[:, 0], m[:, 1], p[:, 0, 0]]))
-    kept = events.loc[frames, ["session_id", "pos", "timestamp_s", "roll", "pitch", "yaw"]].reset_index(drop=True)
-    vals = pd.DataFrame(np.array(out).reshape(len(frames), 9), columns=_OUT)
-    return pd.concat([kept.rename(columns={"pos": "frame_idx"}), vals], axis=1)
+            head = [cols[c][i] for c in ("session_id", "pos", "timestamp_s", "roll", "pitch", "yaw")]
+            out.append([*head, *m[:, 0], *m[:, 1], *p[:, 0, 0]])
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+    yield pd.DataFrame(out, columns=names)
 
 
 _OUT = ["e", "n", "u", "ve", "vn", "vu", "var_e", "var_n", "var_u"]
@@ -273,38 +269,11 @@ def prepared_events(imu: DataFrame, frames: DataFrame, chunk_s: float) -> DataFr
     )
 
 
-def _starts(elements: DataFrame, fan: int) -> DataFrame:
-    """State at the start of every slice. Long sessions are folded over blocks of slices first, block by block, so no
-    task ever takes more than ``fan`` summaries of a session twice over."""
-    longest = elements.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    key = {f.name: f.dataType.simpleString() for f in elements.schema}["session_id"]
-    schema = f"session_id {key}, phase int, {CHUNK} bigint, " + ", ".join(f"{c} double" for c in _STATE)
-    if longest is None or longest <= fan:
-        return elements.groupBy(*SESSION).applyInPandas(_fold, schema)
-    blocks = elements.withColumn("_block", F.floor(F.col(CHUNK) / fan).cast("long"))
-    el_schema = f"session_id {key}, phase int, {CHUNK} bigint, " + ", ".join(f"{c} double" for c in (*_ELEMENT, "f_e", "f_n", "f_u"))
-    merged = cut(blocks.groupBy(*SESSION, "phase", "_block").applyInPandas(_merge_block, el_schema))
-    if merged.count() >= elements.count():
-        return elements.groupBy(*SESSION).applyInPandas(_fold, schema)
-    heads = _starts(merged, fan).withColumnRenamed(CHUNK, "_block")
-    keys = [*SESSION, "phase", "_block"]
-    return blocks.groupBy(*keys).cogroup(heads.groupBy(*keys)).applyInPandas(_fold_from, schema)
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _fold_states(pdf, None)
-
-
-def _fold_from(key: tuple[Any, ...], pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-    return _fold_states(pdf, start)
-
-
 def estimate_trajectory(
     imu: DataFrame,
     frames: DataFrame,
     chunk_s: float = 60.0,
     baro_datum: str = "origin",
-    fan: int = 1000,
 ) -> DataFrame:
     """Position, velocity, rotation and position variance at every frame of every session.
 
@@ -321,10 +290,12 @@ def estimate_trajectory(
     key = {f.name: f.dataType.simpleString() for f in events.schema}["session_id"]
     keys = [*SESSION, "phase", CHUNK]
     el_schema = f"session_id {key}, phase int, {CHUNK} bigint, " + ", ".join(f"{c} double" for c in (*_ELEMENT, "f_e", "f_n", "f_u"))
-    elements = cut(events.groupBy(*keys).applyInPandas(_summarise, el_schema))
-    starts = _starts(elements, fan)
+    elements = cut(in_order(events, keys, EVENT_ORDER).mapInPandas(_summarise, el_schema))
+    st_schema = f"session_id {key}, phase int, {CHUNK} bigint, " + ", ".join(f"{c} double" for c in _STATE)
+    # one row per slice is left: folding them streams through a session in order
+    starts = cut(in_order(elements, SESSION, ["phase", CHUNK]).mapInPandas(_fold, st_schema))
     out_schema = f"session_id {key}, frame_idx bigint, timestamp_s double, roll double, pitch double, yaw double, " + ", ".join(f"{c} double" for c in _OUT)
-    states = events.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(_filter, out_schema)
+    states = in_order(events.join(starts, keys), keys, EVENT_ORDER).mapInPandas(_filter, out_schema)
     states = euler_rotation(states, "roll", "pitch", "yaw").select(*SESSION, "frame_idx", "timestamp_s", *_OUT, *R_NAMES)
     zero = {c: F.lit(0.0) for c in ("ve", "vn", "vu")} | {c: F.lit(1.0) for c in ("var_e", "var_n", "var_u")}
     unit = {f"r{i}{j}": F.lit(1.0 if i == j else 0.0) for i in range(3) for j in range(3)}

@@ -129,7 +129,7 @@ def _r5(spark, sf):
 def _q2(spark, sf):
     # one row per mission: numbering the finished catalog in one task is numbering a page list
     w = Window.orderBy(F.col("category") != "MY_MISSIONS", F.col("modified_time").desc(), "mission_id")
-    return _catalog(spark, sf).select("mission_id", F.row_number().over(w).alias("pos"))
+    return _catalog(spark, sf).select("mission_id", F.row_number().over(w).cast("long").alias("pos"))
 
 
 @query("Q5_search_missions", check_sql("select c_custkey as mission_id, c_name as name from {customer} where contains(lower(c_name), '00') order by c_name, c_custkey limit 20 offset 40"))
@@ -327,7 +327,7 @@ def _recording(spark, sf):
 
 
 @query("S3_recording_frames", check_sql(
-    f"select 'rec' as session_id, row_number() over (order by seq) - 1 as frame_idx, {rnd('timestamp_s', 5)} as timestamp_s, lpad(cast(seq as varchar), greatest(5, length(cast(seq as varchar))), '0') || '.jpg' as image_filename from gps_fixes", "gps_fixes"))
+    f"select 'rec' as session_id, row_number() over (order by seq) - 1 as frame_idx, {rnd('round(timestamp_s * 1e6) / 1e6', 5)} as timestamp_s, lpad(cast(seq as varchar), cast(greatest(5, length(cast(seq as varchar))) as int), '0') || '.jpg' as image_filename from gps_fixes", "gps_fixes"))
 def _s3(spark, sf):
     return rounded(_recording(spark, sf)["frames"], 5)
 
@@ -344,7 +344,7 @@ def _s3l(spark, sf):
 
 
 @query("S4_checkpoints", check_sql(
-    f"select 'rec' as session_id, lpad(cast(seq as varchar), greatest(5, length(cast(seq as varchar))), '0') || '.jpg' as image_filename, 1.5::double as utm_x, 2.5::double as utm_y, {rnd('alt_m')} as utm_z from gps_fixes", "gps_fixes"))
+    f"select 'rec' as session_id, lpad(cast(seq as varchar), cast(greatest(5, length(cast(seq as varchar))) as int), '0') || '.jpg' as image_filename, 1.5::double as utm_x, 2.5::double as utm_y, {rnd('alt_m')} as utm_z from gps_fixes", "gps_fixes"))
 def _s4(spark, sf):
     return rounded(_recording(spark, sf)["checkpoints"])
 
