@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skymill.runtime import spread
+
 CHUNK = "_chunk"
 
 
@@ -25,11 +27,8 @@ def _before(keys: Sequence[str]) -> Window:
 
 def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of one key side by side in order within a task, ready for ``mapInPandas``.
-
-    The partition count is stated so that small but compute-heavy stages are not merged into one task.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order)
 
 
 def row_index(

@@ -9,6 +9,7 @@ from skymill.functions.camera import camera_center, cols, project, rot
 from skymill.functions.taxonomy import GROUND_LIKE_IDS
 from skymill.operators.confidence import confidence_tier
 from skymill.operators.quantiles import exact_percentiles
+from skymill.runtime import spread
 
 MISSION = ["mission_id"]
 
@@ -258,7 +259,8 @@ def orthomosaic(
     rows = seen.withColumn(
         "row", F.explode(span((F.col("y_max") - F.col("f_y1")) / gsd, (F.col("y_max") - F.col("f_y0")) / gsd, "n_rows"))
     )
-    cells = rows.withColumn(
+    # a few thousand poses become millions of cells: deal the canvas lines out first
+    cells = spread(rows, "image_id", "row").withColumn(
         "col", F.explode(span((F.col("f_x0") - F.col("x_min")) / gsd, (F.col("f_x1") - F.col("x_min")) / gsd, "n_cols"))
     ).withColumns(
         {"_wx": F.col("x_min") + F.col("col") * gsd, "_wy": F.col("y_max") - F.col("row") * gsd, "_wz": F.col("z_ref")}

@@ -11,7 +11,7 @@ Common ground of everything here:
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 
 from skymill.functions.taxonomy import BUILDING_ID, ELEVATED_CLASS_IDS
 from skymill.operators.quantiles import exact_percentiles
-from skymill.runtime import cut
+from skymill.runtime import cut, spread
 
 MISSION = ["mission_id"]
 G = ["gx", "gy", "gz"]
+K = ["kx", "ky", "kz"]
 XYZ = ["x", "y", "z"]
 BOX = [f"{m}{c}" for m in ("lo_", "hi_") for c in XYZ]
 
@@ -75,31 +76,66 @@ def _neighbour_cells(cells: DataFrame, others: DataFrame, reach: int) -> DataFra
     return out.join(renamed, [*MISSION, "hx", "hy", "hz"])
 
 
-def within_radius(locs: DataFrame, radius: float, need: int) -> DataFrame:
-    """Adds ``dense``: at least ``need`` points (copies and itself included) within ``radius``.
+CROWDED = 512
+
+
+def _coarse(df: DataFrame) -> DataFrame:
+    """Adds the radius-wide cell ``k*`` that holds the half-radius cell ``g*``."""
+    return df.withColumns({k: F.floor(F.col(g) / 2).cast("long") for k, g in zip(K, G)})
+
+
+def _replicated(items: DataFrame) -> DataFrame:
+    """Each item once for every radius-wide cell that may look at it."""
+    keep = [c for c in items.columns if c not in K]
+    out = spread(items, *MISSION, *K).select(*keep, *K, F.explode(_offsets(1)).alias("_o"))
+    return out.select(*keep, *[(F.col(k) + F.col(f"_o.{n}")).alias(k) for k, n in zip(K, "ijk")])
+
+
+def reached(asks: DataFrame, items: DataFrame, radius: float, values: list[str], combine: Callable[[str], Column]) -> DataFrame:
+    """For every asking location, its items within ``radius`` combined: ``mission_id, loc_id`` and one column per value.
 
-    The cell diagonal equals the radius: a cell with enough points settles all of them without a single
-    comparison. Only points of thinner cells look around, and there are fewer than ``need`` of those per cell.
+    Both sides carry ``g*``, the half-radius cell. Items of thinly filled neighbourhoods are compared one by one.
+    In crowded ones their half-radius cells stand in: a cell whose box lies within the radius counts as a whole, one
+    outside is skipped, and only the cells that the sphere cuts are opened. ``combine`` must give the same over cells
+    as over their items (sum, min). Askers per cell are few by construction (see the callers), so the work
+    stays linear in the number of items.
     """
-    side = radius / math.sqrt(3.0) * (1.0 - 1e-9)
-    at = _with_grid(locs, side)
-    cells = at.groupBy(*MISSION, *G).agg(F.sum("w").alias("n"), *_boxes())
-    thin = cells.where(F.col("n") < need)
-    around = _neighbour_cells(thin, cells, 2)
-    looks = at.select(*MISSION, *G, "loc_id", *XYZ).join(around, [*MISSION, *G])
     r2 = radius * radius
-    looks = looks.where(_gap2() <= r2).withColumn("_all", _far2() <= r2)
-    whole = looks.where("_all").select(*MISSION, "loc_id", F.col("n").alias("_c"))
-    other = at.select(*MISSION, *[F.col(g).alias(f"h{g[1]}") for g in G], *[F.col(c).alias(f"o_{c}") for c in XYZ], "w")
-    part = looks.where(~F.col("_all")).select(*MISSION, "loc_id", "hx", "hy", "hz", *XYZ).join(other, [*MISSION, "hx", "hy", "hz"])
-    part = part.where(_dist2("", "o_") <= r2).select(*MISSION, "loc_id", F.col("w").alias("_c"))
-    counts = whole.unionByName(part).groupBy(*MISSION, "loc_id").agg(F.sum("_c").alias("_c"))
-    full = cells.where(F.col("n") >= need).select(*MISSION, *G, F.lit(True).alias("_full"))
+    key = [*MISSION, *K]
+    asks = spread(_coarse(asks).select(*MISSION, *K, "loc_id", *XYZ), *key)
+    items = _coarse(items).select(*MISSION, *K, *G, *[F.col(c).alias(f"o_{c}") for c in XYZ], *values)
+    crowd = cut(items.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*key))
+    some = not crowd.isEmpty()
+    single = items.join(crowd, key, "left_anti") if some else items
+    met = asks.join(spread(_replicated(single.drop(*G)), *key), key).where(_dist2("", "o_") <= r2)
+    out = met.select(*MISSION, "loc_id", *values)
+    if some:
+        dense = items.join(crowd, key, "left_semi")
+        cells = dense.groupBy(*key, *G).agg(
+            *[combine(v).alias(v) for v in values], *[F.min(f"o_{c}").alias(f"lo_{c}") for c in XYZ], *[F.max(f"o_{c}").alias(f"hi_{c}") for c in XYZ]
+        )
+        looks = asks.join(spread(_replicated(cells), *key), key).where(_gap2() <= r2)
+        whole = looks.where(_far2() <= r2).select(*MISSION, "loc_id", *values)
+        opened = looks.where(_far2() > r2).select(*MISSION, *G, "loc_id", *XYZ)
+        part = opened.join(dense.drop(*K), [*MISSION, *G]).where(_dist2("", "o_") <= r2).select(*MISSION, "loc_id", *values)
+        out = out.unionByName(whole).unionByName(part)
+    return out.groupBy(*MISSION, "loc_id").agg(*[combine(v).alias(v) for v in values])
+
+
+def within_radius(locs: DataFrame, radius: float, need: int) -> DataFrame:
+    """Adds ``dense``: at least ``need`` points (copies and itself included) within ``radius``. Keeps the cells ``g*``.
+
+    A half-radius cell has a diagonal below the radius: one with enough points settles all of them without a
+    comparison. Only points of thinner cells ask around, and there are fewer than ``need`` of those per cell.
+    """
+    at = cut(_with_grid(locs, radius / 2.0 * (1.0 + 1e-9)))
+    full = at.groupBy(*MISSION, *G).agg(F.sum("w").alias("_s")).where(F.col("_s") >= need).select(*MISSION, *G, F.lit(True).alias("_full"))
+    at = at.join(full, [*MISSION, *G], "left")
+    counts = reached(at.where(F.col("_full").isNull()), at, radius, ["w"], F.sum).withColumnRenamed("w", "_c")
     return (
-        at.join(full, [*MISSION, *G], "left")
-        .join(counts, [*MISSION, "loc_id"], "left")
+        at.join(counts, [*MISSION, "loc_id"], "left")
         .withColumn("dense", F.coalesce("_full", F.lit(False)) | (F.coalesce("_c", F.lit(0)) >= need))
-        .drop("_full", "_c", *G)
+        .drop("_full", "_c")
     )
 
 
@@ -178,7 +214,7 @@ def nearest(
         own = 0 if include_self else 1
         asks = cut(asks.join(sums, [*MISSION, "_lv", *G]).withColumn("_ready", F.col("_block") - own >= F.col("_k")))
         ready = asks.where("_ready")
-        cand = ready.join(block.select(*MISSION, "_lv", *G, "hx", "hy", "hz"), [*MISSION, "_lv", *G])
+        cand = spread(ready, *MISSION, "loc_id").join(block.select(*MISSION, "_lv", *G, "hx", "hy", "hz"), [*MISSION, "_lv", *G])
         cand = cand.join(tiers.withColumnsRenamed(far), [*MISSION, "_lv", "hx", "hy", "hz"])
         cand = cand.withColumn("dist", F.sqrt(_dist2("", "n_")))
         if not include_self:
@@ -434,29 +470,25 @@ def dbscan(points: DataFrame, eps: float = 3.0, min_points: int = 20) -> DataFra
     """Adds ``cluster_id`` (0-based per mission by smallest core point id, -1 for noise).
 
     A point is core with at least ``min_points`` points within ``eps``, itself included. Core points of one
-    cell (diagonal = eps) always belong together, so the cluster graph has cells as nodes, not points. A border point
+    half-radius cell always belong together, so the cluster graph has cells as nodes, not points. A border point
     joins the lowest adjacent cluster.
     """
-    side = eps / math.sqrt(3.0) * (1.0 - 1e-9)
-    locs = cut(_with_grid(within_radius(locations(points), eps, min_points), side))
+    side = eps / 2.0 * (1.0 + 1e-9)
+    locs = cut(within_radius(locations(points), eps, min_points))
     cores = locs.where("dense")
     cells = cut(cores.groupBy(*MISSION, *G).agg(F.min("loc_id").alias("node"), F.count(F.lit(1)).alias("n"), *_boxes()))
     cores = cores.join(cells.select(*MISSION, *G, "node"), [*MISSION, *G])
     comp = connected_components(cells.select("node"), _touching_cells(cores, cells, side, eps))
-    rooted = cut(cells.join(comp, "node"))
-    core_labels = locs.where("dense").join(rooted.select(*MISSION, *G, "root"), [*MISSION, *G]).select(*MISSION, *XYZ, "root")
-    e2 = eps * eps
-    rim = locs.where(~F.col("dense"))
-    around = _neighbour_cells(rim.select(*MISSION, *G).distinct(), rooted.select(*MISSION, *G, "root", *BOX), 2)
-    looks = rim.select(*MISSION, *G, "loc_id", *XYZ).join(around, [*MISSION, *G]).where(_gap2() <= e2)
-    whole = looks.where(_far2() <= e2).select(*MISSION, *XYZ, "root")
-    other = locs.where("dense").select(*MISSION, *[F.col(g).alias(f"h{g[1]}") for g in G], *[F.col(c).alias(f"o_{c}") for c in XYZ])
-    part = looks.where(_far2() > e2).join(other, [*MISSION, "hx", "hy", "hz"]).where(_dist2("", "o_") <= e2).select(*MISSION, *XYZ, "root")
-    rim_labels = whole.unionByName(part).groupBy(*MISSION, *XYZ).agg(F.min("root").alias("root"))
+    rooted = cut(cells.join(comp, "node").select(*MISSION, *G, "root"))
+    labelled = locs.where("dense").join(rooted, [*MISSION, *G])
+    core_labels = labelled.select(*MISSION, "loc_id", "root")
+    # a border point lies in a cell of fewer than min_points, so borders per cell are few
+    rim_labels = reached(locs.where(~F.col("dense")), labelled, eps, ["root"], F.min)
     ranks = rooted.select(*MISSION, "root").distinct().withColumn(
         "cluster_id", F.row_number().over(Window.partitionBy(*MISSION).orderBy("root")) - 1
     )
     labels = core_labels.unionByName(rim_labels).join(ranks, [*MISSION, "root"]).drop("root")
+    labels = locs.select(*MISSION, *XYZ, "loc_id").join(labels, [*MISSION, "loc_id"]).drop("loc_id")
     return points.join(labels, [*MISSION, *XYZ], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
 

@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    For stages whose rows are few bytes but much work (about to be exploded or compared): the stated number keeps
+    adaptive execution from merging them into one task by size. A following join on the same keys reuses the layout.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def renew(df: DataFrame) -> DataFrame:
     """The same rows under new column identities, for joining a table with its own descendants."""
     return df.select([F.col(f"`{c}`").alias(c) for c in df.columns])
