@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast by hint only when its row count has been measured to be at most this.
-BROADCAST_ROW_LIMIT = 200_000
-
-
 def local_session(cpus: str = "*", app: str = "skymill") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     return (
@@ -67,18 +63,3 @@ def renew(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path for a written intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def through_table(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate once as parquet and hand back the reader (several consumers, one computation)."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast when the side is measured to be small, else leave the join to shuffle.
-
-    The probe stops after ``limit`` + 1 rows, so checking a large side costs no full scan.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
