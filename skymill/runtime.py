@@ -41,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage and drop its lineage, so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and hand back its reader.
+
+    This drops the lineage, so a lost executor loses nothing. A written table also brings its true size to the
+    planner: a checkpointed frame keeps the size guessed for its old plan, and in iterated self-joins that guess
+    squares every round until planning itself takes seconds.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
