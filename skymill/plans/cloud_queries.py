@@ -54,9 +54,9 @@ _FACTORS = """select *, greatest(0, least(1, 1 - reproj_err / 2)) as f1, greates
 
 
 @query("P10_uncertainty", check_sql(
-    """select point_id, round(c, 7) + 0.0 as total_confidence, case when c >= 0.7 then 'HIGH' when c >= 0.4 then 'MEDIUM' when c >= 0.1 then 'LOW' else 'UNOBSERVED' end as tier,
-       round(f1, 7) + 0.0 as reprojection_score, round(f2, 7) + 0.0 as track_length_score, round(f3, 7) + 0.0 as depth_consistency_score,
-       round(f4, 7) + 0.0 as sensor_agreement_score, round(f5, 7) + 0.0 as semantic_confidence_score
+    f"""select point_id, {rnd('c', 7)} as total_confidence, case when c >= 0.7 then 'HIGH' when c >= 0.4 then 'MEDIUM' when c >= 0.1 then 'LOW' else 'UNOBSERVED' end as tier,
+       {rnd('f1', 7)} as reprojection_score, {rnd('f2', 7)} as track_length_score, {rnd('f3', 7)} as depth_consistency_score,
+       {rnd('f4', 7)} as sensor_agreement_score, {rnd('f5', 7)} as semantic_confidence_score
        from (select *, least(1, greatest(0, (0.3::double * f1 + 0.25::double * f2 + coalesce(0.25::double * f3, 0) + coalesce(0.2::double * f4, 0) + coalesce(0.15::double * f5, 0))
          / (0.3::double + 0.25::double + case when f3 is null then 0::double else 0.25::double end + case when f4 is null then 0::double else 0.2::double end + case when f5 is null then 0::double else 0.15::double end))) as c from f)""",
     "scored_points", f=_FACTORS))
