@@ -115,3 +115,10 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     groups = cut(groups.withColumnsRenamed({"level": "_level", "name": "_name"}))
     found = rows.join(groups, (F.col("level") == F.col("_level")) & (F.col("name") == F.col("_name")))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns."""
+    found = exact_duplicates(docs, block)
+    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -8,7 +8,7 @@ expression over the statistics, so scoring is a projection that runs in generate
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,18 +66,15 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, _key`` and the statistics of every row's whole text; null counts as empty."""
-    schema = "doc_id long, _key long, " + ", ".join(f"{s} double" for s in STATISTICS)
+@F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([statistics(t) for t in texts], columns=list(STATISTICS), index=texts.index, dtype="float64")
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = pd.DataFrame([statistics(t) for t in pdf["text"]], columns=list(STATISTICS), dtype="float64")
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            out.insert(1, "_key", pdf["_key"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", row_key().alias("_key"), text_of().alias("text")).mapInPandas(measure, schema)
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, _key`` and the statistics of every row's whole text; null counts as empty."""
+    rows = docs.select("doc_id", row_key().alias("_key"), _measured(text_of()).alias("_s"))
+    return rows.select("doc_id", "_key", *[F.col(f"_s.{s}").alias(s) for s in STATISTICS])
 
 
 def held_out() -> Column:
@@ -139,6 +136,13 @@ def _simplified(conditions: list[tuple[str, str, float]]) -> tuple[tuple[str, st
     return tuple(sorted((name, op, t) for (name, op), t in tight.items()))
 
 
+def labelled(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """``_id, label``: at most ``max_rows`` ids to learn from, one row per id, the first by a hash of the id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("double").alias("label"))
+    return known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+
+
 def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, max_rows: int = MAX_TRAINING_ROWS) -> Ensemble:
     """Fit on the rows of ``stats`` that have a label and are not ``held_out``, at most ``max_rows`` of them.
 
@@ -148,10 +152,7 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, depth: int = DE
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("double").alias("label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = stats.join(known, F.col("doc_id") == F.col("_id")).select("label", *STATISTICS)
+    rows = stats.join(labelled(labels, max_rows), F.col("doc_id") == F.col("_id")).select("label", *STATISTICS)
     training = cut(rows)
     n, good = training.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < good < n:
@@ -185,3 +186,15 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, **optio
     model = fit(stats, labels, **options)
     scored = stats.select("doc_id", "_key", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cutoff, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_rows: int = MAX_TRAINING_ROWS, **options) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts as 1, with their columns, in one pass over the texts.
+
+    Only labelled rows, at most ``max_rows``, are measured for the fit; that bounds what is broadcast.
+    """
+    some = F.broadcast(cut(labelled(labels, max_rows)).select("_id"))
+    model = fit(with_statistics(docs.join(some, F.col("doc_id") == F.col("_id"), "left_semi")), labels, max_rows=max_rows, **options)
+    measured = docs.withColumn("_s", _measured(text_of()))
+    named = measured.select(F.struct(*docs.columns).alias("_doc"), "_s.*")
+    return named.where(model.score() >= cutoff).select("_doc.*")

@@ -22,7 +22,7 @@ from skymill.llm.tables import row_key, text_of
 from skymill.runtime import cut
 
 SAMPLE = 4_096  # fingerprints the shard tree is fitted on
-HOME, VISITS = 8_192, 65_536  # fingerprints of a shard compared in one group: living there, visiting it
+HOME, VISITS = 32_768, 65_536  # fingerprints of a shard compared in one group: living there, visiting it
 LEAF = 512
 CHUNK = 65_536
 
@@ -189,31 +189,46 @@ def link_shard(points: np.ndarray, low: np.ndarray, high: np.ndarray, home: np.n
     return forest.label
 
 
+def size_bins(sizes: pd.Series, ratio: float) -> np.ndarray:
+    """Sizes that differ by no more than ``ratio`` are in one bin or in neighbouring ones; without a ratio all are in one."""
+    if ratio <= 0:
+        return np.zeros(len(sizes), dtype=np.int64)
+    return np.floor(np.log(np.maximum(sizes.to_numpy(), 1)) / -np.log(ratio) + 1e-9).astype(np.int64)
+
+
 def linked(nodes: DataFrame, words: int, radius: int, ratio: float = 0.0) -> DataFrame:
     """Links ``u, v`` whose components are those of all pairs within ``radius``.
 
     ``nodes``: a written table ``node, f0 .., low, high`` of distinct fingerprints. The tree (at most ``SAMPLE``
     points) and one count per shard pass through the driver; a shard with more rows than a group may hold is split
-    by rows on both sides.
+    by rows on both sides. With ``ratio`` shards are cut by size first, and the larger of two sizes is visited.
     """
     columns = [f"f{k}" for k in range(words)]
     total = nodes.count()
     sample = nodes.orderBy(F.xxhash64(*columns)).limit(SAMPLE).select(*columns).toPandas().to_numpy(dtype=np.int64).view(np.uint64)
     shards = max(1, min(-(-total // (HOME // 2)), SAMPLE // 8))
     tree = build_tree(sample, shards) if len(sample) else 0
+    if len(sample) and len(route(tree, sample, radius)[0]) > len(sample) * shards / 2:
+        tree, shards = 0, 1  # the radius is too wide for this space: shards would hold copies of nearly everything
     schema = ", ".join(["shard int", "visits boolean", "node long", *[f"{c} long" for c in columns], "low int", "high int"])
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             points = pdf[columns].to_numpy(dtype=np.int64).view(np.uint64)
-            rows, at = route(tree, points, 0)
+            low, high = size_bins(pdf["low"], ratio), size_bins(pdf["high"], ratio)
+            rows, leaf = route(tree, points, 0)
             home = np.empty(len(pdf), dtype=np.int64)
-            home[rows] = at
-            rows, at = route(tree, points, radius)
-            keep = at > home[rows]  # the other of a pair of shards sees the same pair
-            for r, s, visits in ((np.arange(len(pdf)), home, False), (rows[keep], at[keep], True)):
-                part = pdf.iloc[r]
-                yield part.assign(shard=s, visits=visits)[[c.split()[0] for c in schema.split(", ")]]
+            home[rows] = leaf
+            yield at_shard(pdf, np.arange(len(pdf)), low * shards + home, False)
+            rows, leaf = route(tree, points, radius)
+            keep = leaf > home[rows]  # the other of a pair of shards sees the same pair
+            yield at_shard(pdf, rows[keep], low[rows[keep]] * shards + leaf[keep], True)
+            for up in range(1, int((high - low).max(initial=-1)) + 2 if ratio > 0 else 1):
+                some = rows[low[rows] + up <= high[rows] + 1]
+                yield at_shard(pdf, some, (low[some] + up) * shards + leaf[low[rows] + up <= high[rows] + 1], True)
+
+    def at_shard(pdf: pd.DataFrame, rows: np.ndarray, shard: np.ndarray, visits: bool) -> pd.DataFrame:
+        return pdf.iloc[rows].assign(shard=shard, visits=visits)[[c.split()[0] for c in schema.split(", ")]]
 
     routed = cut(nodes.select("node", *columns, "low", "high").mapInPandas(spread, schema))
     sizes = {r["shard"]: (r["h"], r["n"]) for r in routed.groupBy("shard").agg(F.sum((~F.col("visits")).cast("int")).alias("h"), F.count(F.lit(1)).alias("n")).collect()}
@@ -264,3 +279,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint (16 hex digits), component_id``: 3-word shingles, 64 bits, linked at 3 bits."""
     groups = near_groups(docs)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: int = 24, ratio: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near copies, with their columns.
+
+    A Jaccard similarity of s between the shingle sets makes an expected share acos(2s / (1 + s)) / pi of the bits
+    differ, 15 % for 0.8; texts without common shingles differ in half of 128 bits, give or take 6, so 24 bits tell
+    near copies from others without comparing texts. Texts whose numbers of shingles differ by more than ``ratio``
+    can't be that similar.
+    """
+    groups = near_groups(docs, shingle, bits, radius, ratio)
+    gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

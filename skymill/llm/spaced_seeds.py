@@ -214,3 +214,9 @@ def overlaps(
 def leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id`` of the documents that overlap an item."""
     return overlaps(docs, benchmark, **options).select("doc_id").distinct()
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that overlap no item, with their columns."""
+    gone = cut(leaked(docs, benchmark, **options).withColumnRenamed("doc_id", "_gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
