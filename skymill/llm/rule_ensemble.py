@@ -193,8 +193,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_ro
 
     Only labelled rows, at most ``max_rows``, are measured for the fit; that bounds what is broadcast.
     """
-    some = F.broadcast(cut(labelled(labels, max_rows)).select("_id"))
-    model = fit(with_statistics(docs.join(some, F.col("doc_id") == F.col("_id"), "left_semi")), labels, max_rows=max_rows, **options)
-    measured = docs.withColumn("_s", _measured(text_of()))
-    named = measured.select(F.struct(*docs.columns).alias("_doc"), "_s.*")
-    return named.where(model.score() >= cutoff).select("_doc.*")
+    some = cut(labelled(labels, max_rows))
+    model = fit(with_statistics(docs.join(F.broadcast(some), docs["doc_id"] == some["_id"], "left_semi")), labels, max_rows=max_rows, **options)
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    measured = docs.select(whole.alias("_doc"), _measured(text_of()).alias("_s"))
+    return measured.select("_doc", "_s.*").where(model.score() >= cutoff).select("_doc.*")

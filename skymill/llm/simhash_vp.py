@@ -291,4 +291,4 @@ def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: in
     """
     groups = near_groups(docs, shingle, bits, radius, ratio)
     gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

@@ -219,4 +219,4 @@ def leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with their columns."""
     gone = cut(leaked(docs, benchmark, **options).withColumnRenamed("doc_id", "_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
