@@ -66,9 +66,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
-def _measured(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([statistics(t) for t in texts], columns=list(STATISTICS), index=texts.index, dtype="float64")
+def _measured(text: Column) -> Column:
+    """The statistics as one struct."""
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t) for t in texts], columns=list(STATISTICS), index=texts.index, dtype="float64")
+
+    return measure(text)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
