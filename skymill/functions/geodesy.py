@@ -121,11 +121,9 @@ def with_geodetic(df: DataFrame, x: str, y: str, z: str, out: tuple[str, str, st
             "_g_th", F.atan2(F.lit(1.0 - WGS84_F) * F.sin("_g_lat"), F.cos("_g_lat"))
         )
     df = df.withColumns({"_g_s": F.sin("_g_lat"), "_g_c": F.cos("_g_lat")})
-    n = F.lit(WGS84_A) / F.sqrt(F.lit(1.0) - F.lit(E2) * F.col("_g_s") * F.col("_g_s"))
     height = F.col("_g_p") * F.col("_g_c") + F.col(z) * F.col("_g_s") - F.lit(WGS84_A) * F.sqrt(
         F.lit(1.0) - F.lit(E2) * F.col("_g_s") * F.col("_g_s")
     )
-    del n
     return df.withColumns({out[0]: F.degrees("_g_lat"), out[2]: height}).drop(
         "_g_p", "_g_th", "_g_s", "_g_c", "_g_lat"
     )
@@ -163,10 +161,6 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, F.lit(32600)).otherwise(F.lit(32700)) + utm_zone(lon)
 
 
-def _asinh(x: Column) -> Column:
-    return F.asinh(x)
-
-
 def with_utm(
     df: DataFrame, lat: str, lon: str, epsg: str = "epsg", out: tuple[str, str] = ("utm_x", "utm_y")
 ) -> DataFrame:

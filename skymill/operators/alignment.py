@@ -267,14 +267,16 @@ def adaptive_georeference(pairs: DataFrame, policy: DataFrame, order: list[str],
 
 
 def refine_centers(
-    observations: DataFrame, cameras: DataFrame, gps_weight: float = 1.0, rounds: int = 10
+    observations: DataFrame, cameras: DataFrame, gps_weight: float = 1.0, tolerance_m: float = 1e-7, max_rounds: int = 50
 ) -> DataFrame:
     """Per camera, the centre that balances pixel error against its GPS prior; rotations and points stay.
 
     ``observations``: image_id, u, v, x, y, z. ``cameras``: image_id, rotation, intrinsics, centre ``c0..c2``,
     nullable prior ``g0..g2``. Damped Gauss-Newton: each round is one join of the observations with the
     camera states and one map-side-combined sum of the 3x3 normal equations, so a camera with most of the
-    observations is no bottleneck. A step that raises the cost is undone and the damping grows.
+    observations is no bottleneck. A step that raises the cost is undone and the damping grows. A camera whose next step is shorter
+    than ``tolerance_m`` is settled and takes no part in further rounds; ``converged`` is false for those that were not
+    settled after ``max_rounds``. Cameras without observations stay where they are and count as settled.
     """
     fixed = ["image_id", *R_NAMES, "fx", "fy", "cx", "cy"]
     front = _camera_point(observations.join(cameras.select(*fixed, "c0", "c1", "c2"), "image_id"), "c")
@@ -290,7 +292,8 @@ def refine_centers(
     h_names = ("h00", "h01", "h02", "h11", "h12", "h22")
     kept = [f"k_{h}" for h in h_names] + [f"k_g{i}" for i in range(3)]
     state = state.withColumns({k: F.lit(None).cast("double") for k in kept})
-    for _ in range(rounds + 1):
+    settled = None
+    for _ in range(max_rounds + 1):
         trial = _camera_point(obs.join(state.select(*fixed, "p0", "p1", "p2"), "image_id"), "p")
         z = F.greatest(F.col("_z"), F.lit(1e-3))
         trial = trial.withColumns(
@@ -340,8 +343,15 @@ def refine_centers(
                 "lam": F.when(ok, F.col("lam") / 10.0).otherwise(F.col("lam") * 10.0),
             }
         ).drop(*[f"n_{h}" for h in h_names], *[f"n_g{i}" for i in range(3)], "n_cost", "_ok")
-        state = cut(_damped_step(df))
-    done = state.select("image_id", *[F.col(f"b{i}").alias(f"c{i}") for i in range(3)], "g0", "g1", "g2")
+        moved = cut(_damped_step(df))
+        still = norm3([F.col(f"p{i}") - F.col(f"b{i}") for i in range(3)]) < tolerance_m
+        out = moved.where(still).withColumn("converged", F.lit(True))
+        settled = out if settled is None else settled.unionByName(out)
+        state = moved.where(~still)
+        if state.isEmpty():
+            break
+    settled = settled.unionByName(state.withColumn("converged", F.lit(False)))
+    done = cut(settled.select("image_id", *[F.col(f"b{i}").alias(f"c{i}") for i in range(3)], "g0", "g1", "g2", "converged"))
     err = _camera_point(obs.join(cameras.select(*fixed), "image_id").join(done.select("image_id", "c0", "c1", "c2"), "image_id"), "c")
     z = F.greatest(F.col("_z"), F.lit(1e-3))
     off = F.hypot(F.col("fx") * F.col("_x") / z + F.col("cx") - F.col("u"), F.col("fy") * F.col("_y") / z + F.col("cy") - F.col("v"))

@@ -144,9 +144,9 @@ def single_view_weight(residual: Column) -> Column:
 
 
 def dense_points(
-    depths: DataFrame, weights: DataFrame | None, dynamic: DataFrame | None, cameras: DataFrame, limit: int = 15000
+    depths: DataFrame, weights: DataFrame | None, dynamic: DataFrame | None, cameras: DataFrame
 ) -> DataFrame:
-    """D-5: world points of the accepted pixels of every image, with confidence and source.
+    """D-5: world points of all accepted pixels of every image, with confidence and source; thin out with ``sample_pixels``.
 
     ``weights`` comes from D-3; without it all valid pixels count, at a confidence taken from the depth fit.
     """
@@ -157,7 +157,7 @@ def dense_points(
         px = px.withColumn("confidence", single_view_weight(F.col("fit_residual")))
     if dynamic is not None:
         px = px.join(dynamic.select(*PIXEL), PIXEL, "left_anti")
-    kept = sample_pixels(px, limit).join(cameras.select("image_id", *CAMERA), "image_id")
+    kept = px.join(cameras.select("image_id", *CAMERA), "image_id")
     return unproject(kept, "col", "row", "depth").select(
         *PIXEL, "x", "y", "z", "confidence", F.when(F.col("confidence") >= 0.8, "AI+MVS").otherwise("AI").alias("source")
     )
@@ -173,9 +173,9 @@ def rejected_counts(depths: DataFrame, weights: DataFrame | None, dynamic: DataF
     return ok.groupBy(*IMAGE).agg(F.count_if(~F.coalesce("_ok", F.lit(False))).alias("n_rejected"))
 
 
-def fuse_sequence(relative: DataFrame, pairs: DataFrame, cameras: DataFrame, limit: int = 20000) -> tuple[DataFrame, DataFrame]:
+def fuse_sequence(relative: DataFrame, pairs: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D-6/U2: dense points of all frames and the fit of each frame, in one job over all images."""
     fits = fit_depth(pairs, 8)
     depth = metric_depth(relative, fits, 0.0)
-    px = sample_pixels(depth.where(F.col("depth").isNotNull()), limit).join(cameras.select("image_id", *CAMERA), "image_id")
+    px = depth.where(F.col("depth").isNotNull()).join(cameras.select("image_id", *CAMERA), "image_id")
     return unproject(px, "col", "row", "depth").select(*PIXEL, "x", "y", "z"), fits

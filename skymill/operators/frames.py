@@ -136,7 +136,7 @@ def selection_manifest(report: DataFrame, gaps: DataFrame) -> DataFrame:
     """Selection counts beside the flight-path check, and one summary line."""
     df = report.join(gaps, SESSION, "left")
     line = F.format_string(
-        "%d extracted -> %d kept (%d dropped blur, %d dropped duplicate)", "n_input_frames", "n_kept", "n_dropped_blur", "n_dropped_duplicate"
+        "of %d frames %d stay; %d were blurry, %d near duplicates", "n_input_frames", "n_kept", "n_dropped_blur", "n_dropped_duplicate"
     )
     return df.withColumn("summary", line)
 
@@ -157,7 +157,7 @@ def composite_score(sharpness, exposure, features, parallax, baseline_m, stabili
         + 0.10 * exposure
         + 0.20 * features
         + 0.20 * parallax
-        + 0.15 * F.least(F.lit(1.0), baseline_m / max(MIN_BASELINE_M * 3.0, 1e-3))
+        + 0.15 * F.least(F.lit(1.0), baseline_m / (MIN_BASELINE_M * 3.0))
         + 0.15 * stability
     )
 

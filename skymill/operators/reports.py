@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +13,6 @@ from skymill.operators.raster import elevation_stats, surface_and_terrain, volum
 
 MISSION = ["mission_id"]
 
-# --- fixed values: folder names of scratch runs, left out of the catalog ------------------------
-SCRATCH_PREFIXES = (
-    "test_uav_survey_",
-    "job_flow_test_",
-    "ortho_test",
-    "phase1_synthetic",
-    "phase2_colmap_test",
-    "phase8_viewer_data",
-    "video_pipeline_test",
-    "video_run",
-    "viewer_demo",
-    "benchmarks",
-    "my_image_run",
-    "frames_synthetic",
-)
-# --- end of fixed values ------------------------------------------------------------------------
-
-
 def registration_summary(points: DataFrame, images: DataFrame) -> DataFrame:
     """Registration rate, mean reprojection error, high-confidence share. ``images``: n_input, n_registered."""
     stats = points.groupBy(*MISSION).agg(
@@ -73,16 +57,20 @@ def quality_report(scale: DataFrame, geo: DataFrame, ate: DataFrame, coverage: D
     return df.withColumn("summary_lines", lines)
 
 
-def is_scratch(folder: Column, prefixes: tuple[str, ...] = SCRATCH_PREFIXES) -> Column:
+def is_scratch(folder: Column, prefixes: Sequence[str]) -> Column:
+    """Whether a folder's name starts with one of the prefixes, whatever its case."""
     test = F.lit(False)
     for p in prefixes:
-        test = test | F.lower(folder).startswith(p)
+        test = test | F.lower(folder).startswith(p.lower())
     return test
 
 
-def mission_catalog(missions: DataFrame, reports: DataFrame, buildings: DataFrame, include_scratch: bool = False) -> DataFrame:
-    """Every mission with category, status, report fields and building count, own missions first, newest first."""
-    df = missions if include_scratch else missions.where(~is_scratch(F.col("folder")))
+def mission_catalog(missions: DataFrame, reports: DataFrame, buildings: DataFrame, scratch_prefixes: Sequence[str] = ()) -> DataFrame:
+    """Every mission with category, status, report fields and building count, own missions first, newest first.
+
+    No mission is left out: ``is_scratch`` marks those whose folder starts with one of the caller's ``scratch_prefixes``.
+    """
+    df = missions.withColumn("is_scratch", is_scratch(F.col("folder"), scratch_prefixes))
     demo = F.coalesce("is_demo", F.lit(False)) | F.lower("folder").contains("demo")
     df = df.withColumns(
         {

@@ -16,6 +16,20 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
 
 
+def _crossed(lines: DataFrame, a: tuple[str, str], b: tuple[Column, Column], size: float) -> DataFrame:
+    """One row per square ground cell ``_gx, _gy`` that the segment from ``a`` to ``b`` touches: column by column of cells,
+    only the rows between the heights at which the segment enters and leaves that column."""
+    dx, dy = b[0] - F.col(a[0]), b[1] - F.col(a[1])
+    lines = lines.withColumns({"_dx": dx, "_dy": dy, "_ex": b[0], "_ey": b[1]})
+    lines = lines.withColumn("_gx", F.explode(_cells(F.least(a[0], "_ex") - 1e-9, F.greatest(a[0], "_ex") + 1e-9, size)))
+    at = [F.col(a[1]) + (x - F.col(a[0])) * F.try_divide(F.col("_dy"), F.col("_dx")) for x in (F.col("_gx") * size, (F.col("_gx") + 1) * size)]
+    low, high = F.least(a[1], "_ey"), F.greatest(a[1], "_ey")
+    steep = F.abs("_dx") < 1e-9
+    y0 = F.when(steep, low).otherwise(F.greatest(low, F.least(high, F.least(*at))))
+    y1 = F.when(steep, high).otherwise(F.least(high, F.greatest(low, F.greatest(*at))))
+    return lines.withColumn("_gy", F.explode(_cells(y0 - 1e-9, y1 + 1e-9, size))).drop("_dx", "_dy", "_ex", "_ey")
+
+
 def slab_entry(origin: list[Column], direction: list[Column], box: list[tuple[Column, Column]]) -> Column:
     """Distance at which a ray enters an axis-aligned box, NULL on a miss.
 
@@ -41,9 +55,10 @@ def visible_points(
     max_range_m: float,
     box_cell_m: float = 25.0,
 ) -> DataFrame:
-    """Every point with ``visible``: some camera within range, in front, inside the cone and unobstructed.
+    """Every point with ``visible``: some camera of its mission within range, in front, inside the cone and unobstructed.
 
-    ``points``: point_id, x, y, z, nx, ny, nz. ``cameras``: cam_id, cx, cy, cz, dx, dy, dz. ``boxes``: box_id, x0..z1.
+    ``points``: mission_id, point_id, x, y, z, nx, ny, nz. ``cameras``: mission_id, cam_id, cx, cy, cz, dx, dy, dz. ``boxes``:
+    mission_id, box_id, x0..z1. Local frames of different missions overlap, so nothing meets across missions.
     Points meet cameras through cells as wide as the range, sight lines meet boxes through ground cells they cross;
     both are equi-joins with the exact test as residual.
     """
@@ -54,7 +69,7 @@ def visible_points(
     at = points.withColumns(
         {"_gx": F.floor(F.col("x") / size).cast("long"), "_gy": F.floor(F.col("y") / size).cast("long")}
     )
-    seen = at.join(cam, ["_gx", "_gy"]).drop("_gx", "_gy")
+    seen = at.join(cam, ["mission_id", "_gx", "_gy"]).drop("_gx", "_gy")
     to = [F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("cz") - F.col("z")]
     seen = seen.withColumn("_len", F.greatest(norm3(to), F.lit(1e-9)))
     seen = seen.withColumns({f"_u{i}": to[i] / F.col("_len") for i in range(3)})
@@ -66,6 +81,7 @@ def visible_points(
     )
     eps = 1e-3
     seen = seen.select(
+        "mission_id",
         "point_id",
         "cam_id",
         *[(F.col(c) + F.col(f"n{c}") * eps).alias(f"_o{i}") for i, c in enumerate("xyz")],
@@ -75,17 +91,16 @@ def visible_points(
         (F.col("_len") - eps).alias("_seg"),
     )
     ends = [F.col(f"_o{i}") + F.col(f"_u{i}") * F.col("_seg") for i in range(2)]
-    lines = seen.withColumn(
-        "_gx", F.explode(_cells(F.least("_o0", ends[0]), F.greatest("_o0", ends[0]), box_cell_m))
-    ).withColumn("_gy", F.explode(_cells(F.least("_o1", ends[1]), F.greatest("_o1", ends[1]), box_cell_m)))
+    lines = _crossed(seen, ("_o0", "_o1"), (ends[0], ends[1]), box_cell_m)
     solid = boxes.withColumn("_gx", F.explode(_cells(F.col("x0"), F.col("x1"), box_cell_m))).withColumn(
         "_gy", F.explode(_cells(F.col("y0"), F.col("y1"), box_cell_m))
     )
     hit = slab_entry(cols("_o0", "_o1", "_o2"), cols("_u0", "_u1", "_u2"), [(F.col(f"{c}0"), F.col(f"{c}1")) for c in "xyz"])
-    hidden = lines.join(solid, ["_gx", "_gy"]).where(hit < F.col("_seg") - 1e-2).select("point_id", "cam_id")
-    clear = seen.select("point_id", "cam_id").join(hidden, ["point_id", "cam_id"], "left_anti")
-    shown = clear.select("point_id").distinct().withColumn("_v", F.lit(True))
-    return points.join(shown, "point_id", "left").withColumn("visible", F.coalesce("_v", F.lit(False))).drop("_v")
+    sight = ["mission_id", "point_id", "cam_id"]
+    hidden = lines.join(solid, ["mission_id", "_gx", "_gy"]).where(hit < F.col("_seg") - 1e-2).select(*sight)
+    clear = seen.select(*sight).join(hidden, sight, "left_anti")
+    shown = clear.select("mission_id", "point_id").distinct().withColumn("_v", F.lit(True))
+    return points.join(shown, ["mission_id", "point_id"], "left").withColumn("visible", F.coalesce("_v", F.lit(False))).drop("_v")
 
 
 def coverage_by_label(visible: DataFrame, label: str = "label") -> DataFrame:

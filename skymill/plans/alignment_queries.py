@@ -215,7 +215,7 @@ def _g6(spark, sf):
     true = poses.withColumns({"tx": F.col("tx") - 1.0, "ty": F.col("ty") - 1.0, "tz": F.col("tz") + 0.5})
     seen = cam.project(obs.join(true, "image_id"), ("x", "y", "z"), 1e-6)
     seen = seen.select("image_id", F.col("pu").alias("u"), F.col("pv").alias("v"), "x", "y", "z")
-    return rounded(al.refine_centers(seen, cams, gps_weight=1.0, rounds=6), 4)
+    return rounded(al.refine_centers(seen, cams, gps_weight=1.0), 4)
 
 
 # --- accuracy -----------------------------------------------------------------------------------

@@ -55,9 +55,10 @@ def _cams(spark, sf):
 
 _MOVE = """select d.image_id, d.row, d.col, n.other_id, d.depth as p2, 32 * ((d.col - 16) / 32.0::double * d.depth - a.tx + b.tx) / d.depth + 16 as u, 32 * ((d.row - 16) / 32.0::double * d.depth - 0.3 * a.ty + 0.3 * b.ty) / d.depth + 16 as v
   from depth_maps d join poses a using (image_id) join nb n using (image_id) join poses b on b.image_id = n.other_id"""
-_SAMP = """select m.*, (a.depth * (1 - fu) + b.depth * fu) * (1 - fv) + (c.depth * (1 - fu) + d.depth * fu) * fv as s from (select *, u - floor(u) as fu, v - floor(v) as fv, cast(floor(u) as bigint) as iu, cast(floor(v) as bigint) as iv, u >= 0 and u < 31 and v >= 0 and v < 31 as inside from mv) m
-  left join depth_maps a on inside and a.image_id = other_id and a.row = iv and a.col = iu left join depth_maps b on inside and b.image_id = other_id and b.row = iv and b.col = iu + 1
-  left join depth_maps c on inside and c.image_id = other_id and c.row = iv + 1 and c.col = iu left join depth_maps d on inside and d.image_id = other_id and d.row = iv + 1 and d.col = iu + 1"""
+_SAMP = """select m.*, (a.depth * (1 - fu) + b.depth * fu) * (1 - fv) + (c.depth * (1 - fu) + d.depth * fu) * fv as s from (
+    select *, u - floor(u) as fu, v - floor(v) as fv, case when u >= 0 and u < 31 and v >= 0 and v < 31 then cast(floor(u) as bigint) end as iu, cast(floor(v) as bigint) as iv from mv) m
+  left join depth_maps a on a.image_id = m.other_id and a.row = m.iv and a.col = m.iu left join depth_maps b on b.image_id = m.other_id and b.row = m.iv and b.col = m.iu + 1
+  left join depth_maps c on c.image_id = m.other_id and c.row = m.iv + 1 and c.col = m.iu left join depth_maps d on d.image_id = m.other_id and d.row = m.iv + 1 and d.col = m.iu + 1"""
 _PAIR = "select image_id, row, col, other_id, case when s > 1e-3 then abs(p2 - s) / s else 1 end as rel_error, coalesce(s > 1e-3 and abs(p2 - s) / s <= 0.02, false) as is_consistent from sp"
 _CONF = """select image_id, row, col, nc as n_consistent, nc >= 1 as is_consistent, least(1, greatest(0, sc / k)) as weight from (select image_id, row, col, count(*) filter (is_consistent) as nc, sum(case when is_consistent then exp(-(rel_error * rel_error) / (2 * 0.03 * 0.03::double)) else 0 end) as sc from pr group by 1, 2, 3)
   join (select image_id, count(*) as k from nb group by 1) using (image_id)"""
@@ -89,8 +90,9 @@ _AI = "select image_id, row, col, depth + 0.25 as ai_depth, (row * 3 + col) % 11
 @query("D4_blend_depths", check_sql(
     f"""select image_id, row, col, {rnd("case when has then case when wm + wa > 1e-4 then (wm * coalesce(mvs_depth, 0) + wa * coalesce(ai_depth, 0)) / (wm + wa) end when ai_weight > 0.3 then ai_depth end")} as depth
         from (select *, least(1, greatest(0, coalesce(ai_weight, 0) * (1 - wm))) as wa from (select coalesce(m.image_id, a.image_id) as image_id, coalesce(m.row, a.row) as row, coalesce(m.col, a.col) as col, mvs_depth, ai_depth, ai_weight,
-          least(1, greatest(0, coalesce(mvs_conf, 0))) as wm, coalesce(m.image_id, a.image_id) in (select image_id from mvs) as has from mvs m full join ai a on a.image_id = m.image_id and a.row = m.row and a.col = m.col))""",
-    "depth_maps", mvs=_MVS, ai=_AI))
+          least(1, greatest(0, coalesce(mvs_conf, 0))) as wm, h.image_id is not null as has from mvs m full join ai a on a.image_id = m.image_id and a.row = m.row and a.col = m.col
+          left join hs h on h.image_id = coalesce(m.image_id, a.image_id)))""",
+    "depth_maps", mvs=_MVS, ai=_AI, hs="select distinct image_id from mvs"))
 def _d4(spark, sf):
     d = load(spark, sf, "depth_maps")
     rich = spark.read.parquet(f"{sf}/supplier.parquet").where(F.col("s_acctbal") >= 1000).select(F.col("s_suppkey").alias("image_id"))
@@ -117,11 +119,10 @@ def _dyn(spark, sf):
 
 @query("D5_dense_points", check_sql(
     f"""select image_id, row, col, {rnd('(col - 16) / 32.0::double * depth - tx', 5)} as x, {rnd('-((row - 16) / 32.0::double * depth - 0.3 * ty)', 5)} as y, {rnd('tz - depth', 5)} as z, {rnd('weight')} as confidence, case when weight >= 0.8 then 'AI+MVS' else 'AI' end as source
-        from (select d.*, c.weight from depth_maps d join cf c using (image_id, row, col) where c.is_consistent and not exists (select 1 from dy where dy.image_id = d.image_id and dy.row = d.row and dy.col = d.col)
-          qualify row_number() over (partition by image_id order by {_RANK}, row, col) <= 300) join poses using (image_id)""", "depth_maps", "poses", **_CX, dy=_DYN))
+        from (select d.*, c.weight from depth_maps d join cf c using (image_id, row, col) where c.is_consistent and not exists (select 1 from dy where dy.image_id = d.image_id and dy.row = d.row and dy.col = d.col)) join poses using (image_id)""", "depth_maps", "poses", **_CX, dy=_DYN))
 def _d5(spark, sf):
     d = load(spark, sf, "depth_maps")
-    out = dp.dense_points(d, _weights(spark, sf), _dyn(spark, sf), _cams(spark, sf), 300)
+    out = dp.dense_points(d, _weights(spark, sf), _dyn(spark, sf), _cams(spark, sf))
     return out.select("image_id", "row", "col", settle("x", 5), settle("y", 5), settle("z", 5), settle("confidence", 6), "source")
 
 
@@ -134,8 +135,8 @@ def _d5r(spark, sf):
 
 @query("D6_fuse_sequence", check_sql(
     f"""select image_id, row, col, {rnd('(col - 16) / 32.0::double * dd - tx', 5)} as x, {rnd('-((row - 16) / 32.0::double * dd - 0.3 * ty)', 5)} as y, {rnd('tz - dd', 5)} as z
-        from (select r.*, scale_a * rel + shift_b as dd from r join ft using (image_id) where scale_a * rel + shift_b > 0 qualify row_number() over (partition by image_id order by {_RANK}, row, col) <= 400) join poses using (image_id)""",
+        from (select r.*, scale_a * rel + shift_b as dd from r join ft using (image_id) where scale_a * rel + shift_b > 0) join poses using (image_id)""",
     "depth_pairs", "depth_maps", "poses", ft=_FIT.replace(">= 6", ">= 8"), r=_REL))
 def _d6(spark, sf):
-    pts, _ = dp.fuse_sequence(_rel(spark, sf), load(spark, sf, "depth_pairs"), _cams(spark, sf), 400)
+    pts, _ = dp.fuse_sequence(_rel(spark, sf), load(spark, sf, "depth_pairs"), _cams(spark, sf))
     return rounded(pts, 5)

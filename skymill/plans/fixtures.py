@@ -17,7 +17,11 @@ def _emb(i: int) -> str:
     return "{E:%d}" % i
 
 
-_HASH_BITS = "\n + ".join(f"(case when {_emb(i + 1)} > 0 then {2**i} else 0 end)" for i in range(16))
+# 64 sign bits of every fourth vector; the three after it repeat them with one bit changed each
+_HASH_BITS = "\n + ".join(
+    f"(case when ({_emb(i + 1)} > 0) <> (fid % 4 > 0 and fid % 61 = {i}) then {2**i if i < 63 else '(-9223372036854775807 - 1)'} else 0 end)"
+    for i in range(64)
+)
 
 FIXTURES: dict[str, str] = {
     "frames": """
@@ -115,10 +119,10 @@ FIXTURES: dict[str, str] = {
                cast((a.i * a.i + 3 * b.i + 17 * s.s_suppkey) % 256 as int) as gray
         from {supplier} s, {SEQ:64:a}, {SEQ:64:b}""",
     "frame_hashes": f"""
-        select vec_id % 3 as session_id, vec_id as frame_idx,
+        select cast(floor(fid / 4e0) as bigint) % 3 as session_id, fid as frame_idx,
                cast({_HASH_BITS} as bigint) as phash,
                60e0 + abs({_emb(20)}) * 600e0 as blur_score
-        from {{embeddings}}""",
+        from (select f.vec_id as fid, b.embedding from {{embeddings}} f join {{embeddings}} b on b.vec_id = f.vec_id - f.vec_id % 4) as paired""",
     "boxes": """
         select n_nationkey as box_id, (n_nationkey % 5) * 20e0 + 6e0 as x0, (n_nationkey % 5) * 20e0 + 14e0 as x1,
                cast(floor(n_nationkey / 5e0) as bigint) * 20e0 + 6e0 as y0,

@@ -110,17 +110,16 @@ def _catalog(spark, sf):
     sup = _supplier(spark, sf).groupBy(F.col("s_nationkey").alias("mission_id")).agg(F.count(F.lit(1)).alias("building_count"))
     frames = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.col("c_nationkey").alias("mission_id")).agg(F.count(F.lit(1)).alias("total_frames"))
     reports = frames.join(m.where("has_report").select("mission_id"), "mission_id", "left_semi")
-    return rp.mission_catalog(m.drop("has_report"), reports, sup)
+    return rp.mission_catalog(m.drop("has_report"), reports, sup, ("ortho_test",))
 
 
-_CAT = """select m.mission_id, m.folder, coalesce(m.name, upper(m.folder[1]) || replace(m.folder[2:], '_', ' ')) as raw_name, m.name as given, coalesce(m.is_demo, false) or contains(m.folder, 'demo') as is_demo,
+_CAT = """select m.mission_id, m.folder, coalesce(m.name, upper(m.folder[1]) || replace(m.folder[2:], '_', ' ')) as raw_name, m.name as given, coalesce(m.is_demo, false) or contains(m.folder, 'demo') as is_demo, starts_with(m.folder, 'ortho_test') as is_scratch,
    case when coalesce(m.is_demo, false) or contains(m.folder, 'demo') then 'DEMO_MISSIONS' else 'MY_MISSIONS' end as category, m.modified_time,
    case when m.has_report and c.n is not null then 'COMPLETED' else coalesce(m.status, 'IN_PROGRESS') end as status, case when m.has_report then c.n end as total_frames, coalesce(b.n, 0) as building_count
-   from mi m left join (select c_nationkey as k, count(*) as n from customer group by 1) c on c.k = m.mission_id left join (select s_nationkey as k, count(*) as n from supplier group by 1) b on b.k = m.mission_id
-   where not starts_with(m.folder, 'ortho_test')"""
+   from mi m left join (select c_nationkey as k, count(*) as n from customer group by 1) c on c.k = m.mission_id left join (select s_nationkey as k, count(*) as n from supplier group by 1) b on b.k = m.mission_id"""
 
 
-@query("R5_mission_catalog", check_sql("select mission_id, folder, is_demo, category, modified_time, status, total_frames, building_count from ct", "missions", mi=_MIS, ct=_CAT))
+@query("R5_mission_catalog", check_sql("select mission_id, folder, is_demo, is_scratch, category, modified_time, status, total_frames, building_count from ct", "missions", mi=_MIS, ct=_CAT))
 def _r5(spark, sf):
     return _catalog(spark, sf).drop("name")
 

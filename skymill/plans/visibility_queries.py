@@ -8,10 +8,11 @@ from skymill.operators import visibility as vs
 from skymill.plans.fixtures import check_sql, load
 from skymill.plans.registry import query, rnd, rounded
 
-_CAMS = "select image_id as cam_id, -tx as cx, ty as cy, 40e0 as cz, 0.6e0 as dx, 0e0 as dy, -0.8e0 as dz from poses"
-_PTS = "select point_id, x, y, z, case when class_id = 0 then -1e0 else 0e0 end as nx, 0e0 as ny, case when class_id = 0 then 0e0 else 1e0 end as nz, class_id from points_small"
-_RAYS = """select p.point_id, c.cam_id, p.x + p.nx * 1e-3 as ox, p.y + p.ny * 1e-3 as oy, p.z + p.nz * 1e-3 as oz, (c.cx - p.x) / l as ux, (c.cy - p.y) / l as uy, (c.cz - p.z) / l as uz, l - 1e-3 as seg
-  from pts p, cams c, lateral (select sqrt(pow(c.cx - p.x, 2) + pow(c.cy - p.y, 2) + pow(c.cz - p.z, 2)) as l) d
+_CAMS = "select image_id % 3 as mission_id, image_id as cam_id, -tx as cx, ty as cy, 40e0 as cz, 0.6e0 as dx, 0e0 as dy, -0.8e0 as dz from poses"
+_BOX = "select box_id % 3 as mission_id, box_id, x0, x1, y0, y1, z0, z1 from boxes"
+_PTS = "select mission_id, point_id, x, y, z, case when class_id = 0 then -1e0 else 0e0 end as nx, 0e0 as ny, case when class_id = 0 then 0e0 else 1e0 end as nz, class_id from points_small"
+_RAYS = """select p.mission_id, p.point_id, c.cam_id, p.x + p.nx * 1e-3 as ox, p.y + p.ny * 1e-3 as oy, p.z + p.nz * 1e-3 as oz, (c.cx - p.x) / l as ux, (c.cy - p.y) / l as uy, (c.cz - p.z) / l as uz, l - 1e-3 as seg
+  from pts p join cams c on c.mission_id = p.mission_id, lateral (select sqrt(pow(c.cx - p.x, 2) + pow(c.cy - p.y, 2) + pow(c.cz - p.z, 2)) as l) d
   where l <= 45 and (p.nx * (c.cx - p.x) + p.ny * (c.cy - p.y) + p.nz * (c.cz - p.z)) / l > 0.05
     and -(c.dx * (c.cx - p.x) + c.dy * (c.cy - p.y) + c.dz * (c.cz - p.z)) / l >= cos(35 * pi() / 180)"""
 
@@ -25,26 +26,27 @@ def _slab(a: str) -> tuple[str, str]:
 
 _E = ", ".join(_slab(a)[0] for a in "xyz")
 _L = ", ".join(_slab(a)[1] for a in "xyz")
-_HID = f"select distinct r.point_id, r.cam_id from rays r, boxes b where least({_L}) >= greatest({_E}) and least({_L}) > 1e-6 and greatest({_E}) < r.seg - 1e-2"
-_VIS = "select p.point_id, p.class_id, exists (select 1 from rays r where r.point_id = p.point_id and not exists (select 1 from hid h where h.point_id = r.point_id and h.cam_id = r.cam_id)) as visible from pts p"
+_HID = f"select distinct r.mission_id, r.point_id, r.cam_id from rays r join bx b on b.mission_id = r.mission_id where least({_L}) >= greatest({_E}) and least({_L}) > 1e-6 and greatest({_E}) < r.seg - 1e-2"
+_VIS = "select p.mission_id, p.point_id, p.class_id, exists (select 1 from rays r where r.mission_id = p.mission_id and r.point_id = p.point_id and not exists (select 1 from hid h where h.mission_id = r.mission_id and h.point_id = r.point_id and h.cam_id = r.cam_id)) as visible from pts p"
 
 
 def _visible(spark, sf):
     p = load(spark, sf, "points_small")
     wall = F.col("class_id") == 0
-    pts = p.select("point_id", "x", "y", "z", F.when(wall, -1.0).otherwise(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.when(wall, 0.0).otherwise(1.0).alias("nz"), "class_id")
-    cams = load(spark, sf, "poses").select(F.col("image_id").alias("cam_id"), (-F.col("tx")).alias("cx"), F.col("ty").alias("cy"), F.lit(40.0).alias("cz"),
+    pts = p.select("mission_id", "point_id", "x", "y", "z", F.when(wall, -1.0).otherwise(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.when(wall, 0.0).otherwise(1.0).alias("nz"), "class_id")
+    cams = load(spark, sf, "poses").select((F.col("image_id") % 3).alias("mission_id"), F.col("image_id").alias("cam_id"), (-F.col("tx")).alias("cx"), F.col("ty").alias("cy"), F.lit(40.0).alias("cz"),
                                            F.lit(0.6).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-0.8).alias("dz"))
-    return vs.visible_points(pts, cams, load(spark, sf, "boxes"), 35.0, 45.0, 10.0)
+    boxes = load(spark, sf, "boxes").withColumn("mission_id", F.col("box_id") % 3)
+    return vs.visible_points(pts, cams, boxes, 35.0, 45.0, 10.0)
 
 
 _VN = ("points_small", "poses", "boxes")
-_VX = {"pts": _PTS, "cams": _CAMS, "rays": _RAYS, "hid": _HID, "vis": _VIS}
+_VX = {"pts": _PTS, "cams": _CAMS, "bx": _BOX, "rays": _RAYS, "hid": _HID, "vis": _VIS}
 
 
-@query("J9_visibility", check_sql("select point_id, visible from vis", *_VN, **_VX))
+@query("J9_visibility", check_sql("select mission_id, point_id, visible from vis", *_VN, **_VX))
 def _j9(spark, sf):
-    return _visible(spark, sf).select("point_id", "visible")
+    return _visible(spark, sf).select("mission_id", "point_id", "visible")
 
 
 @query("A8_coverage_by_label", check_sql(f"select class_id as label, {rnd('100.0 * count(case when visible then 1 end) / count(*)', 5)} as coverage_pct, count(*) as n_points from vis group by rollup (class_id)", *_VN, **_VX))

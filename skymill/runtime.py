@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,10 @@ def local_session(cpus: str = "*", app: str = "skymill") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode a fresh one where that is unset.
+
+    A cluster must name its folder: a path made up here would be a different disk on every executor.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(current)
     return current

@@ -24,7 +24,9 @@ def tolerant_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataF
     With ``ordered`` a ``_order`` struct keeps the position in the files.
     """
     df = spark.read.csv(path, header=True)
-    names = [c for c in df.columns if c.strip() and not c.strip().startswith("_c")]
+    first = spark.read.csv(path).first() or ()
+    nameless = {f"_c{i}" for i, cell in enumerate(first) if not (cell or "").strip()}  # the reader's names for empty header cells
+    names = [c for c in df.columns if c.strip() and c not in nameless]
     cols = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in names]
     if ordered:
         place = F.struct(
