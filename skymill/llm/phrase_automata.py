@@ -194,13 +194,24 @@ def confirmed(docs: DataFrame, window: int = 35, phrase: int = PHRASE) -> DataFr
     cold = found.where(F.col("mask").isNotNull()).select("doc_id", "_key", "first", "mask")
     if found.where(F.col("mask").isNull()).isEmpty():
         return cold
+    return cold.unionByName(_counted_by_sums(found.where(F.col("mask").isNull())))
+
+
+def _counted_by_sums(rows: DataFrame) -> DataFrame:
+    """Masks of rows of anchors that too many documents share to be compared in memory.
+
+    Places with the same anchor and the same windows are one row with a count first, so a passage that a third of the
+    documents share is a few rows; its windows are then counted, and the places find their mask again.
+    """
+    kinds = cut(rows.groupBy("h", "hashes").agg(F.count(F.lit(1)).alias("n")))
     steps = F.sequence(F.lit(0), (F.octet_length("hashes") / HASH_BYTES - 1).cast("int"))
     each = F.transform(steps, lambda i: F.struct(i.alias("i"), F.substring("hashes", i * HASH_BYTES + 1, F.lit(HASH_BYTES)).alias("w")))
-    spots = found.where(F.col("mask").isNull()).select("doc_id", "_key", "first", "h", F.explode(each).alias("_w")).select("doc_id", "_key", "first", "h", "_w.i", "_w.w")
-    often = cut(spots.groupBy(F.col("h").alias("_h"), F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    kept = spots.join(often, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
-    one = F.expr("shiftleft(1L, i)")
-    return cold.unionByName(kept.select("doc_id", "_key", "first", one.alias("mask")))
+    windows = kinds.select("h", "hashes", "n", F.explode(each).alias("_e")).select("h", "hashes", "n", "_e.i", "_e.w")
+    often = cut(windows.groupBy(F.col("h").alias("_h"), F.col("w").alias("_w")).agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n"))
+    again = windows.join(often, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
+    masks = cut(again.groupBy(F.col("h").alias("_h"), F.col("hashes").alias("_hashes")).agg(F.sum(F.expr("shiftleft(1L, i)")).alias("_mask")))
+    placed = rows.join(masks, (F.col("h") == F.col("_h")) & (F.col("hashes") == F.col("_hashes")))
+    return placed.select("doc_id", "_key", "first", F.col("_mask").alias("mask"))
 
 
 def covered(marks: list[tuple[int, int]], n_words: int, window: int) -> np.ndarray:
