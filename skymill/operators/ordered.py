@@ -103,7 +103,9 @@ def interpolate_at(
     samples = {}
     for name, (df, values) in sensors.items():
         packed = F.struct(*[F.col(v).cast("double").alias(v) for v in values])
-        best = F.max_by(packed, F.col("seq")) if "seq" in df.columns else F.first(packed)
+        if "seq" not in df.columns:
+            raise ValueError(f"the {name} log needs seq, its line order, to settle repeated times")
+        best = F.max_by(packed, F.col("seq"))
         samples[name] = (
             df.groupBy(*keys, t).agg(best.alias("_v")).select(*keys, t, F.struct(F.col(t).alias("t"), "_v").alias(f"s_{name}"))
         )

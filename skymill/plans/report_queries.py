@@ -313,8 +313,9 @@ def _recording(spark, sf):
     gps, imu, baro = (us(load(spark, sf, n)) for n in ("gps_fixes", "imu", "baro"))
     stale = gps.withColumns({"us": F.lit(0), "lat": F.lit(0.0)})
     # two rows per image id in one file: the stale one comes first, the later one must win
-    both = stale.withColumn("o", F.lit(0)).unionByName(gps.withColumn("o", F.lit(1))).repartition(4, "seq").sortWithinPartitions("seq", "o")
+    both = stale.withColumn("o", F.lit(0)).unionByName(gps.withColumn("o", F.lit(1))).orderBy("seq", "o")
     _untidy(both, {"us": "Timpstemp", "seq": " imgid", "lat": " lat", "lon": " lon", "alt_m": " alt"}, f"{folder}/OnboardGPS.csv")
+    imu = imu.orderBy("seq")
     _untidy(imu, {"us": "Timpstemp", "ax": " x", "ay": " y", "az": " z"}, f"{folder}/RawAccel.csv")
     _untidy(imu, {"us": "Timpstemp", "gx": " x", "gy": " y", "gz": " z"}, f"{folder}/RawGyro.csv")
     _untidy(baro, {"us": "Timpstemp", "pressure_hpa": " Pressure", "altitude_m": " Altitude"}, f"{folder}/BarometricPressure.csv")
@@ -342,6 +343,23 @@ def _s3l(spark, sf):
     return rounded(out, 3)
 
 
+_IN_ORDER = "(select 'rec' as session_id, seq, round(timestamp_s * 1e6) / 1e6 as timestamp_s from {log})"
+_STEPS = """select count(*) as n, bool_or(d <= 0) as bad, max(d) as mx, avg(d) as av from (select timestamp_s - lag(timestamp_s) over (order by seq) as d from {log})"""
+
+
+@query("S3_integrity", check_sql(
+    f"""select 'rec' as session_id, issue, {rnd('value', 5)} as value from (select unnest([
+          case when g.bad then {{'issue': 'frames_not_increasing', 'value': null::double}} end, case when g.bad then {{'issue': 'gps_not_increasing', 'value': null::double}} end,
+          case when g.mx > 0.5 then {{'issue': 'gps_gap', 'value': g.mx}} end,
+          case when i.n >= 2 and (case when i.av > 0 then 1 / i.av else 0 end) < 20 then {{'issue': 'imu_rate_low', 'value': case when i.av > 0 then 1 / i.av else 0 end}} end], recursive := true) from g, i) where issue is not null""",
+    "gps_fixes", "imu", g=_STEPS.replace("{log}", _IN_ORDER.replace("{log}", "gps_fixes")), i=_STEPS.replace("{log}", _IN_ORDER.replace("{log}", "imu"))))
+def _s3i(spark, sf):
+    rec = _recording(spark, sf)
+    sessions = spark.range(1).select(F.lit("rec").alias("session_id"), F.lit("REAL").alias("provenance"))
+    frames = rec["frames"].withColumn("seq", F.col("frame_idx"))
+    return rounded(tm.validate_integrity(sessions, frames, rec["gps_fixes"], rec["imu"], max_gap_s=0.5, chunk=1000.0), 5)
+
+
 @query("S4_checkpoints", check_sql(
     f"select 'rec' as session_id, lpad(cast(seq as varchar), cast(greatest(5, length(cast(seq as varchar))) as int), '0') || '.jpg' as image_filename, 1.5::double as utm_x, 2.5::double as utm_y, {rnd('alt_m')} as utm_z from gps_fixes", "gps_fixes"))
 def _s4(spark, sf):
@@ -353,7 +371,7 @@ def _s5(spark, sf):
     path = scratch_path(spark, "imu")
     line = F.concat_ws("  ", *[F.col(c).cast("string") for c in ("timestamp_s", "gx", "gy", "gz", "ax", "ay", "az")])
     load(spark, sf, "imu").select(F.explode(F.array(F.lit("# t wx wy wz ax ay az"), F.concat(F.lit(" "), line), F.lit(""))).alias("value")).write.text(path)
-    return logs.imu_list(spark, path)
+    return logs.imu_list(spark, path).drop("seq")
 
 
 @query("S5_image_list", check_sql("select frame_idx as id, timestamp_s, image_filename from frames", "frames"))
@@ -361,7 +379,7 @@ def _s5i(spark, sf):
     path = scratch_path(spark, "images")
     line = F.concat_ws(" ", F.col("frame_idx").cast("string"), F.col("timestamp_s").cast("string"), "image_filename")
     load(spark, sf, "frames").select(F.explode(F.array(F.lit("# id t name"), line)).alias("value")).write.text(path)
-    return logs.image_list(spark, path)
+    return logs.image_list(spark, path).drop("seq")
 
 
 @query("S6_session_documents", check_sql(

@@ -18,11 +18,13 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def numbered(lines: DataFrame, out: str = "line_no") -> DataFrame:
-    """0-based line numbers per file, counted over splits: no file has to fit one task."""
+def numbered(lines: DataFrame, out: str = "line_no", per_file: bool = True) -> DataFrame:
+    """0-based line numbers per file, or over all files in order of their paths, counted over splits: no file has to fit
+    one task; only one row per split is summed up."""
     local = lines.withColumn("_rn", F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_row")))
     sizes = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = Window.partitionBy("_path").orderBy("_block") if per_file else Window.orderBy("_path", "_block")
+    before = files.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*SPLIT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return local.join(offsets, SPLIT).withColumn(out, F.col("_off") + F.col("_rn") - 1).drop("_off", "_rn", "_row", "_block")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skymill.operators.ordered import row_index
 from skymill.operators.telemetry import gyro_onto_accel
-from skymill.sources.lines import data_lines
+from skymill.sources.lines import data_lines, numbered
 
 MICROS = 1e6
 
@@ -21,7 +21,7 @@ def flight_log(spark: SparkSession, path: str) -> DataFrame:
 def tolerant_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """Header names trimmed, all-blank rows dropped, nameless trailing columns ignored, everything as trimmed text.
 
-    With ``ordered`` a ``_order`` struct keeps the position in the files.
+    With ``ordered`` a column ``_order`` numbers the lines, over several files in order of their names.
     """
     df = spark.read.csv(path, header=True)
     first = spark.read.csv(path).first() or ()
@@ -29,10 +29,9 @@ def tolerant_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataF
     names = [c for c in df.columns if c.strip() and c not in nameless]
     cols = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in names]
     if ordered:
-        place = F.struct(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-        )
-        cols.append(place.alias("_order"))
+        df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+        df = numbered(df, "_order", per_file=False)
+        cols.append(F.col("_order"))
     return df.select(*cols).dropna("all", subset=[c.strip() for c in names])
 
 
@@ -44,13 +43,14 @@ def multi_log_session(spark: SparkSession, folder: str, images: DataFrame, sessi
     """One recording made of separate CSV logs.
 
     ``images`` lists ``image_filename`` whose stem is the image id. The last GPS row of an image id wins, images
-    without GPS are left out, gyro is brought onto accelerometer times, checkpoints keep only retained frames.
+    without GPS are left out, gyro is brought onto accelerometer times, checkpoints keep only retained frames. ``seq`` of
+    each log is its line order; of repeated gyro times the last line counts.
     """
     sid = F.lit(session_id).alias("session_id")
     gps_rows = tolerant_csv(spark, f"{folder}/OnboardGPS.csv", ordered=True)
-    last = gps_rows.groupBy(F.col("imgid").cast("long").alias("imgid")).agg(F.max_by(F.struct("Timpstemp", "lat", "lon", "alt"), "_order").alias("_r"))
+    last = gps_rows.groupBy(F.col("imgid").cast("long").alias("imgid")).agg(F.max_by(F.struct("Timpstemp", "lat", "lon", "alt", "_order"), "_order").alias("_r"))
     gps = last.select(
-        sid, "imgid", (F.col("_r.Timpstemp").cast("double") / MICROS).alias("timestamp_s"),
+        sid, "imgid", F.col("_r._order").alias("seq"), (F.col("_r.Timpstemp").cast("double") / MICROS).alias("timestamp_s"),
         F.col("_r.lat").cast("double").alias("lat"), F.col("_r.lon").cast("double").alias("lon"), F.col("_r.alt").cast("double").alias("alt_m"),
     )
     listed = images.select("image_filename", F.regexp_extract("image_filename", r"(\d+)\.[^.]+$", 1).cast("long").alias("imgid"))
@@ -58,12 +58,12 @@ def multi_log_session(spark: SparkSession, folder: str, images: DataFrame, sessi
     # image ids are dense counters, so a slice of ids holds a bounded number of frames
     frames = row_index(frames, ["session_id"], ["imgid"], 100_000.0, "frame_idx")
     accel, gyro = (
-        tolerant_csv(spark, f"{folder}/{name}.csv").select(sid, _seconds("Timpstemp").alias("timestamp_s"), *[F.col(a).cast("double").alias(f"{p}{a}") for a in "xyz"])
+        tolerant_csv(spark, f"{folder}/{name}.csv", ordered=True).select(sid, F.col("_order").alias("seq"), _seconds("Timpstemp").alias("timestamp_s"), *[F.col(a).cast("double").alias(f"{p}{a}") for a in "xyz"])
         for name, p in (("RawAccel", "a"), ("RawGyro", "g"))
     )
     imu = gyro_onto_accel(accel, gyro, chunk_s)
-    baro = tolerant_csv(spark, f"{folder}/BarometricPressure.csv").select(
-        sid, _seconds("Timpstemp").alias("timestamp_s"), F.col("Pressure").cast("double").alias("pressure_hpa"), F.col("Altitude").cast("double").alias("altitude_m")
+    baro = tolerant_csv(spark, f"{folder}/BarometricPressure.csv", ordered=True).select(
+        sid, F.col("_order").alias("seq"), _seconds("Timpstemp").alias("timestamp_s"), F.col("Pressure").cast("double").alias("pressure_hpa"), F.col("Altitude").cast("double").alias("altitude_m")
     )
     truth = tolerant_csv(spark, f"{folder}/GroundTruthAGL.csv").withColumn("imgid", F.col("imgid").cast("double").cast("long"))
     checkpoints = truth.join(frames.select("imgid"), "imgid", "left_semi").select(
@@ -80,16 +80,17 @@ def multi_log_session(spark: SparkSession, folder: str, images: DataFrame, sessi
 
 
 def image_list(spark: SparkSession, path: str) -> DataFrame:
-    """``id timestamp name`` lines."""
+    """``id timestamp name`` lines; ``seq`` is their order."""
     p = F.col("parts")
-    return data_lines(spark, path).select(p[0].cast("long").alias("id"), p[1].cast("double").alias("timestamp_s"), p[2].alias("image_filename"))
+    return numbered(data_lines(spark, path), "seq", per_file=False).select("seq", p[0].cast("long").alias("id"), p[1].cast("double").alias("timestamp_s"), p[2].alias("image_filename"))
 
 
 def imu_list(spark: SparkSession, path: str) -> DataFrame:
-    """``timestamp wx wy wz ax ay az`` lines."""
+    """``timestamp wx wy wz ax ay az`` lines; ``seq`` is their order."""
     p = F.col("parts")
     names = ("timestamp_s", "gx", "gy", "gz", "ax", "ay", "az")
-    return data_lines(spark, path).select(*[p[i].cast("double").alias(n) for i, n in enumerate(names)])
+    lines = numbered(data_lines(spark, path), "seq", per_file=False)
+    return lines.select("seq", *[p[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def probe_fixes(table: DataFrame) -> DataFrame:
@@ -115,11 +116,11 @@ SESSION_SCHEMA = """session_id string, provenance string, crs_epsg int, origin_l
 
 
 def read_sessions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Session documents (one JSON object per line) into flat tables."""
+    """Session documents (one JSON object per line) into flat tables; ``seq`` is a row's place in its log."""
     docs = spark.read.schema(SESSION_SCHEMA).json(path)
 
     def rows(field: str) -> DataFrame:
-        return docs.select("session_id", F.explode(field).alias("_x"))
+        return docs.select("session_id", F.posexplode(field).alias("_at", "_x")).withColumn("seq", F.col("_at").cast("long"))
 
     def xyz(field: str, p: str) -> list[Column]:
         return [F.get(F.col(f"_x.{field}"), F.lit(i)).alias(f"{p}{a}") for i, a in enumerate("xyz")]
@@ -128,9 +129,9 @@ def read_sessions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "sessions": docs.select("session_id", "provenance", F.coalesce("crs_epsg", F.lit(4326)).alias("crs_epsg"), o[0].alias("origin_lat"), o[1].alias("origin_lon"), o[2].alias("origin_alt")),
         "frames": rows("frames").select("session_id", "_x.frame_idx", F.col("_x.timestamp").alias("timestamp_s"), "_x.image_filename"),
-        "gps_fixes": rows("gps_fixes").select("session_id", F.col("_x.timestamp").alias("timestamp_s"), F.col("_x.latitude").alias("lat"), F.col("_x.longitude").alias("lon"), "_x.altitude_m"),
-        "imu": rows("imu_measurements").select("session_id", F.col("_x.timestamp").alias("timestamp_s"), *xyz("accel_xyz", "a"), *xyz("gyro_xyz", "g")),
-        "baro": rows("barometer_measurements").select("session_id", F.col("_x.timestamp").alias("timestamp_s"), "_x.pressure_hpa", "_x.altitude_m"),
+        "gps_fixes": rows("gps_fixes").select("session_id", "seq", F.col("_x.timestamp").alias("timestamp_s"), F.col("_x.latitude").alias("lat"), F.col("_x.longitude").alias("lon"), "_x.altitude_m"),
+        "imu": rows("imu_measurements").select("session_id", "seq", F.col("_x.timestamp").alias("timestamp_s"), *xyz("accel_xyz", "a"), *xyz("gyro_xyz", "g")),
+        "baro": rows("barometer_measurements").select("session_id", "seq", F.col("_x.timestamp").alias("timestamp_s"), "_x.pressure_hpa", "_x.altitude_m"),
     }
 
 

@@ -45,3 +45,21 @@ def test_crossed_cells_hold_the_whole_segment(spark):
         t = np.linspace(0, 1, 5000)
         met = set(zip(np.floor((ax + t * (bx - ax)) / 10).astype(int).tolist(), np.floor((ay + t * (by - ay)) / 10).astype(int).tolist()))
         assert met <= got[i] and len(got[i]) <= len(met) + 8
+
+
+def test_last_line_of_a_repeated_gyro_time_counts(spark, tmp_path):
+    files = {
+        "OnboardGPS": "Timpstemp, imgid, lat, lon, alt\n1000000,1,47.0,8.0,1\n2000000,2,47.1,8.1,2\n3000000,1,47.5,8.5,3\n",
+        "RawAccel": "Timpstemp,x,y,z\n1500000,1,2,3\n1500000,4,5,6\n",
+        "RawGyro": "Timpstemp,x,y,z\n1000000,0,0,0\n1500000,9,9,9\n1500000,1,1,1\n2000000,0,0,0\n",
+        "BarometricPressure": "Timpstemp,Pressure,Altitude\n1,2,3\n",
+        "GroundTruthAGL": "imgid,x_gt,y_gt,z_gt\n1,1,2,3\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    images = spark.createDataFrame([("00001.jpg",), ("00002.jpg",)], "image_filename string")
+    rec = logs.multi_log_session(spark, str(tmp_path), images, "s")
+    assert sorted((r.seq, r.lat) for r in rec["gps_fixes"].collect()) == [(1, 47.1), (2, 47.5)]
+    assert sorted((r.seq, r.ax, r.gx) for r in rec["imu"].collect()) == [(0, 1.0, 1.0), (1, 4.0, 1.0)]
+    (tmp_path / "imu.txt").write_text("# head\n3 1 1 1 1 1 1\n\n2 1 1 1 1 1 1\n")
+    assert sorted((r.seq, r.timestamp_s) for r in logs.imu_list(spark, str(tmp_path / "imu.txt")).collect()) == [(0, 3.0), (1, 2.0)]
