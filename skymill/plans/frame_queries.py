@@ -47,12 +47,27 @@ def _w8p(spark, sf):
     return fr.hash_pairs(first, 5)
 
 
-@query("W8_near_duplicates")
+def _greedy(frames: str) -> dict[str, str]:
+    """Sub-queries that walk each session frame by frame: ``fin`` holds the frames kept in the end."""
+    return {
+        "fo": f"select session_id, frame_idx, phash, row_number() over (partition by session_id order by frame_idx) as i from {frames}",
+        "st": """select session_id, cast(0 as bigint) as i, cast([] as struct(f bigint, h bigint)[]) as kept from (select distinct session_id from fo)
+          union all select st.session_id, fo.i, case when len(list_filter(st.kept, lambda k: bit_count(xor(k.h, fo.phash)) <= 5)) = 0 then list_append(st.kept, {'f': fo.frame_idx, 'h': fo.phash}) else st.kept end
+          from st join fo on fo.session_id = st.session_id and fo.i = st.i + 1""",
+        "fin": "select session_id, unnest(kept, recursive := true) from st qualify row_number() over (partition by session_id order by i desc) = 1",
+    }
+
+
+@query("W8_near_duplicates", check_sql(
+    """select h.session_id, h.frame_idx, k.f is not null as kept, case when k.f is null then (select min(p.f) from fin p where p.session_id = h.session_id and p.f < h.frame_idx and bit_count(xor(p.h, h.phash)) <= 5) end as duplicate_of
+       from frame_hashes h left join fin k on k.session_id = h.session_id and k.f = h.frame_idx""", "frame_hashes", **_greedy("frame_hashes")))
 def _w8(spark, sf):
     return fr.drop_near_duplicates(load(spark, sf, "frame_hashes").drop("blur_score")).select("session_id", "frame_idx", "kept", "duplicate_of")
 
 
-@query("A13_filter_report")
+@query("A13_filter_report", check_sql(
+    """select h.session_id, count(*) as n_input_frames, count(k.f) as n_kept, count(*) filter (blur_score < 100) as n_dropped_blur, count(*) filter (blur_score >= 100 and k.f is null) as n_dropped_duplicate
+       from frame_hashes h left join fin k on k.session_id = h.session_id and k.f = h.frame_idx group by 1""", "frame_hashes", **_greedy("frame_hashes where blur_score >= 100")))
 def _a13(spark, sf):
     return fr.filter_report(fr.filter_frames(load(spark, sf, "frame_hashes"), 100.0))
 
