@@ -84,10 +84,10 @@ def _coarse(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.floor(F.col(g) / 2).cast("long") for k, g in zip(K, G)})
 
 
-def _replicated(items: DataFrame) -> DataFrame:
-    """Each item once for every radius-wide cell that may look at it."""
-    keep = [c for c in items.columns if c not in K]
-    out = spread(items, *MISSION, *K).select(*keep, *K, F.explode(_offsets(1)).alias("_o"))
+def _looking(asks: DataFrame) -> DataFrame:
+    """Each asking location once for every radius-wide cell it has to look into."""
+    keep = [c for c in asks.columns if c not in K]
+    out = asks.select(*keep, *K, F.explode(_offsets(1)).alias("_o"))
     return out.select(*keep, *[(F.col(k) + F.col(f"_o.{n}")).alias(k) for k, n in zip(K, "ijk")])
 
 
@@ -97,24 +97,24 @@ def reached(asks: DataFrame, items: DataFrame, radius: float, values: list[str],
     Both sides carry ``g*``, the half-radius cell. Items of thinly filled neighbourhoods are compared one by one.
     In crowded ones their half-radius cells stand in: a cell whose box lies within the radius counts as a whole, one
     outside is skipped, and only the cells that the sphere cuts are opened. ``combine`` must give the same over cells
-    as over their items (sum, min). Askers per cell are few by construction (see the callers), so the work
-    stays linear in the number of items.
+    as over their items (sum, min). Askers per cell are few by construction (see the callers), so they are what is
+    copied to the cells around, and the work stays linear in the number of items.
     """
     r2 = radius * radius
     key = [*MISSION, *K]
-    asks = spread(_coarse(asks).select(*MISSION, *K, "loc_id", *XYZ), *key)
+    asks = _looking(_coarse(asks).select(*MISSION, *K, "loc_id", *XYZ))
     items = _coarse(items).select(*MISSION, *K, *G, *[F.col(c).alias(f"o_{c}") for c in XYZ], *values)
     crowd = cut(items.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*key))
     some = not crowd.isEmpty()
     single = items.join(crowd, key, "left_anti") if some else items
-    met = asks.join(spread(_replicated(single.drop(*G)), *key), key).where(_dist2("", "o_") <= r2)
+    met = asks.join(single.drop(*G), key).where(_dist2("", "o_") <= r2)
     out = met.select(*MISSION, "loc_id", *values)
     if some:
         dense = items.join(crowd, key, "left_semi")
         cells = dense.groupBy(*key, *G).agg(
             *[combine(v).alias(v) for v in values], *[F.min(f"o_{c}").alias(f"lo_{c}") for c in XYZ], *[F.max(f"o_{c}").alias(f"hi_{c}") for c in XYZ]
         )
-        looks = asks.join(spread(_replicated(cells), *key), key).where(_gap2() <= r2)
+        looks = asks.join(cells, key).where(_gap2() <= r2)
         whole = looks.where(_far2() <= r2).select(*MISSION, "loc_id", *values)
         opened = looks.where(_far2() > r2).select(*MISSION, *G, "loc_id", *XYZ)
         part = opened.join(dense.drop(*K), [*MISSION, *G]).where(_dist2("", "o_") <= r2).select(*MISSION, "loc_id", *values)

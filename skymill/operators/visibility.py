@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from skymill.functions.camera import R_NAMES, camera_center, cols, dot, matvec, norm3, rot
 from skymill.operators.raster import with_footprint
-from skymill.runtime import spread
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -151,8 +150,8 @@ def best_camera_per_face(
         "_gy", F.explode(_cells(F.col("f_y0"), F.col("f_y1"), cell_m))
     ).select(*keep, "_gx", "_gy")
     at = geo.withColumns({"_gx": F.floor(F.col("fcx") / cell_m).cast("long"), "_gy": F.floor(F.col("fcy") / cell_m).cast("long")})
-    # all cameras over a cell meet all its faces: deal out by face, so that a busy cell is no single task
-    cand = spread(at, "face_id").join(views, ["session_id", "_gx", "_gy"])
+    # all cameras over a cell meet all its faces: a plain join, so that adaptive execution can split a busy cell
+    cand = at.join(views, ["session_id", "_gx", "_gy"])
     c = camera_center(rot(), cols("tx", "ty", "tz"))
     cand = cand.withColumns({f"_v{i}": c[i] - F.col(f"fc{a}") for i, a in enumerate("xyz")})
     cand = cand.withColumn("_dist", norm3(cols("_v0", "_v1", "_v2")))
