@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import text_of
+from skymill.llm.tables import bounded_batches, text_of
 from skymill.llm.tokens import encoder, vocabulary
 from skymill.runtime import cut, scratch_path
 
@@ -135,7 +135,7 @@ def write_sequences(
             row = pd.DataFrame([[shard, f"{folder}/{name}", first, last, n_docs, n_tokens]], columns=[c.split()[0] for c in MANIFEST.split(", ")])
             yield row.astype({"first_doc": "Int64", "last_doc": "Int64"})
 
-    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", text_of().alias("text"))
     sized = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-sized // shard_bytes))
     ordered = rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(

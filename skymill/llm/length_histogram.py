@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import text_of
+from skymill.llm.tables import bounded_batches, text_of
 from skymill.llm.tokens import encoder, vocabulary
 from skymill.runtime import cut
 
@@ -25,7 +25,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None, extra: int = 0, te
         width = enc.dtype.itemsize
         return pd.Series([len(x) // width + extra for x in enc.encode(texts)], dtype="int64")
 
-    return docs.withColumn("n_tokens", lengths(text_of(text)))
+    return bounded_batches(docs).withColumn("n_tokens", lengths(text_of(text)))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

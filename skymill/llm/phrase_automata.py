@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of
 from skymill.llm.words import Rolling, batches, ids_of
 from skymill.runtime import cut
 
@@ -95,7 +95,7 @@ def confirmed(docs: DataFrame, window: int = 35, phrase: int = PHRASE) -> DataFr
     """``doc_id, _key, first, mask``: bit ``i`` of the mask is set if the window at word ``first + i`` starts elsewhere too."""
     if not 0 < phrase <= window < phrase + 63:
         raise ValueError("an anchor has between 1 and 63 windows")
-    rows = docs.select("doc_id", row_key().alias("_key"), text_of().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), text_of().alias("text"))
     hot = _hot_anchors(rows, window, phrase)
     schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("h", pa.int64()), ("salt", pa.int32()), ("first", pa.int32()), ("hashes", pa.binary())])
 
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, phrase: int = PHRASE, with
     """
     marks = confirmed(docs, window, phrase)
     per_doc = cut(marks.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(F.collect_set(F.struct("first", "mask")).alias("marks")))
-    rows = docs.select("doc_id", row_key().alias("_key"), text_of().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), text_of().alias("text"))
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     columns = [c.split()[0] for c in schema.split(", ")]

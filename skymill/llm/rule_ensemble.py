@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of
 from skymill.runtime import cut
 
 MAX_TRAINING_ROWS = 40_000  # labelled rows the ensemble is fitted on at most, the first by a hash of the id
@@ -78,7 +78,7 @@ def _measured(text: Column) -> Column:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, _key`` and the statistics of every row's whole text; null counts as empty."""
-    rows = docs.select("doc_id", row_key().alias("_key"), _measured(text_of()).alias("_s"))
+    rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), _measured(text_of()).alias("_s"))
     return rows.select("doc_id", "_key", *[F.col(f"_s.{s}").alias(s) for s in STATISTICS])
 
 

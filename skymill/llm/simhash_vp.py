@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skymill.llm.links import components
-from skymill.llm.tables import row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of
 from skymill.runtime import cut
 
 SAMPLE = 4_096  # fingerprints the shard tree is fitted on
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame
         out["size"] = np.array([r[1] for r in rows], dtype="int32")
         return out
 
-    got = docs.select("doc_id", row_key().alias("_key"), prints(text_of()).alias("_f"))
+    got = bounded_batches(docs).select("doc_id", row_key().alias("_key"), prints(text_of()).alias("_f"))
     return got.select("doc_id", "_key", *[F.col(f"_f.{c}").alias(c) for c in columns], "_f.size")
 
 

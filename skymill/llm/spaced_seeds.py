@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of
 from skymill.llm.words import batches, ids_of, mixed
 from skymill.runtime import cut
 
@@ -153,7 +153,7 @@ def overlaps(
     used = [*masks, *short_masks(longest, few)]
     seed_rows = cut(benchmark_seeds(items, used))
     table = items.sparkSession.sparkContext.broadcast(_tables(seed_rows))
-    rows = docs.select("doc_id", row_key().alias("_key"), text_of().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), text_of().alias("text"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = table.value

@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXT_ROWS = 1_000  # texts handed to a Python worker at once
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``TEXT_ROWS`` rows: whole texts are long, and a worker holds a
+    batch several times over (Arrow, pandas, words)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))

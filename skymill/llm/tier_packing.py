@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import numbered, text_of
+from skymill.llm.tables import bounded_batches, numbered, text_of
 from skymill.llm.tokens import encoder, vocabulary
 from skymill.runtime import cut
 
@@ -69,7 +69,7 @@ def cut_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, path: st
                         rows.append((doc_id, a, size, n, crcs) + ((ids[a : a + size].astype(np.int32),) if with_ids else ()))
                 yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(pieces, schema)
+    return bounded_batches(docs).select("doc_id", text_of().alias("text")).mapInPandas(pieces, schema)
 
 
 class _Pool:

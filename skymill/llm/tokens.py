@@ -13,7 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MEMO_LIMIT = 1_000_000  # units kept per worker; the memo starts anew beyond it, at the next call
+MEMO_LIMIT = 700_000  # units kept per worker; the memo starts anew beyond it, at the next call
 JOINED = 500  # units encoded in one call
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import xxhash
 
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 100_000
 BATCH_CHARS = 2_000_000  # characters handled together; one longer text is a batch of its own
 
 
