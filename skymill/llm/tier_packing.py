@@ -2,8 +2,9 @@
 
 The cuts depend on the document alone: whole windows from its start, then a rest shorter than the window. The rest is
 routed to the smallest power-of-two tier that holds it. The plan is made from the histogram of rest lengths (at most
-``window`` rows, however large the corpus): windows open with the longest rests and their gaps take the longest rests
-of shorter tiers that fit. Rests whose window would keep a larger gap are cut once more, at powers of two, and these
+``window`` rows, however large the corpus). Each shorter tier gets sequences that two of its rests fill exactly, from up
+to half of the rests; the others go to long windows, which open with the longest rests and whose gaps take the longest
+rests of shorter tiers that fit. Rests whose window would keep a larger gap are cut once more, at powers of two, and these
 parts close windows without a gap or stand as full sequences of a shorter tier. Documents then find their place by
 their rank among the rests of the same length.
 """
@@ -124,6 +125,22 @@ def _windows(pool: _Pool, window: int) -> Iterator[tuple[int, list[tuple]]]:
             yield times, [(size, *pool.take(size, k * times), k) for size, k in chosen.items()]
 
 
+def _tier_sequences(pool: _Pool, window: int, smallest: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Full sequences of the tiers below ``window``: a rest routed to a tier and the shorter rest that closes its gap.
+
+    Up to half of the rests of a length are used up, the others are left to fill the gaps of long windows.
+    """
+    have = lambda size: pool.front(size) // 2 if size in pool.left else 0
+    tier = window // 2
+    while tier >= smallest:
+        for size in range(tier, tier // 2, -1):
+            gap = tier - size
+            times = min(have(size), have(gap)) if gap else have(size)
+            if times:
+                yield times, [(n, *pool.take(n, times), 1) for n in (size, gap) if n]
+        tier //= 2
+
+
 def plan(counts: dict[int, int], window: int = 1024, smallest: int = SMALLEST, slack: int = SLACK) -> list[tuple]:
     """Rows of ``PLAN`` for a histogram of piece lengths.
 
@@ -134,6 +151,7 @@ def plan(counts: dict[int, int], window: int = 1024, smallest: int = SMALLEST, s
     pool, parts, done = _Pool(), _Pool(), []
     for size in sorted(counts):
         pool.add(size, (size, 0, 0), 0, counts[size])
+    done += _tier_sequences(pool, window, smallest)
     for times, items in _windows(pool, window):
         gap = window - sum(size * k for size, _, _, k in items)
         fill = window - gap
