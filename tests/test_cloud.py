@@ -101,3 +101,11 @@ def test_flat_ground_and_wall_normals(spark):
     df = cloud(spark, flat + wall)
     nz = {r.point_id: r.abs_nz for r in df.join(sp.normals(df, 9), ["mission_id", "x", "y", "z"]).collect()}
     assert min(nz[i] for i in range(64)) > 0.99 and max(nz[i] for i in range(64, 128)) < 0.01
+
+
+def test_percentiles_of_many_values_beside_outliers(spark):
+    rng = np.random.default_rng(5)
+    values = {1: np.append(rng.normal(size=30_000), [1e18, -1e12]), 2: np.full(25_000, 7.5), 3: np.repeat(rng.normal(size=5), 6_000), 4: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k int, v double")
+    for r in exact_percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.953}).collect():
+        assert np.allclose([r.a, r.b, r.c], np.percentile(values[r.k], [5, 50, 95.3]), rtol=1e-9, atol=1e-9), r.k
