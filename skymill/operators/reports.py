@@ -43,6 +43,7 @@ def nested_report(report: DataFrame) -> DataFrame:
 def quality_report(scale: DataFrame, geo: DataFrame, ate: DataFrame, coverage: DataFrame, registration: DataFrame) -> DataFrame:
     """R2: accuracy, coverage and registration of each mission on one row, with its fixed-format lines."""
     df = scale.join(geo, MISSION).join(ate, MISSION).join(coverage, MISSION).join(registration, MISSION)
+    # --- fixed values: layout of the summary lines ---
     lines = F.array(
         F.format_string("Scale Error:                     %.2f%%", "scale_error_pct"),
         F.format_string("Scale Precision:                 %.2f%%", "scale_precision_pct"),
@@ -54,6 +55,7 @@ def quality_report(scale: DataFrame, geo: DataFrame, ate: DataFrame, coverage: D
         F.format_string("High-Confidence Points:          %.1f%%", "high_confidence_points_pct"),
         F.format_string("  Observed Surface:              %.1f%%", "overall_coverage_pct"),
     )
+    # --- end of fixed values ---
     return df.withColumn("summary_lines", lines)
 
 

@@ -88,7 +88,17 @@ def _r2(spark, sf):
     return rounded(rep.select("mission_id", "scale_error_pct", "horizontal_rmse_m", "ate_rmse_m", "overall_coverage_pct", F.size("summary_lines").cast("long").alias("n_lines")), 5)
 
 
-@query("R2_summary_lines")
+_LINES = """select q.mission_id, unnest(range(9)) as line_no, unnest([
+    printf('Scale Error:                     %.2f%%', se), printf('Scale Precision:                 %.2f%%', greatest(0, 100 - se)), printf('Horizontal Geolocation (XY):     %.2f m', h),
+    printf('Vertical Geolocation (Z):       %.2f m', v), printf('Absolute Trajectory (ATE RMSE):  %.2f m', ate), printf('Mean Reprojection Error:         %.3f px', re),
+    printf('Registered Keyframes:            %.1f%%', 100e0 * n_registered / n_input), printf('High-Confidence Points:          %.1f%%', hc), printf('  Observed Surface:              %.1f%%', oc)]) as line
+  from (select session_id % 10 as mission_id, abs(avg(est_n) - avg(gt_n)) / avg(gt_n) * 100 as se, sqrt(avg(pow(est_e - gt_e, 2) + pow(est_n - gt_n, 2))) as h, sqrt(avg(pow(est_u - gt_u, 2))) as v,
+          sqrt(avg(pow(est_e - gt_e, 2) + pow(est_n - gt_n, 2) + pow(est_u - gt_u, 2))) as ate from trajectory_pairs group by 1) q
+  join (select mission_id, 100e0 * count(*) filter (confidence > 0.1) / count(*) as oc from scored_points group by 1) c using (mission_id)
+  join (select mission_id, avg(reproj_err) as re, 100e0 * count(*) filter (tier = 2) / count(*) as hc from t group by 1) p using (mission_id) join i using (mission_id)"""
+
+
+@query("R2_summary_lines", check_sql(_LINES, "trajectory_pairs", "scored_points", "points", t=_TIERED, i=_IMAGES))
 def _r2l(spark, sf):
     return rp.quality_report(*_quality_parts(spark, sf)).select("mission_id", F.posexplode("summary_lines").alias("line_no", "line"))
 

@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 
 from pyspark.sql import functions as F
 
 from skymill.operators import reports, visibility
+from skymill.runtime import cut, release
 from skymill.sources import logs
 
 
@@ -63,3 +66,9 @@ def test_last_line_of_a_repeated_gyro_time_counts(spark, tmp_path):
     assert sorted((r.seq, r.ax, r.gx) for r in rec["imu"].collect()) == [(0, 1.0, 1.0), (1, 4.0, 1.0)]
     (tmp_path / "imu.txt").write_text("# head\n3 1 1 1 1 1 1\n\n2 1 1 1 1 1 1\n")
     assert sorted((r.seq, r.timestamp_s) for r in logs.imu_list(spark, str(tmp_path / "imu.txt")).collect()) == [(0, 3.0), (1, 2.0)]
+
+
+def test_release_deletes_written_steps(spark):
+    df = cut(spark.range(5).toDF("x"))
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("///", "/")
+    assert os.path.isdir(path) and release(spark) >= 1 and not os.path.exists(path)
