@@ -150,6 +150,47 @@ def _g1(spark, sf):
     return rounded(al.umeyama(pairs(spark, sf)))
 
 
+# a planted transform: quarter turn about the vertical, scale 2, shift (5, -3, 1); fits must find it again
+_PLANTED = {"s": 2.0, "r00": 0.0, "r01": -1.0, "r02": 0.0, "r10": 1.0, "r11": 0.0, "r12": 0.0, "r20": 0.0, "r21": 0.0, "r22": 1.0, "t0": 5.0, "t1": -3.0, "t2": 1.0}
+_PLANTED_SQL = ", ".join(f"{v}::double as {k}" for k, v in _PLANTED.items())
+
+
+def _planted(spark, sf, outlier_every: int = 0):
+    """Ground truth as source and its planted image as target; every n-th pair is thrown far off if asked for."""
+    t = load(spark, sf, "trajectory_pairs")
+    off = F.when(F.col("seq") % outlier_every == 1, 80.0 + F.col("seq") * 7.0).otherwise(0.0) if outlier_every else F.lit(0.0)
+    return t.select(
+        "session_id", "seq", F.col("gt_e").alias("sx"), F.col("gt_n").alias("sy"), F.col("gt_u").alias("sz"),
+        (5.0 - 2.0 * F.col("gt_n") + off).alias("dx"), (2.0 * F.col("gt_e") - 3.0 - off).alias("dy"), (2.0 * F.col("gt_u") + 1.0 + off).alias("dz"))
+
+
+@query("G1_planted_similarity", check_sql(f"select session_id, count(*) as n_pairs, {_PLANTED_SQL} from trajectory_pairs group by 1 having count(*) >= 4", "trajectory_pairs"))
+def _g1p(spark, sf):
+    return rounded(al.umeyama(_planted(spark, sf), min_pairs=4))
+
+
+@query("G2_planted_residuals", check_sql(
+    "select session_id, seq, 0::double as residual_m from trajectory_pairs join (select session_id from trajectory_pairs group by 1 having count(*) >= 4) using (session_id)", "trajectory_pairs"))
+def _g2p(spark, sf):
+    p = _planted(spark, sf)
+    return rounded(al.with_residuals(p, al.umeyama(p, min_pairs=4)).select("session_id", "seq", "residual_m"), 5)
+
+
+@query("A5_planted_ate_aligned", check_sql("select session_id, count(*) as n_poses, 0::double as ate_rmse_m, 0::double as ate_mean_m, 0::double as ate_max_m from trajectory_pairs group by 1", "trajectory_pairs"))
+def _a5p(spark, sf):
+    p = _planted(spark, sf).select("session_id", "seq", *[F.col(f"s{a}").alias(f"est_{b}") for a, b in zip("xyz", "enu")], *[F.col(f"d{a}").alias(f"gt_{b}") for a, b in zip("xyz", "enu")])
+    return rounded(ac.absolute_trajectory_error(p), 5)
+
+
+@query("G3_planted_outliers", check_sql(
+    f"select session_id, count(*) - count(*) filter (seq % 5 = 1) as n_inliers, {_PLANTED_SQL} from trajectory_pairs group by 1 having count(*) >= 8", "trajectory_pairs"))
+def _g3p(spark, sf):
+    p = _planted(spark, sf, 5).withColumn("inlier_threshold_m", F.lit(1.5))
+    sizes = p.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 8")
+    fits = al.ransac_similarity(p.join(sizes.select("session_id"), "session_id"), ["seq"], trials=100, chunk=50.0)
+    return rounded(fits.select("session_id", "n_inliers", *al.TRANSFORM), 5)
+
+
 @query("G2_alignment_residuals")
 def _g2(spark, sf):
     p = pairs(spark, sf)
@@ -205,8 +246,19 @@ def _g5(spark, sf):
     return al.georeference_policy(quality, m)
 
 
+@query("G6_refine_without_prior", check_sql(
+    f"select image_id, {rnd('-tx + 1', 4)} as c0, {rnd('ty - 1', 4)} as c1, {rnd('tz + 0.5', 4)} as c2, true as converged from poses where image_id in (select image_id from observations)", "poses", "observations"))
+def _g6w(spark, sf):
+    return rounded(_refined(spark, sf, 0.0).where("n_observations > 0").select("image_id", "c0", "c1", "c2", "converged"), 4)
+
+
 @query("G6_refine_centers")
 def _g6(spark, sf):
+    return rounded(_refined(spark, sf, 1.0), 4)
+
+
+def _refined(spark, sf, gps_weight: float):
+    """Cameras half a metre off their GPS fix, seen from where the pixels put them: the planted centre."""
     obs = load(spark, sf, "observations").join(load(spark, sf, "track_points"), "point_id")
     poses = load(spark, sf, "poses")
     c = cam.camera_center(cam.rot(), cam.cols("tx", "ty", "tz"))
@@ -215,7 +267,7 @@ def _g6(spark, sf):
     true = poses.withColumns({"tx": F.col("tx") - 1.0, "ty": F.col("ty") - 1.0, "tz": F.col("tz") + 0.5})
     seen = cam.project(obs.join(true, "image_id"), ("x", "y", "z"), 1e-6)
     seen = seen.select("image_id", F.col("pu").alias("u"), F.col("pv").alias("v"), "x", "y", "z")
-    return rounded(al.refine_centers(seen, cams, gps_weight=1.0), 4)
+    return al.refine_centers(seen, cams, gps_weight=gps_weight)
 
 
 # --- accuracy -----------------------------------------------------------------------------------
