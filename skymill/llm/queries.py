@@ -177,7 +177,26 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages, outcomes, URL_RULES)
 
 
-@query("op8_substring_dedup")
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+    ), p AS (
+        SELECT r, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) AS phrase, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35
+    ), k AS (
+        SELECT r, i, n FROM p JOIN (SELECT phrase, count(*) AS n FROM p GROUP BY phrase) USING (phrase)
+    ), c AS (
+        SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k WHERE n > 1
+    ), e AS (
+        SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w
+    ), s AS (
+        SELECT e.r, count(*) FILTER (WHERE c.j IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE c.j IS NULL) AS kept
+        FROM e LEFT JOIN c ON c.r = e.r AND c.j = e.j GROUP BY e.r
+    )
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (r)
+    """,
+)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.remove_repeats(table(spark, sf_dir, "documents"))
 
