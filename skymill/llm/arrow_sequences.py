@@ -212,7 +212,7 @@ def read_sequences(manifest: DataFrame) -> DataFrame:
     bases = manifest.select(F.col("shard").alias("_s"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
     n = max(1, manifest.count())
     rows = manifest.select("shard", "file").repartitionByRange(n, "shard").mapInPandas(read, READ)
-    return rows.join(F.broadcast(bases), F.col("shard") == F.col("_s")).select(  # one row per shard file
+    return rows.join(bases, F.col("shard") == F.col("_s")).select(
         "doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )
 
