@@ -27,19 +27,26 @@ LEAF = 512
 CHUNK = 65_536
 
 
-def fingerprint(text: str, shingle: int, words: int) -> tuple[list[int], int]:
-    """``words`` 64-bit integers (as signed) and the number of distinct shingles.
-
-    The first 64 bits are over XXH64 (seed 42) of the shingles, further ones over remixed hashes. No words: zero.
-    """
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``shingle`` words, or of the whole text if it has fewer; none without words."""
     w = text.encode().lower().split()  # on bytes, both only know ASCII
-    if not w:
-        return [0] * words, 0
     hashed = xxhash.xxh64_intdigest
     if len(w) <= shingle:
-        hashes = np.array([hashed(b" ".join(w), 42)], dtype=np.uint64)
-    else:
-        hashes = np.array([hashed(b" ".join(s), 42) for s in zip(*[w[i:] for i in range(shingle)])], dtype=np.uint64)
+        return np.array([hashed(b" ".join(w), 42)] if w else [], dtype=np.uint64)
+    return np.array([hashed(b" ".join(s), 42) for s in zip(*[w[i:] for i in range(shingle)])], dtype=np.uint64)
+
+
+def fingerprint(text: str, shingle: int, words: int, distinct: bool = False) -> tuple[list[int], int, int]:
+    """``words`` 64-bit integers (as signed), the number of shingles they are made of, and a digest of these.
+
+    The first 64 bits are over the shingles' hashes, further ones over remixed hashes. A repeated shingle counts as
+    often as it occurs, or once if ``distinct``. No words: zero.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * words, 0, 0
+    if distinct:
+        hashes = np.unique(hashes)
     out = []
     for k in range(words):
         h = hashes if k == 0 else _remix(hashes, k)
@@ -48,7 +55,7 @@ def fingerprint(text: str, shingle: int, words: int) -> tuple[list[int], int]:
             counts += np.unpackbits(h[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         bits = np.packbits(2 * counts > len(h), bitorder="little")
         out.append(int(bits.view(np.int64)[0]))
-    return out, len(np.unique(hashes)) if words > 1 else len(hashes)
+    return out, len(hashes), int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if distinct else 0
 
 
 def _remix(h: np.ndarray, k: int) -> np.ndarray:
@@ -58,20 +65,21 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64) -> DataFrame:
-    """``doc_id, _key, f0 (, f1 ...), size`` of every row; null texts count as empty. Extra columns are left out."""
+def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
+    """``doc_id, _key, f0 (, f1 ...), size, digest`` of every row; null texts count as empty. Extra columns are left out."""
     n = bits // 64
     columns = [f"f{k}" for k in range(n)]
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in columns) + ", size int")
+    @F.pandas_udf(", ".join(f"{c} long" for c in columns) + ", size int, digest long")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        rows = [fingerprint(t, shingle, n) for t in texts]
+        rows = [fingerprint(t, shingle, n, distinct) for t in texts]
         out = pd.DataFrame([r[0] for r in rows], columns=columns, dtype="int64", index=texts.index)
         out["size"] = np.array([r[1] for r in rows], dtype="int32")
+        out["digest"] = np.array([r[2] for r in rows], dtype="int64")
         return out
 
     got = bounded_batches(docs).select("doc_id", row_key().alias("_key"), prints(text_of()).alias("_f"))
-    return got.select("doc_id", "_key", *[F.col(f"_f.{c}").alias(c) for c in columns], "_f.size")
+    return got.select("doc_id", "_key", *[F.col(f"_f.{c}").alias(c) for c in columns], "_f.size", "_f.digest")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,16 +259,16 @@ def linked(nodes: DataFrame, words: int, radius: int, ratio: float = 0.0) -> Dat
     return groups.groupBy("shard", "_h", "_q").applyInPandas(link, "u long, v long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, ratio: float = 0.0) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, ratio: float = 0.0, distinct: bool = False) -> DataFrame:
     """``doc_id, _key, f0 .., component_id`` of every row: fingerprints link at ``radius`` or fewer differing bits, and
     component_id is the smallest doc_id reachable (null ids count as larger than any; a group of null ids has null).
 
-    With ``ratio`` only texts whose numbers of shingles differ by no more than that factor link. Equal fingerprints are
+    With ``distinct`` repeated shingles count once. With ``ratio`` only texts whose numbers of shingles differ by no more than that factor link. Equal fingerprints are
     one node, however many rows share them. Repeated rows stay rows; an empty table gives no row.
     """
     n = bits // 64
     columns = [f"f{k}" for k in range(n)]
-    prints = cut(fingerprints(docs, shingle, bits))
+    prints = cut(fingerprints(docs, shingle, bits, distinct))
     nodes = prints.groupBy(*columns).agg(F.min("doc_id").alias("least"), F.min("size").alias("low"), F.max("size").alias("high"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = cut(components(linked(nodes, n, radius, ratio)).withColumnRenamed("node", "_node"))
@@ -289,6 +297,6 @@ def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: in
     near copies from others without comparing texts. Texts whose numbers of shingles differ by more than ``ratio``
     can't be that similar.
     """
-    groups = near_groups(docs, shingle, bits, radius, ratio)
+    groups = near_groups(docs, shingle, bits, radius, ratio, distinct=True)
     gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

@@ -301,6 +301,19 @@ def test_one_per_group(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(4)) | set(range(28, 88))
 
 
+def test_one_per_group_counts_repeated_shingles_once(spark):
+    rnd = random.Random(19)
+    words = [f"w{i}" for i in range(5000)]
+    line = " ".join(f"licence{i}" for i in range(14))
+    own = [prose(rnd, 300, words) for _ in range(8)]
+    texts = ["\n".join([line] * 30 + [t]) for t in own] + ["\n".join([own[0]] + [line] * 3), own[1] + " " + own[1]]
+    kept = {r.doc_id for r in simhash_vp.one_per_group(docs_of(spark, texts)).collect()}
+    assert kept == set(range(8))
+    one, two = own[2] + " " + own[2], " ".join([own[2]] * 3)
+    a, b = (simhash_vp.fingerprint(t, 5, 2, distinct=True) for t in (one, two))
+    assert a == b and simhash_vp.fingerprint(one, 5, 2) != a
+
+
 def test_host_reputation(spark):
     urls = ["http://A.Example.com/en/1?x", "https://www.example.com/en/2#t", "x://b.net/es/3", "x://bnet/es/3", "x://net/fr/", "no scheme", None, "", "x://?q", "x://h.org", "a://b://c/d",
             "http://example.com/en", "http://notexample.com/en/1", "http://bad.org/en/4\n/z", "http://bad.org/en/5"]
