@@ -314,6 +314,37 @@ def test_one_per_group_counts_repeated_shingles_once(spark):
     assert a == b and simhash_vp.fingerprint(one, 5, 2) != a
 
 
+def test_one_per_group_decides_by_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "FEW", 2)  # the crowd below takes all rounds
+    rnd = random.Random(29)
+    texts, want, got_at = [], {}, {}
+
+    def pair(n, gone):  # the second lacks the first's last words: similarity 1 - gone / (n - 4)
+        a = [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+        texts.extend([" ".join(a), " ".join(a[: n - gone])])
+        return len(texts) - 1
+
+    for n in (14, 54, 204, 504):
+        for _ in range(12):
+            want[pair(n, (n - 4) // 5)] = True  # exactly 0.8
+            want[pair(n, (n - 4) // 5 + 1)] = False
+            want[pair(n, (n - 4) * 3 // 10)] = False
+    crowd, base = len(texts), [f"c{i}" for i in range(104)]
+    for i in range(40):  # 0.9 to the first, 0.82 to each other; those beyond 30 at 0.74 to all of them
+        w = list(base)
+        for j in range(1 if i <= 30 else 3):
+            w[10 + rnd.randrange(80) if j == 0 else (5, 100)[j - 1]] = f"x{i}.{j}"
+        texts.append(" ".join(w))
+    kept = {r.doc_id for r in simhash_vp.one_per_group(docs_of(spark, texts)).collect()}
+    for i, same in want.items():
+        got_at.setdefault(same, []).append(i in kept)
+    assert not any(got_at[True]) and all(got_at[False])
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts[crowd:]]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    root = brute_components(range(40), alike)
+    assert {i - crowd for i in kept if i >= crowd} == set(root.values())
+
+
 def test_host_reputation(spark):
     urls = ["http://A.Example.com/en/1?x", "https://www.example.com/en/2#t", "x://b.net/es/3", "x://bnet/es/3", "x://net/fr/", "no scheme", None, "", "x://?q", "x://h.org", "a://b://c/d",
             "http://example.com/en", "http://notexample.com/en/1", "http://bad.org/en/4\n/z", "http://bad.org/en/5"]
