@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import row_key, text_of
+from skymill.llm.tables import row_key, text_of, without_rows
 from skymill.runtime import cut
 
 BLOCK = 4096  # characters
@@ -105,11 +105,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     are one group. Of equal texts the row with the most code points in the original text stays, then the smallest
     doc_id (nulls last). Rows that repeat a document id in a group stay or go together. Extra columns are left out.
     """
-    norm = without_white(text_of())
-    named = identities(docs, norm, block)
-    facts = docs.select("doc_id", row_key().alias("_key"), F.length(text_of()).cast("long").alias("_chars"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"))
-    ids = named.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "level", "name")
-    rows = cut(facts.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).drop("_d", "_k", "_key"))
+    rows = _grouped(docs, block)
     best = F.max_by("doc_id", F.struct("_chars", F.col("doc_id").isNotNull(), -F.col("doc_id")))
     groups = rows.groupBy("level", "name").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(groups.withColumnsRenamed({"level": "_level", "name": "_name"}))
@@ -117,8 +113,21 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _grouped(docs: DataFrame, block: int) -> DataFrame:
+    """``doc_id, _key, level, name, _chars, text_sha256`` of every row; (level, name) is the group of equal texts."""
+    norm = without_white(text_of())
+    named = identities(docs, norm, block)
+    facts = docs.select("doc_id", row_key().alias("_key"), F.length(text_of()).cast("long").alias("_chars"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"))
+    ids = named.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "level", "name")
+    return cut(facts.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).drop("_d", "_k"))
+
+
 def without_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    found = exact_duplicates(docs, block)
-    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each group of equal texts, with its columns, chosen as in ``exact_duplicates``; of rows with the same
+    id the one with the smallest hash of its text stays."""
+    rows = _grouped(docs, block)
+    first = F.struct((-F.col("_chars")).alias("fewer"), F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    best = cut(rows.groupBy(F.col("level").alias("_level"), F.col("name").alias("_name")).agg(F.min(first).alias("best")))
+    found = rows.join(best, (F.col("level") == F.col("_level")) & (F.col("name") == F.col("_name")))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_key") == F.col("best._key"))
+    return without_rows(docs, cut(found.where(~stays).select("doc_id", "_key").distinct()), once=True)

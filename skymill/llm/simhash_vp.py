@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skymill.llm.links import components
-from skymill.llm.tables import bounded_batches, row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of, without_rows
 from skymill.runtime import cut
 
 SAMPLE = 4_096  # fingerprints the shard tree is fitted on
@@ -406,8 +406,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: int = 40, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group of near copies, with their columns.
+    """One row of each group of near copies, with its columns: the one with the smallest id.
 
+    Nulls count as larger than any id; of rows with the same id the one with the smallest hash of its text stays.
     Two texts are near copies if their sets of shingles have a Jaccard similarity of ``similarity`` or more, which is
     computed on the sets. Pairs to compare are those whose fingerprints differ in at most ``radius`` bits: a similarity of
     s makes an expected share acos(2s / (1 + s)) / pi of the bits differ, 15 % or 19.4 of 128 for 0.8, give or take 4,
@@ -424,10 +425,10 @@ def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: in
     rooted = cut(nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")))
     survivors = cut(rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("survivor")))
     named = rooted.join(survivors, F.col("root") == F.col("_root"))
-    named = cut(named.select(F.col("survivor.doc_id").alias("component_id"), *[F.col(c).alias(f"_{c}") for c in same]))
+    named = cut(named.select("survivor", *[F.col(c).alias(f"_{c}") for c in same]))
     on = F.lit(True)
     for c in same:
         on = on & (F.col(c) == F.col(f"_{c}"))
     groups = prints.join(named, on)
-    gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col("survivor.doc_id")) & (F.col("_key") == F.col("survivor._key"))
+    return without_rows(docs, cut(groups.where(~stays).select("doc_id", "_key").distinct()), once=True)

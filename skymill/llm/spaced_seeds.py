@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymill.llm.tables import bounded_batches, row_key, text_of
+from skymill.llm.tables import bounded_batches, row_key, text_of, without_rows
 from skymill.llm.words import batches, ids_of, mixed
 from skymill.runtime import cut
 
@@ -29,7 +29,7 @@ BLOCK_BITS = 16
 
 SEEDS = "item_id long, mask int, at int, h long"
 HITS = "doc_id long, _key long, mask int, at int, h long"
-FOUND = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, item_words long"
+FOUND = "doc_id long, _key long, item_id long, doc_start long, item_start long, n_words long, n_equal long, item_words long"
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -126,14 +126,14 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, shift: int, least: int, shar
     return best
 
 
-def overlaps(
+def keyed_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
     masks: Sequence[str] = MASKS,
     min_words: int = MIN_WORDS,
     min_match: float = MIN_MATCH,
 ) -> DataFrame:
-    """One row per document and item that overlap: ``doc_id, item_id, doc_start, item_start, n_words, n_equal, item_words``.
+    """One row per document and item that overlap: ``doc_id, _key, item_id, doc_start, item_start, n_words, n_equal, item_words``.
 
     Words are runs of letters and digits, lower-cased. An overlap is the longest stretch of one alignment, with at
     least ``min_words`` words (or the whole item, if it is shorter) of which ``min_match`` are equal; only substitutions
@@ -188,7 +188,7 @@ def overlaps(
         known: dict[str, np.ndarray] = {}
         for pdf in frames:
             out = []
-            for doc_id, text, asked_lines in zip(pdf["doc_id"], pdf["text"], pdf["lines"]):
+            for doc_id, key, text, asked_lines in zip(pdf["doc_id"], pdf["_key"], pdf["text"], pdf["lines"]):
                 words = normal_words(text)
                 doc, best = ids_of(words, len(words)), {}
                 for line in asked_lines:
@@ -204,19 +204,23 @@ def overlaps(
                         start, n, equal = got
                         rank = (n, equal, -(start + line["shift"]))
                         if line["item_id"] not in best or rank > best[line["item_id"]][0]:
-                            best[line["item_id"]] = (rank, (doc_id, line["item_id"], start + line["shift"], start, n, equal, len(item)))
+                            best[line["item_id"]] = (rank, (doc_id, key, line["item_id"], start + line["shift"], start, n, equal, len(item)))
                 out += [row for _, row in best.values()]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"doc_id": "Int64"})
 
-    return cases.select("doc_id", "text", "lines").mapInPandas(verify, FOUND).distinct()
+    return cases.select("doc_id", "_key", "text", "lines").mapInPandas(verify, FOUND).distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``keyed_overlaps`` without the hash of the text."""
+    return keyed_overlaps(docs, benchmark, **options).drop("_key").distinct()
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``doc_id`` of the documents that overlap an item."""
-    return overlaps(docs, benchmark, **options).select("doc_id").distinct()
+    """``doc_id, _key`` of the documents that overlap an item."""
+    return keyed_overlaps(docs, benchmark, **options).select("doc_id", "_key").distinct()
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with their columns."""
-    gone = cut(leaked(docs, benchmark, **options).withColumnRenamed("doc_id", "_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return without_rows(docs, cut(leaked(docs, benchmark, **options)))

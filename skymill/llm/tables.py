@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skymill.runtime import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,27 @@ def row_key(column: str = "text") -> Column:
     return F.xxhash64(text_of(column))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in ``gone`` (written; ``doc_id, _key``), with their columns.
+
+    Ids alone say nothing: they may be null or repeat with other texts. With ``once``, one row stays of those that repeat
+    both id and text.
+    """
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_key").alias("_gone_key"))
+    same = lambda i, k: F.col("doc_id").eqNullSafe(F.col(i)) & (row_key() == F.col(k))
+    left = docs.join(gone, same("_gone_id", "_gone_key"), "left_anti")
+    if not once:
+        return left
+    counted = docs.groupBy(F.col("doc_id").alias("_twice_id"), row_key().alias("_twice_key")).agg(F.count(F.lit(1)).alias("_times"))
+    twice = cut(counted.where(F.col("_times") > 1).drop("_times"))
+    if twice.isEmpty():
+        return left
+    rest = left.join(twice, same("_twice_id", "_twice_key"), "left_anti")
+    some = left.join(twice, same("_twice_id", "_twice_key"), "left_semi")
+    one = some.groupBy("doc_id", row_key().alias("_one_key")).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_one_row"))
+    return rest.unionByName(one.select("_one_row.*"))
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int = 64) -> DataFrame:
     """Dense 0-based rank ``out`` of each row within ``group``, ordered by a hash bucket and then by ``order``.
 

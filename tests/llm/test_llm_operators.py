@@ -345,6 +345,25 @@ def test_one_per_group_decides_by_jaccard(spark, monkeypatch):
     assert {i - crowd for i in kept if i >= crowd} == set(root.values())
 
 
+@pytest.mark.parametrize("stage", ["exact", "near", "leaks"])
+def test_filters_tell_rows_with_equal_ids_apart(spark, stage):
+    rnd = random.Random(31)
+    a, b, c, d, e = (prose(rnd, 100, [f"w{i}" for i in range(4000)]) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, a), (2, c), (2, d), (0, c), (None, None), (None, e), (3, e), (4, b)]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    if stage == "leaks":
+        kept = spaced_seeds.without_leaks(df, spark.createDataFrame([(1, c), (2, a)], "item_id long, text string"))
+        want = [(i, t) for i, t in rows if t not in (a, c)]
+    else:
+        kept = (block_naming.without_duplicates if stage == "exact" else simhash_vp.one_per_group)(df)
+        want = [(1, a), (4, b), (0, c), (2, d), (3, e), (None, None)]
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    if stage != "leaks":  # groups of null ids and repeated rows keep one row
+        kept = (block_naming.without_duplicates if stage == "exact" else simhash_vp.one_per_group)(docs_of(spark, [a, a, a, b, b], [None, None, None, 7, 7]))
+        assert Counter((r.doc_id, r.text, r["at.x"]) for r in kept.collect()) == Counter([(None, a, 1), (7, b, 1)])
+
+
 def test_host_reputation(spark):
     urls = ["http://A.Example.com/en/1?x", "https://www.example.com/en/2#t", "x://b.net/es/3", "x://bnet/es/3", "x://net/fr/", "no scheme", None, "", "x://?q", "x://h.org", "a://b://c/d",
             "http://example.com/en", "http://notexample.com/en/1", "http://bad.org/en/4\n/z", "http://bad.org/en/5"]
