@@ -20,7 +20,21 @@ from skymill.llm.tables import bounded_batches, row_key, text_of, without_rows
 from skymill.llm.words import batches, ids_of, mixed
 from skymill.runtime import cut
 
-MASKS = ("11111111", "110101101011", "111001011101", "101100111011")
+# Wherever 2 of 12 words, 3 of 15 or 4 of 20 are substituted, one of these fits between them. Any longer stretch with 80 %
+# equal words has a part of 12 to 23 words with 80 % equal, so none is missed.
+MASKS = ("1111011", "110010111", "11000100111")
+# The same for items of fewer words, which must be there whole: first and last word equal, a fifth substituted.
+SHORT_MASKS = {
+    3: ("111",),
+    4: ("1111",),
+    5: ("11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111101", "11100111", "1101010011", "10110111", "1100101011"),
+    11: ("1111011", "110010111", "1101100101", "111111"),
+}
 MIN_WORDS = 12  # shortest stretch that counts; shorter items must be there whole
 MIN_MATCH = 0.8  # share of equal words in it
 SHORTEST = 3  # items of fewer words are never looked for
@@ -39,32 +53,40 @@ def normal_words(text: str) -> list[bytes]:
     return _WORD.findall(text.lower().encode())
 
 
-def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the chosen words at every place where the whole mask fits."""
+def spread_ids(ids: np.ndarray, longest: int) -> list[np.ndarray]:
+    """The words' numbers mixed apart for every place in a mask."""
+    return [mixed(ids + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) for j in range(longest)]
+
+
+def seeds(ids: np.ndarray, mask: str, spread: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hash of the chosen words at every place where the whole mask fits; ``spread`` as by ``spread_ids``, if at hand."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    spread = spread or spread_ids(ids, len(mask))
     total = np.full(n, xxhash.xxh64_intdigest(mask), dtype=np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
-            total += mixed(ids[j : j + n] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
+            total += spread[j][j : j + n]
     return mixed(total)
 
 
-def short_masks(longest: int, lengths: Sequence[int]) -> list[str]:
-    """A mask of ones for every length of items that are too short for some mask."""
-    return ["1" * n for n in sorted(set(lengths)) if SHORTEST <= n < longest]
+def masks_of(n: int, masks: Sequence[str]) -> Sequence[str]:
+    """The masks that find an item of ``n`` words."""
+    return SHORT_MASKS.get(n, masks if n >= MIN_WORDS else ())
+
 
+def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], used: Sequence[str]) -> DataFrame:
+    """``item_id, mask, at, h``: seeds of every item by its masks; ``mask`` is a place in ``used``."""
 
-def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str]) -> DataFrame:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for item, text in zip(pdf["item_id"], pdf["text"]):
                 words = normal_words(text)
                 ids = ids_of(words, len(words))
-                for m, mask in enumerate(masks):
+                for m, mask in enumerate(used):
                     h = seeds(ids, mask)
-                    if len(h):
+                    if len(h) and mask in masks_of(len(words), masks):
                         yield pd.DataFrame({"item_id": item, "mask": m, "at": np.arange(len(h)), "h": h.view(np.int64)})
 
     return benchmark.where(F.col("item_id").isNotNull()).select("item_id", text_of().alias("text")).mapInPandas(scan, SEEDS)
@@ -139,7 +161,8 @@ def keyed_overlaps(
     least ``min_words`` words (or the whole item, if it is shorter) of which ``min_match`` are equal; only substitutions
     are tolerated, so an insertion splits an overlap. Of several alignments the longest counts, then the one with most
     equal words, then the earliest in the document. Null texts have no words; items of fewer than ``SHORTEST`` words or
-    with a null id are not looked for. Documents without an overlap have no row. Rows that repeat a document id and
+    with a null id are not looked for. The default masks find every such overlap of the default ``min_words`` and
+    ``min_match`` or stricter ones. Documents without an overlap have no row. Rows that repeat a document id and
     text count once. Items that share a text give a row each. Extra columns are left out.
     """
     items = cut(benchmark.where(F.col("item_id").isNotNull()).select("item_id", text_of().alias("text")).distinct())
@@ -148,10 +171,10 @@ def keyed_overlaps(
     def n_words(texts: pd.Series) -> pd.Series:
         return pd.Series([len(normal_words(t)) for t in texts], dtype="int32")
 
-    longest = max(map(len, masks))
-    few = [r["n"] for r in items.select(n_words("text").alias("n")).where(F.col("n") < longest).distinct().collect()]
-    used = [*masks, *short_masks(longest, few)]
-    seed_rows = cut(benchmark_seeds(items, used))
+    few = [r["n"] for r in items.select(n_words("text").alias("n")).where(F.col("n") < MIN_WORDS).distinct().collect()]
+    used = list(dict.fromkeys([*masks, *[m for n in sorted(few) for m in masks_of(n, masks)]]))
+    longest = max(map(len, used))
+    seed_rows = cut(benchmark_seeds(items, masks, used))
     table = items.sparkSession.sparkContext.broadcast(_tables(seed_rows))
     rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), text_of().alias("text"))
 
@@ -165,8 +188,9 @@ def keyed_overlaps(
                 ids = ids_of((x for w in words for x in w), int(sizes.sum()))
                 doc = np.repeat(np.arange(len(words)), sizes)
                 begins = np.concatenate([[0], np.cumsum(sizes)])
+                spread = spread_ids(ids, longest)
                 for m, mask in enumerate(used):
-                    h = seeds(ids, mask)
+                    h = seeds(ids, mask, spread)
                     if not len(h):
                         continue
                     at = _maybe(bits, h)

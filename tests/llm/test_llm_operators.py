@@ -475,6 +475,50 @@ def test_spaced_seeds(spark):
     assert spaced_seeds.overlaps(docs_of(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_masks_are_lossless():
+    import itertools
+
+    def found(n, masks, bad):
+        return any(all(m[i] == "0" or at + i not in bad for i in range(len(m))) for m in masks for at in range(n - len(m) + 1))
+
+    for n in range(12, 24):  # a longer stretch has a part of such a length with the same share
+        assert all(found(n, spaced_seeds.MASKS, bad) for bad in itertools.combinations(range(n), n // 5)), n
+    for n, masks in spaced_seeds.SHORT_MASKS.items():
+        assert all(found(n, masks, bad) for bad in itertools.combinations(range(1, n - 1), n // 5)), n
+
+
+def test_overlaps_equal_brute_force(spark):
+    rnd = random.Random(41)
+    words = [f"w{i}" for i in range(400)]
+    items = [[rnd.choice(words) for _ in range(n)] for n in [*range(3, 32), 45, 60]]
+    texts = []
+    for item in items:
+        n = len(item)
+        for _ in range(6):
+            size = n if n <= 12 else rnd.randint(12, n)
+            a = rnd.randint(0, n - size)
+            part = item[a : a + size]
+            for k in rnd.sample(range(1, size - 1), min(size - 2, size // 5)):
+                part[k] = "other"
+            texts.append([rnd.choice(words) for _ in range(rnd.randint(0, 25))] + part + [rnd.choice(words) for _ in range(rnd.randint(0, 25))])
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = spaced_seeds.overlaps(docs_of(spark, [" ".join(t) for t in texts]), benchmark).collect()
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal, -r.doc_start, r.item_start) for r in rows}
+    number = {w: i for i, w in enumerate([*words, "other"])}
+    docs, asked = ([np.array([number[w] for w in x], dtype=np.uint64) for x in xs] for xs in (texts, items))
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(asked):
+            least = min(12, len(item))
+            for shift in range(least - len(item), len(doc) - least + 1):
+                lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+                if (doc[lo + shift : hi + shift] == item[lo:hi]).sum() >= 0.8 * least:
+                    b = spaced_seeds.best_stretch(doc, item, shift, least, 0.8)
+                    if b:
+                        want[d, i] = max(want.get((d, i), ()), (b[1], b[2], -(b[0] + shift), b[0]))
+    assert got == want and len(want) >= len(texts)
+
+
 def test_best_stretch_equals_brute_force():
     rnd = random.Random(3)
     for _ in range(300):
