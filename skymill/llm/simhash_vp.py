@@ -309,7 +309,7 @@ def linked(nodes: DataFrame, words: int, radius: int, ratio: float = 0.0) -> Dat
         moved = np.flatnonzero(node[label] != node)
         return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
-    return grouped(routed(nodes, words, radius, ratio), HOME, VISITS).applyInPandas(link, "u long, v long")
+    return grouped(routed(nodes, words, radius, ratio), words, HOME, VISITS).applyInPandas(link, "u long, v long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
