@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from skymill.llm import (
     arrow_sequences,
     block_naming,
+    bottom_k,
     chat_targets,
+    coordinate_pruning,
     host_reputation,
     length_histogram,
     phrase_automata,
     rule_ensemble,
     simhash_vp,
     spaced_seeds,
+    structure_repair,
     tier_packing,
 )
 from skymill.llm.tables import table
@@ -204,3 +207,65 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT row_number() OVER () AS r, doc_id,
+            list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), s AS MATERIALIZED (
+        SELECT r, doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w
+    ), t AS (
+        SELECT r, len(sh) AS n, unnest(sh) AS h FROM s
+    ), f AS (
+        SELECT h, count(*) AS df FROM t GROUP BY h HAVING count(*) > 1
+    ), p AS MATERIALIZED (
+        SELECT r, n, h FROM (SELECT r, n, t.h, df, row_number() OVER (PARTITION BY r ORDER BY coalesce(df, 1), t.h) AS rk FROM t LEFT JOIN f ON t.h = f.h)
+        WHERE df > 1 AND rk <= n - ceil(n * 80 / 100) + 1
+    ), c AS MATERIALIZED (
+        SELECT DISTINCT a.r AS u, b.r AS v FROM p a JOIN p b ON a.h = b.h WHERE a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    ), e AS MATERIALIZED (
+        SELECT u, v FROM (SELECT u, v, len(list_intersect(a.sh, b.sh)) AS i, len(a.sh) + len(b.sh) AS n FROM c JOIN s a ON u = a.r JOIN s b ON v = b.r) WHERE 100 * i >= 80 * (n - i)
+    ), l AS MATERIALIZED (
+        SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+    ), reach AS (
+        SELECT DISTINCT u AS r, u AS o FROM l UNION SELECT reach.r, l.v FROM reach JOIN l ON reach.o = l.u
+    ), m AS (
+        SELECT reach.r, min(s.doc_id) AS least FROM reach JOIN s ON reach.o = s.r GROUP BY reach.r
+    )
+    SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept FROM s LEFT JOIN m USING (r)
+    """,
+)
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_hard_negatives",
+    r"""
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+        other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10
+    """,
+)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinate_pruning.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_structure_repair")
+def structure_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.damage_and_repair(table(spark, sf_dir, "conversations"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside hands texts to Python workers ``TEXT_ROWS`` rows at a time; afterwards the session is as before."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))
