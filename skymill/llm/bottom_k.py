@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skymill.llm.links import components
-from skymill.llm.tables import text_batches, text_of
+from skymill.llm.tables import Sieve, row_key, sifted, text_batches, text_of
 from skymill.llm.words import Rolling, ids_of
 from skymill.runtime import cut
 
 K = 64
 MISS = 1e-13
-STAR_ROUNDS = 2
+STARS = 2
 
 
 def shingles_of(text: str, width: int) -> np.ndarray:
@@ -49,22 +49,49 @@ def shared_at_least(percent: int, k: int = K, miss: float = MISS) -> int:
     return c
 
 
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist())
+
+
 def sketch(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
-    """Written: ``row, doc_id, n, d0, d1, sketch, shingles`` of every row; ``d0, d1`` are a digest of the whole set.
+    """Written: ``row, doc_id, key, n, d0, d1, sketch`` of every row; ``d0, d1`` are a digest of the whole set, ``key`` a hash of
+    the text.
 
     ``row`` names a column that tells the rows apart; without it they are numbered here. Null texts count as empty,
     sets of texts without words are empty. Columns other than ``doc_id`` and ``text`` are left out.
     """
 
-    @F.pandas_udf("n int, d0 long, d1 long, sketch array<long>, shingles array<long>")
+    @F.pandas_udf("n int, d0 long, d1 long, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles_of(t, width) for t in texts]
-        d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype="int32"), "d0": d[:, 0], "d1": d[:, 1], "sketch": [s[:K] for s in sets], "shingles": sets}, index=texts.index)
+        rows = []
+        for t in texts:
+            s = shingles_of(t, width)
+            rows.append((len(s), *digest(s), s[:K].copy()))
+        return pd.DataFrame(rows, columns=["n", "d0", "d1", "sketch"], index=texts.index).astype({"n": "int32", "d0": "int64", "d1": "int64"})
 
     number = F.col(row) if row else F.monotonically_increasing_id()
     with text_batches(docs.sparkSession):
-        return cut(docs.select(number.alias("row"), "doc_id", of(text_of()).alias("_s")).select("row", "doc_id", "_s.*"))
+        return cut(docs.select(number.alias("row"), "doc_id", row_key().alias("key"), of(text_of()).alias("_s")).select("row", "doc_id", "key", "_s.*"))
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Written: ``node, shingles`` of ``nodes`` (written; ``node, key, d0, d1``), from their texts.
+
+    Texts are found by their hash; what they are is decided by the digest of their shingles.
+    """
+
+    @F.pandas_udf("d0 long, d1 long, shingles array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles_of(t, width) for t in texts]
+        digests = [digest(s) for s in sets]
+        return pd.DataFrame({"d0": [d[0] for d in digests], "d1": [d[1] for d in digests], "shingles": sets}, index=texts.index)
+
+    with text_batches(docs.sparkSession):
+        texts = sifted(docs.select(row_key().alias("key"), text_of().alias("text")), "key", nodes, "key")
+        one = texts.groupBy(F.col("key").alias("_k"), F.xxhash64(F.lit(1), "text").alias("_other")).agg(F.any_value("text").alias("text"))
+        met = nodes.join(one, F.col("key") == F.col("_k")).select("node", "d0", "d1", of("text").alias("_s"))
+        same = (F.col("d0") == F.col("_s.d0")) & (F.col("d1") == F.col("_s.d1"))
+        return cut(met.where(same).groupBy("node").agg(F.any_value("_s.shingles").alias("shingles")))
 
 
 def _needed(n: Column, percent: int, k: int = K) -> Column:
@@ -86,15 +113,25 @@ def lists(nodes: DataFrame, percent: int) -> DataFrame:
     size - c + 1 of each share one. A list is cut into bins of sizes; similar sizes are in one bin or neighbouring ones,
     and a node also enters the bin above its own.
     """
-    entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    often = entries.groupBy(F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    values = nodes.select(F.explode("sketch").alias("_v"))
+    often = cut(values.groupBy("_v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    sieve = Sieve(often, "_v")
+    passes = sieve.test()
+
+    @F.pandas_udf("array<long>")
+    def shared(sketches: pd.Series) -> pd.Series:
+        return pd.Series([s[passes(s)] for s in sketches], index=sketches.index)
+
+    entries = nodes.select("node", "n", F.explode(shared("sketch")).alias("value"))
     kept = entries.join(often, F.col("value") == F.col("_v")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     size = F.least("n", F.lit(K))
     first = size - _needed(F.col("n"), percent) + 1 - (size - F.size("have"))
     step = -np.log(percent / 100)
     bins = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
     rare = kept.select("node", "n", F.explode(F.slice("have", 1, F.greatest(first, F.lit(0)))).alias("_e"), bins.alias("_b"))
-    return cut(rare.select(F.col("_e.value").alias("value"), F.explode(F.array("_b", F.col("_b") + 1)).alias("bin"), "node", "n"))
+    out = cut(rare.select(F.col("_e.value").alias("value"), F.explode(F.array("_b", F.col("_b") + 1)).alias("bin"), "node", "n"))
+    sieve.close()
+    return out
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -109,54 +146,45 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return seen.where(F.col("_shared") >= least).select("u", "v")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Written: those of ``pairs`` with 100 * common >= percent * union, counted on the whole sets."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Written: those of ``pairs`` (written) with 100 * common >= percent * union, counted on the whole sets."""
     likely = cut(estimated(pairs, nodes, percent))
-    of = lambda side: sets.select(F.col("row").alias(f"_{side}"), F.col("shingles").alias(f"_s{side}"))
+    ends = likely.select(F.explode(F.array("u", "v")).alias("_end")).distinct()
+    sets = whole_sets(docs, cut(nodes.join(ends, F.col("node") == F.col("_end")).select("node", "key", "d0", "d1")), width)
+    of = lambda side: sets.select(F.col("node").alias(f"_{side}"), F.col("shingles").alias(f"_s{side}"))
     both = likely.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v"))
     counted = both.select("u", "v", F.size(F.array_intersect("_su", "_sv")).cast("long").alias("_c"), (F.size("_su") + F.size("_sv")).cast("long").alias("_t"))
     return cut(counted.where(100 * F.col("_c") >= percent * (F.col("_t") - F.col("_c"))).select("u", "v"))
 
 
-def linked_nodes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, root`` of the components of all similar pairs; nodes without a partner are not returned.
 
-    First every list meets around one member, so that crowds of copies join with as many comparisons as they have
-    entries. Lists whose members are all connected then are done. In the others every pair of members that are still apart
-    is compared: all against those outside the list's largest component.
+    First every list meets around ``STARS`` members, so that crowds of copies join with as many comparisons as they
+    have entries. Lists whose members are all connected then are done. In the others every pair of members that are still
+    apart is compared: all against those outside the list's largest component.
     """
     entries = lists(nodes, percent)
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     pair = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    links, roots = None, None
-    for k in range(STAR_ROUNDS + 1):
-        if roots is None:
-            known = entries.withColumn("root", F.col("node"))
-        else:
-            known = entries.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
-        middle = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("_h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")))
-        stars = known.groupBy(F.col("value").alias("_value"), F.col("bin").alias("_bin")).agg(middle.alias("_m"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-        stars = stars.where("_lo < _hi")
-        of_list = (F.col("value") == F.col("_value")) & (F.col("bin") == F.col("_bin"))
-        if k < STAR_ROUNDS:
-            met = known.join(stars.select("_value", "_bin", "_m.other", "_m.other_n", "_m.other_root"), of_list)
-            met = met.where((F.col("root") != F.col("other_root")) & fits("n", "other_n"))
-        else:
-            entries = cut(known.join(stars.select("_value", "_bin"), of_list).drop("_value", "_bin"))
-            if entries.isEmpty():
-                break
-            shares = entries.groupBy("value", "bin", "root").agg(F.count(F.lit(1)).alias("_c"))
-            main = shares.groupBy(F.col("value").alias("_value"), F.col("bin").alias("_bin")).agg(F.max(F.struct("_c", "root")).alias("_main"))
-            apart = entries.join(main, of_list).where(F.col("root") != F.col("_main.root"))
-            apart = cut(apart.select("_value", "_bin", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("_main.root").alias("_main")))
-            met = entries.join(apart, of_list & (F.col("root") != F.col("other_root")) & fits("n", "other_n") & ((F.col("root") == F.col("_main")) | (F.col("node") < F.col("other"))))
-        pairs = cut(met.select(*pair).distinct())
-        found = verified(pairs, nodes, sets, percent)
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = cut(components(links))
-    return roots
+    of_list = (F.col("value") == F.col("_value")) & (F.col("bin") == F.col("_bin"))
+    by_list = [F.col("value").alias("_value"), F.col("bin").alias("_bin")]
+
+    middle = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("_h"), F.col("node").alias("other"), F.col("n").alias("other_n")))
+    stars = entries.groupBy(*by_list).agg(F.array(*[middle(k) for k in range(STARS)]).alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    met = entries.join(stars, of_list).select("node", "n", F.explode("_m").alias("_m")).select("node", "n", "_m.other", "_m.other_n")
+    links = verified(cut(met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair).distinct()), nodes, docs, width, percent)
+    roots = cut(components(links))
+
+    known = entries.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
+    shares = known.groupBy("value", "bin", "root").agg(F.count(F.lit(1)).alias("_c"))
+    main = shares.groupBy(*by_list).agg(F.max(F.struct("_c", "root")).alias("_main"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
+    open_lists = cut(known.join(main.select("_value", "_bin", F.col("_main.root").alias("_main")), of_list).drop("_value", "_bin"))
+    apart = open_lists.where("root <> _main").select(*by_list, F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    once = (F.col("root") == F.col("_main")) | (F.col("node") < F.col("other"))
+    met = open_lists.join(cut(apart), of_list & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n"))
+    found = verified(cut(met.select(*pair).distinct()), nodes, docs, width, percent)
+    return roots if found.isEmpty() else components(links.unionByName(found))
 
 
 def near_groups(docs: DataFrame, width: int, percent: int, row: str | None = None) -> DataFrame:
@@ -166,9 +194,9 @@ def near_groups(docs: DataFrame, width: int, percent: int, row: str | None = Non
     """
     rows = sketch(docs, width, row)
     same = ["n", "d0", "d1"]
-    nodes = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "sketch")).alias("_r"))
-    nodes = cut(nodes.select(F.col("_r.row").alias("node"), *same, F.col("_r.sketch").alias("sketch")))
-    roots = linked_nodes(nodes, rows, percent).withColumnRenamed("node", "_node")
+    nodes = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "key", "sketch")).alias("_r"))
+    nodes = cut(nodes.select(F.col("_r.row").alias("node"), *same, F.col("_r.key").alias("key"), F.col("_r.sketch").alias("sketch")))
+    roots = linked_nodes(nodes, docs, width, percent).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("root", "node").alias("root"))
     on = (F.col("d0") == F.col("_d0")) & (F.col("d1") == F.col("_d1")) & (F.col("n") == F.col("_n"))
     return rows.join(cut(named), on, "left").select("row", "doc_id", "n", "root")

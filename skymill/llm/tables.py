@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,48 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int
     ranked = df.withColumn("_within", F.row_number().over(within) - 1)
     joined = ranked.join(starts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
     return joined.withColumn(out, F.col("_start") + F.col("_within")).drop("_g", "_p", "_part", "_start", "_within")
+
+
+class Sieve:
+    """A bitmap of 64-bit hashes, to leave out rows without a partner before they are shuffled; some may slip through.
+
+    It holds 16 bits for each hash, but ``MOST`` (16 MB) at most: with more hashes more rows slip through, none is lost.
+    """
+
+    MOST = 1 << 27
+
+    def __init__(self, hashes: DataFrame, column: str):
+        sc = hashes.sparkSession.sparkContext
+        self.bits = min(self.MOST, max(1 << 15, 1 << (16 * hashes.count()).bit_length()))
+        place = F.col(column).bitwiseAND(F.lit(self.bits - 1)) + 1  # the bitmap functions count from one
+        maps = hashes.groupBy(F.bitmap_bucket_number(place).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_m"))
+        found = {r["_b"]: r["_m"] for r in maps.collect()}  # at most MOST / 32768 rows of 4 KB
+        blank = bytes(4096)
+        self.map = sc.broadcast(b"".join(bytes(found.get(b, blank)) for b in range(1, self.bits // 32768 + 1)))
+
+    def test(self):
+        """A function for Python workers: which of an array of hashes pass."""
+        sent, mask = self.map, self.bits - 1
+
+        def passes(hashes: np.ndarray) -> np.ndarray:
+            at = hashes & mask
+            return np.frombuffer(sent.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+        return passes
+
+    def close(self) -> None:
+        self.map.destroy()
+
+
+def sifted(df: DataFrame, column: str, hashes: DataFrame, of: str) -> DataFrame:
+    """Written: the rows of ``df`` whose ``column`` may be among the column ``of`` of ``hashes`` (written)."""
+    sieve = Sieve(hashes, of)
+    passes = sieve.test()
+
+    @F.pandas_udf("boolean")
+    def may(column: pd.Series) -> pd.Series:
+        return pd.Series(passes(column.to_numpy(dtype=np.int64)), index=column.index)
+
+    out = cut(df.where(may(column)))
+    sieve.close()
+    return out
