@@ -106,30 +106,36 @@ def _needed(n: Column, percent: int, k: int = K) -> Column:
 
 
 def lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """Written inverted lists ``value, bin, node, n``: any similar pair meets in one of them.
+    """Written inverted lists ``value, bin, node, n, place``: any similar pair meets in one of them.
 
     Each node enters the lists of its rarest retained values; values that only it retains need no list. The global order
     (rarest first, then by value) makes this a prefix filter: of two sketches that share c values, the first
     size - c + 1 of each share one. A list is cut into bins of sizes; similar sizes are in one bin or neighbouring ones,
     and a node also enters the bin above its own.
     """
-    values = nodes.select(F.explode("sketch").alias("_v"))
-    often = cut(values.groupBy("_v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    needed = _needed(F.col("n"), percent)
+    step = -np.log(percent / 100)
+    bins = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
+    rare = _rarest(nodes, "sketch", needed).withColumn("_b", bins)
+    return cut(rare.select("value", F.explode(F.array("_b", F.col("_b") + 1)).alias("bin"), "node", "n", "place"))
+
+
+def _rarest(nodes: DataFrame, values: str, needed: Column) -> DataFrame:
+    """``value, node, n, place``: of an array of values so many of the rarest that nodes which share ``needed`` of theirs share
+    one of these; ``place`` counts the values before it, from rare to frequent. Values that one node has are left out."""
+    often = cut(nodes.select(F.explode(values).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     sieve = Sieve(often, "_v")
     passes = sieve.test()
 
     @F.pandas_udf("array<long>")
-    def shared(sketches: pd.Series) -> pd.Series:
-        return pd.Series([s[passes(s)] for s in sketches], index=sketches.index)
-
-    entries = nodes.select("node", "n", F.explode(shared("sketch")).alias("value"))
-    kept = entries.join(often, F.col("value") == F.col("_v")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
-    size = F.least("n", F.lit(K))
-    first = size - _needed(F.col("n"), percent) + 1 - (size - F.size("have"))
-    step = -np.log(percent / 100)
-    bins = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    rare = kept.select("node", "n", F.explode(F.slice("have", 1, F.greatest(first, F.lit(0)))).alias("_e"), bins.alias("_b"))
-    out = cut(rare.select(F.col("_e.value").alias("value"), F.explode(F.array("_b", F.col("_b") + 1)).alias("bin"), "node", "n"))
+    def shared(arrays: pd.Series) -> pd.Series:
+        return pd.Series([s[passes(s)] for s in arrays], index=arrays.index)
+
+    entries = nodes.select("node", "n", F.size(values).alias("_size"), F.explode(shared(values)).alias("value"))
+    kept = entries.join(often, F.col("value") == F.col("_v")).groupBy("node", "n", "_size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
+    alone = F.col("_size") - F.size("have")
+    first = F.slice("have", 1, F.greatest(F.col("_size") - needed + 1 - alone, F.lit(0)))
+    out = cut(kept.select("node", "n", alone.alias("_alone"), F.posexplode(first).alias("_i", "_e")).select(F.col("_e.value").alias("value"), "node", "n", (F.col("_alone") + F.col("_i")).alias("place")))
     sieve.close()
     return out
 
@@ -146,44 +152,63 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return seen.where(F.col("_shared") >= least).select("u", "v")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Written: those of ``pairs`` (written) with 100 * common >= percent * union, counted on the whole sets."""
-    likely = cut(estimated(pairs, nodes, percent))
-    ends = likely.select(F.explode(F.array("u", "v")).alias("_end")).distinct()
-    sets = whole_sets(docs, cut(nodes.join(ends, F.col("node") == F.col("_end")).select("node", "key", "d0", "d1")), width)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Written: those of ``pairs`` with 100 * common >= percent * union, counted on the whole sets."""
     of = lambda side: sets.select(F.col("node").alias(f"_{side}"), F.col("shingles").alias(f"_s{side}"))
-    both = likely.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v"))
+    both = pairs.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v"))
     counted = both.select("u", "v", F.size(F.array_intersect("_su", "_sv")).cast("long").alias("_c"), (F.size("_su") + F.size("_sv")).cast("long").alias("_t"))
     return cut(counted.where(100 * F.col("_c") >= percent * (F.col("_t") - F.col("_c"))).select("u", "v"))
 
 
+def _with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    known = entries.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    return known.withColumn("root", F.coalesce("root", "node")).drop("_n")
+
+
 def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, root`` of the components of all similar pairs; nodes without a partner are not returned.
 
     First every list meets around ``STARS`` members, so that crowds of copies join with as many comparisons as they
-    have entries. Lists whose members are all connected then are done. In the others every pair of members that are still
-    apart is compared: all against those outside the list's largest component.
+    have entries. Lists whose members are all connected then are done. Members of the others get lists of their whole sets,
+    which are exact and much shorter. There all meet those outside the list's largest component, except where the
+    places of the common value already bound the overlap below what is asked.
     """
-    entries = lists(nodes, percent)
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     pair = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
+    fetch = lambda some: whole_sets(docs, cut(nodes.join(some, F.col("node") == F.col("_some")).select("node", "key", "d0", "d1")), width)
+
+    entries = lists(nodes, percent)
     of_list = (F.col("value") == F.col("_value")) & (F.col("bin") == F.col("_bin"))
     by_list = [F.col("value").alias("_value"), F.col("bin").alias("_bin")]
-
-    middle = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("_h"), F.col("node").alias("other"), F.col("n").alias("other_n")))
+    other = [F.col("node").alias("other"), F.col("n").alias("other_n")]
+    # where a value stands early, few values are the node's own: it is central among its copies
+    middle = lambda k: F.min(F.struct((F.col("place") if k == 0 else F.lit(0)).alias("_p"), F.xxhash64("node", F.lit(k)).alias("_h"), *other))
     stars = entries.groupBy(*by_list).agg(F.array(*[middle(k) for k in range(STARS)]).alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     met = entries.join(stars, of_list).select("node", "n", F.explode("_m").alias("_m")).select("node", "n", "_m.other", "_m.other_n")
-    links = verified(cut(met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair).distinct()), nodes, docs, width, percent)
+    pairs = cut(met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair).distinct())
+    likely = cut(estimated(pairs, nodes, percent))
+    links = verified(likely, fetch(likely.select(F.explode(F.array("u", "v")).alias("_some")).distinct()), percent)
     roots = cut(components(links))
 
-    known = entries.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
-    shares = known.groupBy("value", "bin", "root").agg(F.count(F.lit(1)).alias("_c"))
-    main = shares.groupBy(*by_list).agg(F.max(F.struct("_c", "root")).alias("_main"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
-    open_lists = cut(known.join(main.select("_value", "_bin", F.col("_main.root").alias("_main")), of_list).drop("_value", "_bin"))
-    apart = open_lists.where("root <> _main").select(*by_list, F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    known = _with_roots(entries, roots)
+    mixed = known.groupBy(*by_list).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
+    still = cut(known.join(mixed, of_list).select(F.col("node").alias("_some")).distinct())
+    if still.isEmpty():
+        return roots
+    sets = fetch(still)
+    size = F.size("shingles")
+    exact = _with_roots(_rarest(sets.select("node", size.alias("n"), "shingles"), "shingles", F.ceil(F.col("n") * percent / 100).cast("int")), roots)
+    exact = cut(exact)
+    shares = exact.groupBy("value", "root").agg(F.count(F.lit(1)).alias("_c"))
+    main = shares.groupBy(F.col("value").alias("_value")).agg(F.max(F.struct("_c", "root")).alias("_m"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
+    same = F.col("value") == F.col("_value")
+    mixed = cut(exact.join(main.select("_value", F.col("_m.root").alias("_main")), same).drop("_value"))
+    apart = mixed.where("root <> _main").select(F.col("value").alias("_value"), *other, F.col("place").alias("other_place"), F.col("root").alias("other_root"))
     once = (F.col("root") == F.col("_main")) | (F.col("node") < F.col("other"))
-    met = open_lists.join(cut(apart), of_list & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n"))
-    found = verified(cut(met.select(*pair).distinct()), nodes, docs, width, percent)
+    most = F.least("place", "other_place") + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    enough = most * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+    met = mixed.join(cut(apart), same & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n") & enough)
+    found = verified(cut(met.select(*pair).distinct()), sets, percent)
     return roots if found.isEmpty() else components(links.unionByName(found))
 
 
