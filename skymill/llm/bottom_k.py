@@ -12,6 +12,7 @@ at most ``MISS``; a more similar pair, less often.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 import numpy as np
@@ -53,21 +54,21 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist())
 
 
-def sketch(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
-    """Written: ``row, doc_id, key, n, d0, d1, sketch`` of every row; ``d0, d1`` are a digest of the whole set, ``key`` a hash of
-    the text.
+def sketch(docs: DataFrame, width: int, row: str | None = None, fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """Written: ``row, doc_id, key, n, d0, d1, sketch`` of every row, and ``f0``, what ``fingerprint`` makes of the set (0 without
+    one); ``d0, d1`` are a digest of the whole set, ``key`` a hash of the text.
 
     ``row`` names a column that tells the rows apart; without it they are numbered here. Null texts count as empty,
     sets of texts without words are empty. Columns other than ``doc_id`` and ``text`` are left out.
     """
 
-    @F.pandas_udf("n int, d0 long, d1 long, sketch array<long>")
+    @F.pandas_udf("n int, d0 long, d1 long, f0 long, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             s = shingles_of(t, width)
-            rows.append((len(s), *digest(s), s[:K].copy()))
-        return pd.DataFrame(rows, columns=["n", "d0", "d1", "sketch"], index=texts.index).astype({"n": "int32", "d0": "int64", "d1": "int64"})
+            rows.append((len(s), *digest(s), fingerprint(s) if fingerprint else 0, s[:K].copy()))
+        return pd.DataFrame(rows, columns=["n", "d0", "d1", "f0", "sketch"], index=texts.index).astype({"n": "int32", "d0": "int64", "d1": "int64", "f0": "int64"})
 
     number = F.col(row) if row else F.monotonically_increasing_id()
     with text_batches(docs.sparkSession):
@@ -165,9 +166,11 @@ def _with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return known.withColumn("root", F.coalesce("root", "node")).drop("_n")
 
 
-def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, proposed: DataFrame | None = None) -> DataFrame:
     """``node, root`` of the components of all similar pairs; nodes without a partner are not returned.
 
+    ``proposed`` (``u, v``) are likely pairs from elsewhere: verified with the first ones, they leave less to be compared.
+
     First every list meets around ``STARS`` members, so that crowds of copies join with as many comparisons as they
     have entries. Lists whose members are all connected then are done. Members of the others get lists of their whole sets,
     which are exact and much shorter. There all meet those outside the list's largest component, except where the
@@ -185,7 +188,10 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) ->
     middle = lambda k: F.min(F.struct((F.col("place") if k == 0 else F.lit(0)).alias("_p"), F.xxhash64("node", F.lit(k)).alias("_h"), *other))
     stars = entries.groupBy(*by_list).agg(F.array(*[middle(k) for k in range(STARS)]).alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     met = entries.join(stars, of_list).select("node", "n", F.explode("_m").alias("_m")).select("node", "n", "_m.other", "_m.other_n")
-    pairs = cut(met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair).distinct())
+    met = met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair)
+    if proposed is not None:
+        met = met.unionByName(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    pairs = cut(met.distinct())
     likely = cut(estimated(pairs, nodes, percent))
     links = verified(likely, fetch(likely.select(F.explode(F.array("u", "v")).alias("_some")).distinct()), percent)
     roots = cut(components(links))
@@ -212,16 +218,24 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) ->
     return roots if found.isEmpty() else components(links.unionByName(found))
 
 
-def near_groups(docs: DataFrame, width: int, percent: int, row: str | None = None) -> DataFrame:
-    """``row, doc_id, n, root`` of every row: ``root`` is the same for all rows of a component; ``row`` as in ``sketch``.
+def near_groups(
+    docs: DataFrame,
+    width: int,
+    percent: int,
+    row: str | None = None,
+    fingerprint: Callable[[np.ndarray], int] | None = None,
+    propose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``row, doc_id, n, root`` of every row: ``root`` is the same for all rows of a component; ``row`` and ``fingerprint`` as in
+    ``sketch``; ``propose`` gives likely pairs of nodes (``node, n, f0``).
 
     Rows with equal sets are one node, however many they are. Rows without words are alone: their root is null.
     """
-    rows = sketch(docs, width, row)
+    rows = sketch(docs, width, row, fingerprint)
     same = ["n", "d0", "d1"]
-    nodes = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "key", "sketch")).alias("_r"))
-    nodes = cut(nodes.select(F.col("_r.row").alias("node"), *same, F.col("_r.key").alias("key"), F.col("_r.sketch").alias("sketch")))
-    roots = linked_nodes(nodes, docs, width, percent).withColumnRenamed("node", "_node")
+    nodes = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "key", "f0", "sketch")).alias("_r"))
+    nodes = cut(nodes.select(F.col("_r.row").alias("node"), *same, "_r.key", "_r.f0", "_r.sketch"))
+    roots = linked_nodes(nodes, docs, width, percent, propose(nodes) if propose else None).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("root", "node").alias("root"))
     on = (F.col("d0") == F.col("_d0")) & (F.col("d1") == F.col("_d1")) & (F.col("n") == F.col("_n"))
     return rows.join(cut(named), on, "left").select("row", "doc_id", "n", "root")

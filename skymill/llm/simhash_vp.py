@@ -17,18 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skymill.llm.bottom_k import near_groups as near_groups_of_sets
 from skymill.llm.links import components
-from skymill.llm.tables import bounded_batches, row_key, text_of, without_rows
+from skymill.llm.tables import bounded_batches, row_key, text_of
 from skymill.runtime import cut
 
 SAMPLE = 4_096  # fingerprints the shard tree is fitted on
 HOME, VISITS = 32_768, 65_536  # fingerprints of a shard compared in one group: living there, visiting it
 LEAF = 512
 CHUNK = 65_536
-FEW = 8  # candidates that a document meets at once in a block; with more it first meets one of them
-STAR_ROUNDS = 3
-PAIR, CROWDED, MET = 0, 1, 2
-PAIR_HOME, PAIR_ASKING = 2_048, 4_096  # as HOME and VISITS, where every candidate pair is returned
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -201,41 +198,6 @@ def link_shard(points: np.ndarray, low: np.ndarray, high: np.ndarray, home: np.n
     return forest.label
 
 
-def pairs_of_shard(points: np.ndarray, size: np.ndarray, of: np.ndarray, order: np.ndarray, home: np.ndarray, asking: np.ndarray, radius: int, ratio: float, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows within ``radius`` whose groups ``of`` differ, as (asking row, home row); askers with more than were given;
-    rows that are part of any pair.
-
-    With ``few`` over 0, an asker that has more partners than that in a block of home rows gets only the first of them
-    in ``order`` there, so that a crowd meets around the same few rows.
-    """
-    h, q = home[np.argsort(size[home], kind="stable")], asking[np.argsort(size[asking], kind="stable")]
-    us, vs, more, met = [], [], [], []
-    for a in range(0, len(q), 1024):
-        some = q[a : a + 1024]
-        near = h[np.searchsorted(size[h], ratio * size[some].min()) : np.searchsorted(size[h], size[some].max() / ratio, side="right")]
-        for b in range(0, len(near), 4096):
-            block = near[b : b + 4096]
-            fits = distances(points[some], points[block]) <= radius
-            fits &= (of[some][:, None] != of[block][None, :]) & (size[some][:, None] >= ratio * size[block][None, :]) & (size[block][None, :] >= ratio * size[some][:, None])
-            if not fits.any():
-                continue
-            crowded = np.zeros(len(some), dtype=bool)
-            if few:
-                met += [some[fits.any(axis=1)], block[fits.any(axis=0)]]
-                crowded = fits.sum(axis=1) > few
-                if crowded.any():
-                    block_order = np.argsort(order[block])
-                    first = block_order[fits[crowded][:, block_order].argmax(axis=1)]
-                    us.append(some[crowded])
-                    vs.append(block[first])
-                    more.append(some[crowded])
-            x, y = np.nonzero(fits & ~crowded[:, None])
-            us.append(some[x])
-            vs.append(block[y])
-    each = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, more, met)]
-    return each[0], each[1], np.unique(each[2]), np.unique(each[3])
-
-
 def size_bins(sizes: pd.Series, ratio: float) -> np.ndarray:
     """Sizes that differ by no more than ``ratio`` are in one bin or in neighbouring ones; without a ratio all are in one."""
     if ratio <= 0:
@@ -312,70 +274,6 @@ def linked(nodes: DataFrame, words: int, radius: int, ratio: float = 0.0) -> Dat
     return grouped(routed(nodes, words, radius, ratio), words, HOME, VISITS).applyInPandas(link, "u long, v long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``u, v``) whose sets have at least that Jaccard similarity; ``sets``: ``node, shingles``."""
-    of = lambda side: sets.select(F.col("node").alias(f"_{side}"), F.col("shingles").alias(f"_s{side}"))
-    both = pairs.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v"))
-    common = F.size(F.array_intersect("_su", "_sv"))
-    return both.where(common >= similarity * (F.size("_su") + F.size("_sv") - common) - 1e-9).select("u", "v")
-
-
-def verified_roots(nodes: DataFrame, docs: DataFrame, shingle: int, words: int, radius: int, similarity: float) -> DataFrame:
-    """``node, root`` of the components of all pairs within ``radius`` whose shingle sets have at least ``similarity``.
-
-    ``nodes``: ``node, f0 .., size, doc_id, _key`` of distinct shingle sets. Fingerprints only propose pairs. A pair
-    whose nodes are already connected by similar pairs adds nothing and is not verified: nodes with many candidates first
-    meet few of them, the same for all, in ``STAR_ROUNDS`` rounds; what is still apart then is verified pair by pair,
-    whatever the number.
-    """
-    columns = [f"f{k}" for k in range(words)]
-    ratio = similarity * (1 - 1e-9)
-    sized = nodes.withColumns({"low": F.col("size"), "high": F.col("size")})
-    places = routed(sized, words, radius, ratio)
-    links, roots, crowded, sets = None, None, None, None
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], index=texts.index)
-
-    def proposer(few: int, seed: int):
-        def propose(pdf: pd.DataFrame) -> pd.DataFrame:
-            points = np.ascontiguousarray(pdf[columns].to_numpy(dtype=np.int64)).view(np.uint64)
-            asks, node = pdf["asks"].to_numpy(), pdf["node"].to_numpy()
-            order = _remix(node.view(np.uint64), seed + 1)
-            u, v, more, met = pairs_of_shard(points, pdf["low"].to_numpy(), pdf["of"].to_numpy(), order, np.flatnonzero(~asks), np.flatnonzero(asks), radius, ratio, few)
-            met = met[: 0 if seed else None]
-            us, vs = np.concatenate([node[u], node[more], node[met]]), np.concatenate([node[v], node[more], node[met]])
-            return pd.DataFrame({"u": us, "v": vs, "kind": np.repeat([PAIR, CROWDED, MET], [len(u), len(more), len(met)])})
-
-        return propose
-
-    for k in range(STAR_ROUNDS + 1):
-        last = k == STAR_ROUNDS
-        if k == 0:
-            asked = places.withColumn("of", F.col("node"))
-        else:
-            known = places.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
-            known = known.join(crowded.select(F.col("u").alias("_c")), F.col("node") == F.col("_c"), "left")
-            asked = known.withColumn("of", F.coalesce("root", "node")).withColumn("may_ask", F.col("_c").isNotNull()).drop("_n", "root", "_c")
-        size_of_group = (PAIR_HOME, PAIR_ASKING) if last else (HOME, VISITS)
-        got = cut(grouped(asked, words, *size_of_group).applyInPandas(proposer(0 if last else FEW, k), "u long, v long, kind int"))
-        if k == 0:
-            needed = got.where(F.col("kind") == MET).select(F.col("u").alias("_node")).distinct()
-            source = cut(nodes.join(needed, F.col("node") == F.col("_node")).select("node", F.col("doc_id").alias("_d"), F.col("_key").alias("_k")))
-            texts = docs.select("doc_id", row_key().alias("_key"), text_of().alias("text"))
-            met = texts.join(source, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-            sets = bounded_batches(met).select("node", shingles("text").alias("shingles"))
-            sets = cut(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")))  # rows may be repeated
-        pairs = got.where(F.col("kind") == PAIR).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        found = cut(similar(pairs, sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        roots = cut(components(links))
-        crowded = cut(got.where(F.col("kind") == CROWDED).select("u").distinct())
-        if last or crowded.isEmpty():
-            return roots
-
-
 def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3) -> DataFrame:
     """``doc_id, _key, f0 .., component_id`` of every row: fingerprints link at ``radius`` or fewer differing bits, and
     component_id is the smallest doc_id reachable (null ids count as larger than any; a group of null ids has null).
@@ -405,30 +303,31 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5, bits: int = 128, radius: int = 40, similarity: float = 0.8) -> DataFrame:
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set of 64-bit hashes, as a signed number."""
+    counts = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 3, percent: int = 80) -> DataFrame:
     """One row of each group of near copies, with its columns: the one with the smallest id.
 
-    Nulls count as larger than any id; of rows with the same id the one with the smallest hash of its text stays.
-    Two texts are near copies if their sets of shingles have a Jaccard similarity of ``similarity`` or more, which is
-    computed on the sets. Pairs to compare are those whose fingerprints differ in at most ``radius`` bits: a similarity of
-    s makes an expected share acos(2s / (1 + s)) / pi of the bits differ, 15 % or 19.4 of 128 for 0.8, give or take 4,
-    so that 40 bits miss fewer than one pair in 10,000 even of very short texts, where the share is up to 19 %. Texts
-    without common shingles differ in 64 bits, give or take 6. Repeated shingles count once.
+    Nulls count as larger than any id; of rows with the same id any one stays. Two texts are near copies if their
+    sets of shingles have a Jaccard similarity of ``percent`` hundredths or more, which is counted on the sets; repeated shingles
+    count once. Texts without words have no set and stay. An empty table gives no row.
+
+    Fingerprints of the sets that differ in ``radius`` bits or fewer meet through vantage-point trees; they join most
+    copies. A fingerprint says too little about a pair at the limit, so the rest is completed by ``bottom_k``, which loses none.
     """
-    columns = [f"f{k}" for k in range(bits // 64)]
-    prints = cut(fingerprints(docs, shingle, bits, distinct=True))
-    same = [*columns, "size", "digest"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
-    nodes = prints.groupBy(*same).agg(least).withColumn("node", F.monotonically_increasing_id())
-    nodes = cut(nodes.select("node", *same, "first", "first.doc_id", "first._key"))
-    roots = verified_roots(nodes, docs, shingle, len(columns), radius, similarity).withColumnRenamed("node", "_node")
-    rooted = cut(nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")))
-    survivors = cut(rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("survivor")))
-    named = rooted.join(survivors, F.col("root") == F.col("_root"))
-    named = cut(named.select("survivor", *[F.col(c).alias(f"_{c}") for c in same]))
-    on = F.lit(True)
-    for c in same:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    groups = prints.join(named, on)
-    stays = F.col("doc_id").eqNullSafe(F.col("survivor.doc_id")) & (F.col("_key") == F.col("survivor._key"))
-    return without_rows(docs, cut(groups.where(~stays).select("doc_id", "_key").distinct()), once=True)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    close = lambda nodes: linked(nodes.select("node", "f0", F.col("n").alias("low"), F.col("n").alias("high")), 1, radius)
+    groups = cut(near_groups_of_sets(numbered, shingle, percent, row, majority, close))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("_first")
+    stays = groups.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(first).select("_root", F.col("_first.row").alias("_stays"))
+    gone = groups.join(cut(stays), F.col("root") == F.col("_root")).where(F.col("row") != F.col("_stays")).select(F.col("row").alias("_gone"))
+    return numbered.join(cut(gone), F.col(row) == F.col("_gone"), "left_anti").drop(row)
