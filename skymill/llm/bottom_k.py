@@ -28,7 +28,7 @@ from skymill.runtime import cut
 
 K = 64
 MISS = 1e-13
-STARS = 2
+FEW = 16  # members of a list that meet pair by pair
 
 
 def shingles_of(text: str, width: int) -> np.ndarray:
@@ -171,10 +171,10 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
 
     ``proposed`` (``u, v``) are likely pairs from elsewhere: verified with the first ones, they leave less to be compared.
 
-    First every list meets around ``STARS`` members, so that crowds of copies join with as many comparisons as they
-    have entries. Lists whose members are all connected then are done. Members of the others get lists of their whole sets,
-    which are exact and much shorter. There all meet those outside the list's largest component, except where the
-    places of the common value already bound the overlap below what is asked.
+    First every list meets around two members, so that crowds of copies join with as many comparisons as they have
+    entries. Lists whose members are all connected then are done. In others of up to ``FEW`` members all that are apart meet.
+    Members of longer ones get lists of their whole sets, which are exact and much shorter. There all meet those outside the
+    list's largest component, except where the places of the common value already bound the overlap below what is asked.
     """
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     pair = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
@@ -185,20 +185,28 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
     by_list = [F.col("value").alias("_value"), F.col("bin").alias("_bin")]
     other = [F.col("node").alias("other"), F.col("n").alias("other_n")]
     # where a value stands early, few values are the node's own: it is central among its copies
-    middle = lambda k: F.min(F.struct((F.col("place") if k == 0 else F.lit(0)).alias("_p"), F.xxhash64("node", F.lit(k)).alias("_h"), *other))
-    stars = entries.groupBy(*by_list).agg(F.array(*[middle(k) for k in range(STARS)]).alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    met = entries.join(stars, of_list).select("node", "n", F.explode("_m").alias("_m")).select("node", "n", "_m.other", "_m.other_n")
+    middle = [F.min(F.struct("place", F.xxhash64("node").alias("_h"), *other)), F.max(F.struct(F.xxhash64("node").alias("_h"), F.lit(0).alias("_p"), *other))]
+    middle = F.array(*[F.struct(m["other"].alias("other"), m["other_n"].alias("other_n")) for m in middle])
+    stars = entries.groupBy(*by_list).agg(middle.alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    starred = cut(entries.join(stars, of_list).drop("_value", "_bin"))
+    met = starred.select("node", "n", F.explode("_m").alias("_m")).select("node", "n", "_m.other", "_m.other_n")
     met = met.where((F.col("node") != F.col("other")) & fits("n", "other_n")).select(*pair)
     if proposed is not None:
         met = met.unionByName(proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     pairs = cut(met.distinct())
+    ends = lambda found: found.select(F.explode(F.array("u", "v")).alias("_some"))
     likely = cut(estimated(pairs, nodes, percent))
-    links = verified(likely, fetch(likely.select(F.explode(F.array("u", "v")).alias("_some")).distinct()), percent)
+    links = verified(likely, fetch(ends(likely).distinct()), percent)
     roots = cut(components(links))
 
-    known = _with_roots(entries, roots)
+    known = _with_roots(starred.where(~F.array_contains(F.col("_m.other"), F.col("node"))).drop("_m"), roots)
     mixed = known.groupBy(*by_list).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
-    still = cut(known.join(mixed, of_list).select(F.col("node").alias("_some")).distinct())
+    known = cut(known.join(mixed.select("_value", "_bin"), of_list).drop("_value", "_bin"))
+    few = known.where(F.col("_c") <= FEW)
+    met = few.join(few.select(*by_list, *other, F.col("root").alias("other_root")), of_list & (F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits("n", "other_n"))
+    likely = cut(estimated(cut(met.select(*pair).distinct()), nodes, percent))
+    crowds = known.where(F.col("_c") > FEW).select(F.col("node").alias("_some"))
+    still = cut(crowds.unionByName(ends(likely)).distinct())
     if still.isEmpty():
         return roots
     sets = fetch(still)
@@ -214,7 +222,7 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
     most = F.least("place", "other_place") + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     enough = most * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
     met = mixed.join(cut(apart), same & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n") & enough)
-    found = verified(cut(met.select(*pair).distinct()), sets, percent)
+    found = verified(cut(met.select(*pair).unionByName(likely).distinct()), sets, percent)
     return roots if found.isEmpty() else components(links.unionByName(found))
 
 
