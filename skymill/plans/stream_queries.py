@@ -21,28 +21,31 @@ def _clock(column: str):
     return F.timestamp_micros((F.col(column) * 1e9).cast("long"))
 
 
+PIECES = 4
+
+
 def run_stream(spark, table, build, sort: str):
-    """Write ``table`` in time slices, stream them through ``build``, return everything that came out."""
+    """Write ``table`` in time slices, stream each through ``build`` as it arrives, return everything that came out.
+
+    Every slice is a run of its own that goes on from the state of the run before, as after a restart. Closing rows far in the
+    future move the watermark past all real events.
+    """
     source, sink, point = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    # closing rows far in the future move the watermark past all real events
     table = cut(table)
-    # the file source takes files in the order of their age: write one time slice after the other
-    lo, hi = table.agg(F.min(sort), F.max(sort)).first()
-    width = (hi - lo) / 4 or 1.0
-    piece = F.least(F.lit(3), F.floor((F.col(sort) - lo) / width))
-    for k in range(4):
-        table.where(piece == k).coalesce(1).write.mode("append").parquet(source)
-    end = table.agg((F.max("event_time") + F.expr("interval 1 day"))).first()[0]
-    close = table.select("session_id").distinct().select("session_id", F.lit(end).alias("event_time"))
-    for k in range(2):
-        filler = close.withColumn("event_time", F.col("event_time") + F.expr(f"interval {k} days"))
-        for c, t in table.dtypes:
-            if c not in filler.columns:
-                filler = filler.withColumn(c, F.lit(None).cast(t))
-        filler.select(*table.columns).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
-    q = build(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
-    q.awaitTermination()
+    lo, hi, end = table.agg(F.min(sort), F.max(sort), F.max("event_time")).first()
+    width = (hi - lo) / PIECES or 1.0
+    piece = F.least(F.lit(PIECES - 1), F.floor((F.col(sort) - lo) / width))
+    sessions = table.select("session_id").distinct()
+    for k in range(PIECES + 1):
+        if k < PIECES:
+            arriving = table.where(piece == k)
+        else:
+            blank = [F.lit(None).cast(t).alias(c) for c, t in table.dtypes if c not in ("session_id", "event_time")]
+            arriving = sessions.select("session_id", (F.lit(end) + F.expr("interval 1 day")).alias("event_time"), *blank).select(*table.columns)
+        arriving.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(table.schema).parquet(source)
+        q = build(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
+        q.awaitTermination()
     return spark.read.parquet(sink)
 
 
@@ -50,12 +53,10 @@ def run_stream(spark, table, build, sort: str):
 def _st1(spark, sf):
     synced = _synced(spark, sf).withColumn("altitude_m", F.col("altitude_m") - F.col("origin_alt"))
     ev = tm.event_stream(load(spark, sf, "imu"), synced).withColumn("event_time", _clock("timestamp_s"))
-    out = run_stream(spark, ev, lambda s: sf_.stream_trajectory(s.where(F.col("kind").isNotNull() | F.col("timestamp_s").isNull()), "10 minutes"), "timestamp_s")
-    return rounded(out.where(F.col("frame_idx").isNotNull()))
+    return rounded(run_stream(spark, ev, lambda s: sf_.stream_trajectory(s, "10 minutes"), "timestamp_s"))
 
 
 @query("ST2_stream_keyframes")
 def _st2(spark, sf):
-    rows = sf_.stream_inputs(fr.keyframe_inputs(*keyframe_tables(spark, sf))).withColumn("event_time", _clock("timestamp_s"))
-    out = run_stream(spark, rows, lambda s: sf_.stream_keyframes(s, "10 minutes"), "timestamp_s")
-    return rounded(out.where(F.col("frame_idx").isNotNull()))
+    rows = fr.keyframe_inputs(*keyframe_tables(spark, sf)).withColumn("event_time", _clock("timestamp_s"))
+    return rounded(run_stream(spark, rows, lambda s: sf_.stream_keyframes(s, "10 minutes"), "timestamp_s"))

@@ -1,67 +1,105 @@
-"""The two sequential estimators on event streams: same step functions as in batch, state kept per session.
+"""The two sequential estimators on event streams: same step functions as in batch, keyed state with timers.
 
-Events may arrive out of order within the watermark. They wait in the state until the watermark has passed
-them and are then applied in time order, so a stream gives the rows that the batch job gives.
+Events may arrive out of order within the watermark. They wait in lists, one for each span of event time, and a timer
+set at the end of a span wakes it once the watermark has passed: its events are then applied in time order, so a stream
+gives the rows that the batch job gives. Event times have to lie after 1970-01-01, where every watermark starts. What waits for a session is bounded by the watermark's delay times the rate of its
+events; an arriving batch appends to the lists and never rewrites them. The running estimate is one small value beside
+them.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from skymill.functions.camera import euler_rotation
 from skymill.operators import frames as fr
 from skymill.operators import trajectory as tj
 from skymill.operators.telemetry import EVENT_ORDER
 
-STATE_SCHEMA = "blob string"
-
-
-def _stepper(
-    order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict | None], columns: list[str]
-) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """A state function that holds events back until the watermark, then steps through them in order."""
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"wait": [], "at": start()}
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["event_ms"] = [t.timestamp() * 1000.0 for t in pdf["event_time"]]
-            rows = pdf.drop(columns=["event_time"]).astype(object)
-            held["wait"] += rows.where(pd.notnull(rows), None).to_dict("records")
-        mark = state.getCurrentWatermarkMs()
-        ready = [e for e in held["wait"] if state.hasTimedOut or e["event_ms"] < mark]
-        held["wait"] = [e for e in held["wait"] if not (state.hasTimedOut or e["event_ms"] < mark)]
-        out = []
-        for e in sorted(ready, key=lambda r: tuple(r[c] for c in order)):
-            made = step(held["at"], e)
-            if made is not None:
-                out.append({"session_id": key[0]} | made)
-        state.update((json.dumps(held, default=float),))
-        if held["wait"]:
-            # wake up once the watermark is past the latest waiting event
-            state.setTimeoutTimestamp(int(max(max(e["event_ms"] for e in held["wait"]) + 1, mark + 1)))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    return run
+LISTS = 8  # spans of event time that wait in lists of their own; a farther span shares the list of another
+SPANS_OF_DELAY = 4
+
+
+class OrderedSteps(StatefulProcessor):
+    """Applies ``step`` to the events of a key in time order, one span of event time after the other.
+
+    ``fields`` (name, type) of an event are kept while it waits. ``step(value, event)`` takes the running value and an event,
+    as dictionaries, and returns the value after it and a row to emit, or none.
+    """
+
+    def __init__(self, key: str, fields: list[tuple[str, str]], order: list[str], value: list[tuple[str, str]], start: Callable[[], dict], step: Callable[[dict, dict], tuple[dict, dict | None]], out: list[str], span_ms: int):
+        self.key, self.fields, self.order, self.value, self.start, self.step, self.out, self.span_ms = key, fields, order, value, start, step, out, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ddl = ", ".join(f"{n} {t}" for n, t in [("event_ms", "bigint"), *self.fields])
+        self.handle = handle
+        self.waiting = [handle.getListState(f"waiting{k}", ddl) for k in range(LISTS)]
+        self.now = handle.getValueState("now", ", ".join(f"{n} {t}" for n, t in self.value))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        names, timers = ["event_ms", *[n for n, _ in self.fields]], set()
+        for pdf in rows:
+            pdf = pdf[names].astype(object)
+            pdf = pdf.where(pd.notnull(pdf), None)
+            span = (pdf["event_ms"] // self.span_ms).astype("int64")
+            for b, part in pdf.groupby(span):
+                self.waiting[b % LISTS].appendList([tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in r) for r in part.itertuples(index=False, name=None)])
+                timers.add((int(b) + 1) * self.span_ms)
+        for t in timers - set(self.handle.listTimers()):
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = self.waiting[(end // self.span_ms - 1) % LISTS]
+        names = ["event_ms", *[n for n, _ in self.fields]]
+        events = [dict(zip(names, e)) for e in waiting.get()]
+        later = [e for e in events if e["event_ms"] >= end]
+        if later:
+            waiting.put([tuple(e[n] for n in names) for e in later])
+        else:
+            waiting.clear()
+        value = dict(zip([n for n, _ in self.value], self.now.get())) if self.now.exists() else self.start()
+        made = []
+        for e in sorted((e for e in events if e["event_ms"] < end), key=lambda e: [e[c] for c in self.order]):
+            value, row = self.step(value, e)
+            if row is not None:
+                made.append({self.key: key[0]} | row)
+        self.now.update(tuple(value[n] for n, _ in self.value))
+        # not a generator: by the time its rows are drawn, the state may stand at another key
+        return iter([pd.DataFrame(made, columns=self.out)] if made else [])
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(events: DataFrame, delay: str, fields: list[str], order: list[str], value: list[tuple[str, str]], start: Callable[[], dict], step: Callable, out: str) -> DataFrame:
+    """``step`` over the events of each session; the state needs the RocksDB provider."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    types = dict(events.dtypes)
+    delay_ms = spark.sql(f"SELECT CAST(unix_millis(timestamp'1970-01-02 00:00:00' + INTERVAL {delay}) - unix_millis(timestamp'1970-01-02 00:00:00') AS BIGINT)").first()[0]
+    names = ["session_id", *[c.split()[0] for c in out.split(", ")]]
+    steps = OrderedSteps("session_id", [(f, types[f]) for f in fields], order, value, start, step, names, max(delay_ms // SPANS_OF_DELAY, 1))
+    marked = events.withWatermark("event_time", delay).withColumn("event_ms", F.unix_millis("event_time"))
+    return marked.groupBy("session_id").transformWithStateInPandas(steps, f"session_id {types['session_id']}, {out}", "Append", "EventTime")
 
 
 # --- trajectory ---------------------------------------------------------------------------------
 
 _POSE = ["frame_idx", "timestamp_s", "roll", "pitch", "yaw", *tj._OUT]
+_FILTER = [*tj._STATE, "roll", "pitch", "yaw", "last_s"]
 
 
 def _start_filter() -> dict:
-    m, p = tj.start_state()
-    return {"x": tj._pack_state(m, p).tolist(), "turn": [0.0, 0.0, 0.0], "last": None, "fixed": False}
+    state = tj._pack_state(*tj.start_state()).tolist()
+    return dict(zip(_FILTER, [*state, 0.0, 0.0, 0.0, None])) | {"fixed": False}
 
 
 def _rotation(roll: float, pitch: float, yaw: float) -> np.ndarray:
@@ -75,80 +113,62 @@ def _rotation(roll: float, pitch: float, yaw: float) -> np.ndarray:
     )
 
 
-def _step_filter(at: dict, e: dict) -> dict | None:
-    m, p = tj._unpack_state(np.array(at["x"]))
-    made = None
+def _step_filter(at: dict, e: dict) -> tuple[dict, dict | None]:
+    m, p = tj._unpack_state(np.array([at[c] for c in tj._STATE]))
+    turn, last, fixed, made = [at["roll"], at["pitch"], at["yaw"]], at["last_s"], at["fixed"], None
     if e["kind"] == "IMU":
-        dt = None if at["last"] is None else e["timestamp_s"] - at["last"]
-        at["last"] = e["timestamp_s"]
+        dt = None if last is None else e["timestamp_s"] - last
+        last = e["timestamp_s"]
         if dt is not None and 0 < dt <= tj.MAX_STEP_S:
-            acc = _rotation(*at["turn"]) @ np.array([e["ax"], e["ay"], e["az"]]) - np.array([0.0, 0.0, tj.GRAVITY])
+            acc = _rotation(*turn) @ np.array([e["ax"], e["ay"], e["az"]]) - np.array([0.0, 0.0, tj.GRAVITY])
             tj.predict(m, p, dt, acc)
-            at["turn"] = [a + g * dt for a, g in zip(at["turn"], (e["gx"], e["gy"], e["gz"]))]
+            turn = [a + g * dt for a, g in zip(turn, (e["gx"], e["gy"], e["gz"]))]
     elif e["kind"] == "GPS":
         z = np.array([e["e"], e["n"], e["u"]])
-        if at["fixed"]:
+        if fixed:
             tj.update(m, p, slice(0, 3), z, tj.GPS_VARIANCE)
         else:
             tj.place(m, p, z)
-            at["fixed"] = True
+            fixed = True
     elif e["kind"] == "BARO":
         tj.update(m, p, slice(2, 3), np.array([e["altitude_m"]]), np.array([tj.BARO_VARIANCE]))
-    else:
-        vals = [int(e["pos"]), e["timestamp_s"], *at["turn"], *m[:, 0], *m[:, 1], *p[:, 0, 0]]
-        made = dict(zip(_POSE, vals))
-    at["x"] = tj._pack_state(m, p).tolist()
-    return made
+    elif e["kind"] == "FRAME":
+        made = dict(zip(_POSE, [int(e["pos"]), e["timestamp_s"], *turn, *m[:, 0], *m[:, 1], *p[:, 0, 0]]))
+    return dict(zip(_FILTER, [*tj._pack_state(m, p).tolist(), *turn, last])) | {"fixed": fixed}, made
 
 
 def stream_trajectory(events: DataFrame, delay: str = "2 seconds") -> DataFrame:
     """ST1: the event stream of ``event_stream`` plus ``event_time`` -> state at every frame, as frames become final.
 
-    Barometer readings are expected relative to the session's origin.
+    Barometer readings are expected relative to the session's origin. Events of no known kind only move the clock. A
+    session is never known to stay without fixes and IMU, so one that does has the filter's start values, not those at rest.
     """
-    key = {f.name: f.dataType.simpleString() for f in events.schema}["session_id"]
-    schema = f"session_id {key}, frame_idx bigint, " + ", ".join(f"{c} double" for c in _POSE[1:])
-    states = (
-        events.withWatermark("event_time", delay)
-        .groupBy("session_id")
-        .applyInPandasWithState(
-            _stepper(EVENT_ORDER, _start_filter, _step_filter, ["session_id", *_POSE]), schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    fields = [*EVENT_ORDER, "kind", "ax", "ay", "az", "gx", "gy", "gz", "e", "n", "u", "altitude_m"]
+    value = [*((c, "double") for c in _FILTER), ("fixed", "boolean")]
+    out = "frame_idx bigint, " + ", ".join(f"{c} double" for c in _POSE[1:])
+    states = _ordered(events, delay, fields, EVENT_ORDER, value, _start_filter, _step_filter, out)
     return euler_rotation(states, "roll", "pitch", "yaw").drop("roll", "pitch", "yaw")
 
 
 # --- keyframes ----------------------------------------------------------------------------------
 
-_VERDICT = ["frame_idx", "overlap", "parallax", "baseline_m", "baseline_source", "is_selected", "rejection_reason"]
+_LAST = ["frame_idx", "timestamp_s", "e", "n", "u"]
 
 
-def _step_keyframe(at: dict, e: dict) -> dict:
-    row = {k: e.get(k) for k in ("frame_idx", "timestamp_s", "e", "n", "u", "speed", "gate")}
-    pair = (0.0, 0.0, 0.0)
-    if at["last"] is not None:
-        for prev, *metrics in json.loads(e["near"] or "[]"):
-            if prev == at["last"]["frame_idx"]:
+def _step_keyframe(last: dict, e: dict) -> tuple[dict, dict | None]:
+    if e["frame_idx"] is None:
+        return last, None
+    state, pair = None if last["frame_idx"] is None else last, (0.0, 0.0, 0.0)
+    if state is not None:
+        for prev, *metrics in zip(*(e[c] or () for c in ("prev_ids", "overlaps", "parallaxes", "motions"))):
+            if prev == state["frame_idx"]:
                 pair = tuple(metrics)
-    at["last"], verdict = fr.step_keyframes(at["last"], row, pair)
-    return {"frame_idx": int(e["frame_idx"])} | verdict
+    state, verdict = fr.step_keyframes(state, {k: e[k] for k in (*_LAST, "speed", "gate")}, pair)
+    return state or last, {"frame_idx": int(e["frame_idx"])} | verdict
 
 
 def stream_keyframes(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """ST2: frames as given by ``stream_inputs`` plus ``event_time`` -> verdict per frame."""
-    key = {f.name: f.dataType.simpleString() for f in frames.schema}["session_id"]
-    schema = f"session_id {key}, frame_idx bigint, {fr._V_COLS}"
-    return (
-        frames.withWatermark("event_time", delay)
-        .groupBy("session_id")
-        .applyInPandasWithState(
-            _stepper(["frame_idx"], lambda: {"last": None}, _step_keyframe, ["session_id", *_VERDICT]), schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-
-
-def stream_inputs(keyframe_rows: DataFrame) -> DataFrame:
-    """Rows of ``keyframe_inputs`` with the look-back metrics of each frame as one text field."""
-    near = F.to_json(F.arrays_zip("prev_ids", "overlaps", "parallaxes", "motions"))
-    lists = F.regexp_replace(F.regexp_replace(F.regexp_replace(near, r'"[a-z_]+":', ""), r"\{", "["), r"\}", "]")
-    return keyframe_rows.withColumn("near", lists).drop("prev_ids", "overlaps", "parallaxes", "motions")
+    """ST2: rows of ``keyframe_inputs`` plus ``event_time`` -> verdict per frame. Rows without a frame only move the clock."""
+    fields = [*_LAST, "speed", "gate", "prev_ids", "overlaps", "parallaxes", "motions"]
+    value = [("frame_idx", "bigint"), *((c, "double") for c in _LAST[1:])]
+    return _ordered(frames, delay, fields, ["frame_idx"], value, lambda: dict.fromkeys(_LAST), _step_keyframe, f"frame_idx bigint, {fr._V_COLS}")
