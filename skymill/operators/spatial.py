@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skymill.functions.taxonomy import BUILDING_ID, ELEVATED_CLASS_IDS
+from skymill.operators import neighbours
 from skymill.operators.quantiles import exact_percentiles
-from skymill.runtime import cut, spread
+from skymill.runtime import cut
 
 MISSION = ["mission_id"]
 G = ["gx", "gy", "gz"]
@@ -149,108 +149,28 @@ def remove_radius_outliers(points: DataFrame, nb_points: int = 8, radius: float
 # --- k nearest ----------------------------------------------------------------------------------
 
 
-def nearest(
-    points: DataFrame, k: int, include_self: bool = True, shrink: bool = False, hot_cell: int | None = None
-) -> DataFrame:
-    """Exact k nearest neighbours of every distinct position.
-
-    Returns ``mission_id, loc_id, x, y, z, w`` of the position, ``n_id, n_x, n_y, n_z`` of a neighbour, its
-    ``dist`` and ``take``: how many of the k it fills (copies fill several). Missions with fewer than k points give all
-    they have; with ``shrink`` k is at most the mission's points less one, and at least three.
-
-    Each position starts on a grid cell sized for its mission's density, finer where a cell is crowded. A
-    result stands when the k-th distance does not reach beyond the 27 cells searched; the rest go on to
-    cells twice as large. Rounds end when nothing is left.
-    """
-    hot = hot_cell or 8 * k
+def _asking(points: DataFrame, k: int, include_self: bool, shrink: bool) -> DataFrame:
+    """The distinct positions with ``_k``: at most what the mission has, with ``shrink`` its points less one, at least three."""
     locs = locations(points)
-    extent = locs.groupBy(*MISSION).agg(
-        F.sum("w").alias("_total"), *[F.min(c).alias(f"_min_{c}") for c in XYZ], *[F.max(c).alias(f"_max_{c}") for c in XYZ]
-    )
-    volume = F.lit(1.0)
-    for c in XYZ:
-        volume = volume * F.greatest(F.col(f"_max_{c}") - F.col(f"_min_{c}"), F.lit(1e-3))
+    total = locs.groupBy(*MISSION).agg(F.sum("w").alias("_total"))
     want = F.least(F.lit(k).cast("long"), F.greatest(F.lit(3).cast("long"), F.col("_total") - 1)) if shrink else F.lit(k).cast("long")
     available = F.col("_total") if include_self else F.col("_total") - 1
-    extent = extent.select(
-        *MISSION,
-        "_total",
-        F.least(want, available).alias("_k"),
-        F.pow(volume * (max(k, 3) / 3.0) / F.col("_total"), F.lit(1.0 / 3.0)).alias("_side"),
-    )
-    base = cut(locs.join(extent, MISSION).withColumn("_lv", F.lit(0)))
+    return locs.join(total.select(*MISSION, F.least(want, available).alias("_k")), MISSION)
 
-    def gridded(df: DataFrame, level: Column) -> DataFrame:
-        step = F.col("_side") * F.pow(F.lit(2.0), -level)
-        return df.withColumns({g: F.floor(F.col(c) / step).cast("long") for g, c in zip(G, XYZ)})
 
-    active = base.where(F.col("_k") > 0)
-    for _ in range(40):
-        crowded = gridded(active, F.col("_lv")).groupBy(*MISSION, "_lv", *G).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-        if crowded.isEmpty():
-            break
-        marks = crowded.select(*MISSION, "_lv", *G, F.lit(1).alias("_hot"))
-        active = cut(
-            gridded(active, F.col("_lv"))
-            .join(marks, [*MISSION, "_lv", *G], "left")
-            .withColumn("_lv", F.col("_lv") + F.coalesce("_hot", F.lit(0)))
-            .drop("_hot", *G)
-        )
+def nearest(points: DataFrame, k: int, include_self: bool = True, shrink: bool = False) -> DataFrame:
+    """Exact k nearest neighbours of every distinct position.
 
-    found = None
-    while True:
-        levels = [r[0] for r in active.select("_lv").distinct().collect()]
-        if not levels:
-            break
-        tiers = base.drop("_lv").withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels])))
-        tiers = gridded(tiers, F.col("_lv")).select(*MISSION, "_lv", *G, *[F.col(c).alias(f"n_{c}") for c in XYZ], F.col("loc_id").alias("n_id"), F.col("w").alias("n_w"))
-        asks = gridded(active, F.col("_lv"))
-        cells = tiers.groupBy(*MISSION, "_lv", *G).agg(F.sum("n_w").alias("_n"))
-        around = asks.select(*MISSION, "_lv", *G).distinct().withColumn("_o", F.explode(_offsets(1)))
-        around = around.select(*MISSION, "_lv", *G, *[(F.col(g) + F.col(f"_o.{n}")).alias(f"h{g[1]}") for g, n in zip(G, "ijk")])
-        far = {g: f"h{g[1]}" for g in G}
-        block = around.join(cells.withColumnsRenamed(far), [*MISSION, "_lv", "hx", "hy", "hz"])
-        sums = block.groupBy(*MISSION, "_lv", *G).agg(F.sum("_n").alias("_block"))
-        own = 0 if include_self else 1
-        asks = cut(asks.join(sums, [*MISSION, "_lv", *G]).withColumn("_ready", F.col("_block") - own >= F.col("_k")))
-        ready = asks.where("_ready")
-        cand = spread(ready, *MISSION, "loc_id").join(block.select(*MISSION, "_lv", *G, "hx", "hy", "hz"), [*MISSION, "_lv", *G])
-        cand = cand.join(tiers.withColumnsRenamed(far), [*MISSION, "_lv", "hx", "hy", "hz"])
-        cand = cand.withColumn("dist", F.sqrt(_dist2("", "n_")))
-        if not include_self:
-            cand = cand.withColumn("n_w", F.when(F.col("n_id") == F.col("loc_id"), F.col("n_w") - 1).otherwise(F.col("n_w"))).where(F.col("n_w") > 0)
-        mine = Window.partitionBy(*MISSION, "loc_id").orderBy("dist", "n_id")
-        top = cand.withColumn("_rn", F.row_number().over(mine)).where(F.col("_rn") <= k)
-        filled = F.coalesce(F.sum("n_w").over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        top = top.withColumn("_left", F.col("_k") - filled).where(F.col("_left") > 0)
-        top = top.withColumn("take", F.least("n_w", "_left"))
-        step = F.col("_side") * F.pow(F.lit(2.0), -F.col("_lv"))
-        room = F.least(
-            *[F.col(c) - (F.col(g) - 1) * step for g, c in zip(G, XYZ)], *[(F.col(g) + 2) * step - F.col(c) for g, c in zip(G, XYZ)]
-        )
-        last = F.max("dist").over(Window.partitionBy(*MISSION, "loc_id"))
-        top = top.withColumn("_sure", (last <= room) | (F.col("_block") >= F.col("_total")))
-        sure = cut(
-            top.where("_sure").select(*MISSION, "loc_id", *XYZ, "w", "n_id", *[f"n_{c}" for c in XYZ], "dist", "take")
-        )
-        found = sure if found is None else found.unionByName(sure)
-        active = cut(
-            asks.join(sure.select(*MISSION, "loc_id").distinct(), [*MISSION, "loc_id"], "left_anti")
-            .withColumn("_lv", F.col("_lv") - 1)
-            .drop("_block", "_ready", *G)
-        )
-    if found is None:
-        cols = [*MISSION, "loc_id", *XYZ, "w"]
-        return base.select(*cols).limit(0).withColumns(
-            {"n_id": F.lit(0).cast("long"), **{f"n_{c}": F.lit(0.0) for c in XYZ}, "dist": F.lit(0.0), "take": F.lit(0).cast("long")}
-        )
-    return found
+    Returns ``mission_id, loc_id, x, y, z, w`` of the position, ``n_id, n_x, n_y, n_z`` of a neighbour, its
+    ``dist`` and ``take``: how many of the k it fills (copies fill several). Missions with fewer than k points give all
+    they have; with ``shrink`` k is at most the mission's points less one, and at least three.
+    """
+    return neighbours.nearest(_asking(points, k, include_self, shrink), include_self)
 
 
 def mean_neighbour_distance(points: DataFrame, k: int, include_self: bool = True) -> DataFrame:
     """Mean distance to the k nearest, per distinct position."""
-    near = nearest(points, k, include_self)
-    return near.groupBy(*MISSION, "loc_id", *XYZ, "w").agg((F.sum(F.col("dist") * F.col("take")) / F.sum("take")).alias("mean_dist"))
+    return neighbours.nearest(_asking(points, k, include_self, False), include_self, "mean")
 
 
 def remove_statistical_outliers(
@@ -300,33 +220,53 @@ def clean_cloud(
     return out.withColumns({c: F.col(f"_k{c}") for c in XYZ}).select(*kept.columns)
 
 
-@F.pandas_udf(T.DoubleType())
-def _flat_normal_z(c: pd.DataFrame) -> pd.Series:
-    """|z| of the direction of least spread for each covariance row (xx, xy, xz, yy, yz, zz)."""
-    v = c.to_numpy(dtype=float)
-    m = v[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-    _, vec = np.linalg.eigh(m)
-    nz = np.abs(vec[:, 2, 0])
-    return pd.Series(np.where(np.abs(v).max(axis=1) == 0, 1.0, nz))
+def flat_normals(cov: DataFrame) -> DataFrame:
+    """Adds ``abs_nz``: |z| of the direction of least spread of the symmetric matrix ``xx, xy, xz, yy, yz, zz``, in closed form.
+
+    The eigenvalues are the three cosines of a third of an angle. Any two rows of the matrix less its least eigenvalue
+    span the plane that the direction is normal to: the longest of the three cross products is the direction. A matrix
+    whose two least eigenvalues are equal has a plane of such directions; then the one nearest to upright is taken,
+    and a matrix of zeros has 1.
+    """
+    c = {n: F.col(f"_{n}") for n in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    xx, xy, xz, yy, yz, zz = c.values()
+    columns = cov.columns
+    df = cov.withColumn("_scale", F.greatest(*[F.abs(F.col(n)) for n in c]))
+    df = df.withColumns({f"_{n}": F.try_divide(F.col(n), F.col("_scale")) for n in c}).withColumn("_mean", (xx + yy + zz) / 3.0)
+    mean, p = F.col("_mean"), F.col("_p")
+    a, b, d = xx - mean, yy - mean, zz - mean
+    df = df.withColumns(
+        {
+            "_p": F.sqrt((a * a + b * b + d * d + 2.0 * (xy * xy + xz * xz + yz * yz)) / 6.0),
+            "_det": a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz),
+        }
+    )
+    half = F.try_divide(F.col("_det"), 2.0 * p * p * p)
+    df = df.withColumn("_angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3.0)
+    df = df.withColumns({"_least": mean + 2.0 * p * F.cos(F.col("_angle") + 2.0 * np.pi / 3.0), "_most": mean + 2.0 * p * F.cos("_angle")})
+    least = F.col("_least")
+    r = [(xx - least, xy, xz), (xy, yy - least, yz), (xz, yz, zz - least)]
+    sides = {}
+    for i, (u, v) in enumerate(((r[0], r[1]), (r[0], r[2]), (r[1], r[2]))):
+        sides |= {f"_x{i}": u[1] * v[2] - u[2] * v[1], f"_y{i}": u[2] * v[0] - u[0] * v[2], f"_z{i}": u[0] * v[1] - u[1] * v[0]}
+    df = df.withColumns(sides)
+    square = lambda i: F.col(f"_x{i}") * F.col(f"_x{i}") + F.col(f"_y{i}") * F.col(f"_y{i}") + F.col(f"_z{i}") * F.col(f"_z{i}")
+    df = df.withColumn("_best", F.greatest(*[F.struct(square(i).alias("n2"), F.abs(F.col(f"_z{i}")).alias("z")) for i in range(3)]))
+    # equal least eigenvalues: the matrix less them is the square of the one direction with more spread
+    upright = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.try_divide(zz - least, xx + yy + zz - 3.0 * least)))
+    middle = 3.0 * mean - least - F.col("_most")
+    line = (middle - least <= 1e-9 * (F.col("_most") - least)) | (F.col("_best.n2") == 0)
+    flat = F.least(F.lit(1.0), F.try_divide(F.col("_best.z"), F.sqrt("_best.n2")))
+    df = df.withColumn("abs_nz", F.when((F.col("_scale") == 0) | (p <= 1e-14), 1.0).when(line, upright).otherwise(flat))
+    return df.select(*columns, "abs_nz")
 
 
 def normals(points: DataFrame, k: int = 15) -> DataFrame:
     """``abs_nz`` of the surface normal at every distinct position, from its k nearest."""
-    near = nearest(points, k, shrink=True)
-    d = {c: F.col(f"n_{c}") - F.col(c) for c in XYZ}
-    t = F.col("take")
-    sums = near.groupBy(*MISSION, "loc_id", *XYZ).agg(
-        F.sum(t).alias("_t"),
-        *[F.sum(t * d[c]).alias(f"_s{c}") for c in XYZ],
-        *[F.sum(t * d[a] * d[b]).alias(f"_p{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")],
-    )
-    cov = F.struct(
-        *[
-            (F.col(f"_p{a}{b}") / F.col("_t") - F.col(f"_s{a}") / F.col("_t") * F.col(f"_s{b}") / F.col("_t")).alias(a + b)
-            for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")
-        ]
-    )
-    return sums.select(*MISSION, *XYZ, _flat_normal_z(cov).alias("abs_nz"))
+    sums = neighbours.nearest(_asking(points, k, True, True), True, "moments")
+    mean = {a: F.col(f"s{a}") / F.col("take") for a in XYZ}
+    cov = [(F.col(f"p{a}{b}") / F.col("take") - mean[a] * mean[b]).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    return flat_normals(sums.select(*MISSION, *XYZ, *cov)).select(*MISSION, *XYZ, "abs_nz")
 
 
 def classify_ground(

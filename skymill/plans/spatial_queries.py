@@ -58,12 +58,48 @@ def _p3(spark, sf):
     return sp.clean_cloud(load(spark, sf, "points_small"), radius_filter=True, radius_nb_points=5).select("mission_id", "point_id")
 
 
-@query("P4_normals")
+#: The covariance of each point's 15 nearest, and its least direction: eigenvalues by cosines, then the longest cross product.
+_NORMAL = dict(
+    nn=_knn_sql(15, True),
+    cv="""select mission_id, point_id, avg((x - px) * (x - px)) - avg(x - px) * avg(x - px) as a, avg((x - px) * (y - py)) - avg(x - px) * avg(y - py) as b,
+        avg((x - px) * (z - pz)) - avg(x - px) * avg(z - pz) as c, avg((y - py) * (y - py)) - avg(y - py) * avg(y - py) as d,
+        avg((y - py) * (z - pz)) - avg(y - py) * avg(z - pz) as e, avg((z - pz) * (z - pz)) - avg(z - pz) * avg(z - pz) as f from nn group by 1, 2""",
+    pp="select *, (a + d + f) / 3 as q, sqrt((pow(a - (a + d + f) / 3, 2) + pow(d - (a + d + f) / 3, 2) + pow(f - (a + d + f) / 3, 2) + 2 * (b * b + c * c + e * e)) / 6) as p from cv",
+    ev="""select *, q + 2 * p * cos(acos(greatest(-1e0, least(1e0, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p)))) / 3
+        + 2 * pi() / 3) as l from pp""",
+    cr="""select mission_id, point_id, unnest([{'n': pow(b * e - c * (d - l), 2) + pow(c * b - (a - l) * e, 2) + pow((a - l) * (d - l) - b * b, 2), 'z': abs((a - l) * (d - l) - b * b)},
+        {'n': pow(b * (f - l) - c * e, 2) + pow(c * c - (a - l) * (f - l), 2) + pow((a - l) * e - b * c, 2), 'z': abs((a - l) * e - b * c)},
+        {'n': pow((d - l) * (f - l) - e * e, 2) + pow(e * c - b * (f - l), 2) + pow(b * e - (d - l) * c, 2), 'z': abs(b * e - (d - l) * c)}]) as s from ev""",
+)
+
+
+@query("P4_normals", check_sql(f"select mission_id, point_id, {rnd('max(s.z / sqrt(s.n)) filter (s.n = m)', 4)} as abs_nz from (select *, max(s.n) over (partition by mission_id, point_id) as m from cr) group by 1, 2", "points_small", **_NORMAL))
 def _p4(spark, sf):
     p = load(spark, sf, "points_small")
+    return rounded(p.join(sp.normals(p), ["mission_id", "x", "y", "z"]).select("mission_id", "point_id", "abs_nz"), 4)
+
+
+@query("P4_normals_cloud")
+def _p4c(spark, sf):
+    p = load(spark, sf, "points")
     return rounded(p.join(sp.normals(p), ["mission_id", "x", "y", "z"]).select("mission_id", "point_id", "abs_nz"))
 
 
+@query("P1_statistical_outliers_cloud")
+def _p1c(spark, sf):
+    return sp.remove_statistical_outliers(load(spark, sf, "points")).select("mission_id", "point_id")
+
+
+@query("P3_clean_cloud_whole")
+def _p3c(spark, sf):
+    return sp.clean_cloud(load(spark, sf, "points"), radius_filter=True, radius_nb_points=5).select("mission_id", "point_id")
+
+
+@query("P5_detect_ground_cloud")
+def _p5w(spark, sf):
+    return sp.ground_counts(sp.detect_ground(load(spark, sf, "points"), height_m=2.0, cell_m=5.0))
+
+
 _GROUND = """select s.mission_id, s.point_id, case when s.st is not null then s.st when s.z <= f.low + 0.35 then 'ground' else 'elevated' end as ground_state
   from (select c.*, floor((c.x - k.x0) / 1) as gx, floor((c.y - k.y0) / 1) as gy from cd c left join (select mission_id, min(x) as x0, min(y) as y0 from cd where st is null group by 1) k using (mission_id)) s
   left join (select c.mission_id, floor((c.x - k.x0) / 1) as gx, floor((c.y - k.y0) / 1) as gy, min(z) as low from cd c join (select mission_id, min(x) as x0, min(y) as y0 from cd where st is null group by 1) k using (mission_id)
