@@ -122,8 +122,9 @@ def lists(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _rarest(nodes: DataFrame, values: str, needed: Column) -> DataFrame:
-    """``value, node, n, place``: of an array of values so many of the rarest that nodes which share ``needed`` of theirs share
-    one of these; ``place`` counts the values before it, from rare to frequent. Values that one node has are left out."""
+    """``value, node, n, place, before``: of an array of values so many of the rarest that nodes which share ``needed`` of theirs
+    share one of these; ``place`` counts the values before it, from rare to frequent, and ``before`` those of them that other
+    nodes have too. Values that one node has are left out."""
     often = cut(nodes.select(F.explode(values).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     sieve = Sieve(often, "_v")
     passes = sieve.test()
@@ -136,7 +137,7 @@ def _rarest(nodes: DataFrame, values: str, needed: Column) -> DataFrame:
     kept = entries.join(often, F.col("value") == F.col("_v")).groupBy("node", "n", "_size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     alone = F.col("_size") - F.size("have")
     first = F.slice("have", 1, F.greatest(F.col("_size") - needed + 1 - alone, F.lit(0)))
-    out = cut(kept.select("node", "n", alone.alias("_alone"), F.posexplode(first).alias("_i", "_e")).select(F.col("_e.value").alias("value"), "node", "n", (F.col("_alone") + F.col("_i")).alias("place")))
+    out = cut(kept.select("node", "n", alone.alias("_alone"), F.posexplode(first).alias("_i", "_e")).select(F.col("_e.value").alias("value"), "node", "n", (F.col("_alone") + F.col("_i")).alias("place"), F.col("_i").alias("before")))
     sieve.close()
     return out
 
@@ -217,9 +218,9 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
     main = shares.groupBy(F.col("value").alias("_value")).agg(F.max(F.struct("_c", "root")).alias("_m"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
     same = F.col("value") == F.col("_value")
     mixed = cut(exact.join(main.select("_value", F.col("_m.root").alias("_main")), same).drop("_value"))
-    apart = mixed.where("root <> _main").select(F.col("value").alias("_value"), *other, F.col("place").alias("other_place"), F.col("root").alias("other_root"))
+    apart = mixed.where("root <> _main").select(F.col("value").alias("_value"), *other, F.col("place").alias("other_place"), F.col("before").alias("other_before"), F.col("root").alias("other_root"))
     once = (F.col("root") == F.col("_main")) | (F.col("node") < F.col("other"))
-    most = F.least("place", "other_place") + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    most = F.least("before", "other_before") + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     enough = most * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
     met = mixed.join(cut(apart), same & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n") & enough)
     found = verified(cut(met.select(*pair).unionByName(likely).distinct()), sets, percent)
