@@ -2,7 +2,7 @@
 
 A host's share of bad pages has a beta prior around its domain's share, the domain's around its suffix's, the suffix's
 around that of all pages. How tightly each level keeps to the one above comes from the data by the method of moments.
-A host is blocked if even the lower posterior bound of its bad share is over a limit; explicit rules come first.
+A host without outcomes has its domain's share, else its suffix's, else that of all pages, and all the uncertainty between. A host is blocked if even the lower posterior bound of its bad share is over a limit; explicit rules come first.
 Only built-in column functions are used.
 """
 
@@ -54,33 +54,43 @@ def _weight(level: DataFrame, parent_mean: Column) -> float:
     return 1 / min(max(spread, LEAST_SPREAD), MOST_SPREAD) - 1
 
 
-def bad_bounds(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``host, bad_bound``: lower posterior bound of the share of bad pages, for hosts with outcomes.
+def bad_bounds(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = LONG_SUFFIXES, hosts: DataFrame | None = None) -> DataFrame:
+    """``host, bad_bound``: lower posterior bound of the share of bad pages, for hosts with outcomes and for ``hosts`` (``host``).
 
     ``outcomes``: ``host, n, bad`` (pages judged, of them bad), any number of rows per host. Hosts that are null or empty
-    are left out. Only four numbers pass through the driver. The bound is the posterior mean less ``z`` standard
-    deviations, at least 0.
+    are left out; without any outcome there is no bound. ``suffixes`` names the public suffixes of two labels; the default is
+    a short list, larger lists are the caller's. Only four numbers pass through the driver. The bound is the
+    posterior mean less ``z`` standard deviations, at least 0. The variance of a host without outcomes adds up over the levels
+    between it and the first with outcomes: a share 1 - product of (1 - 1 / (strength + 1)) of mean * (1 - mean).
     """
-    hosts = outcomes.where((F.col("host") != "") & (F.col("n") > 0)).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    named = lambda df: df.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
+    known = outcomes.where((F.col("host") != "") & (F.col("n") > 0)).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    known = cut(named(known))
+    total = known.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = F.lit(((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0))
-
-    suffixes = cut(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
-    k = F.lit(_weight(suffixes, overall))
-    suffix_means = suffixes.select(F.col("suffix").alias("_s"), ((F.col("bad") + k * overall) / (F.col("n") + k)).alias("suffix_mean"))
-
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = cut(domains.join(suffix_means, F.col("suffix") == F.col("_s")))
-    k = F.lit(_weight(domains, F.col("suffix_mean")))
-    domain_means = domains.select(F.col("domain").alias("_d"), ((F.col("bad") + k * F.col("suffix_mean")) / (F.col("n") + k)).alias("domain_mean"))
-
-    placed = cut(hosts.join(cut(domain_means), F.col("domain") == F.col("_d")))
-    k = F.lit(_weight(placed, F.col("domain_mean")))
-    a, both = F.col("bad") + k * F.col("domain_mean"), F.col("n") + k
-    mean = a / both
-    bound = mean - z * F.sqrt(mean * (1 - mean) / (both + 1))
-    return placed.select("host", F.greatest(bound, F.lit(0.0)).alias("bad_bound"))
+    rest = lambda strength: 1 - 1 / (strength + 1)
+
+    level = cut(known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    ks = F.lit(_weight(level, overall))
+    of_suffix = level.select(F.col("suffix").alias("_s"), ((F.col("bad") + ks * overall) / (F.col("n") + ks)).alias("suffix_mean"), rest(F.col("n") + ks).alias("_rs"))
+
+    level = known.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    level = cut(level.join(of_suffix, F.col("suffix") == F.col("_s")))
+    kd = F.lit(_weight(level, F.col("suffix_mean")))
+    of_domain = cut(level.select(F.col("domain").alias("_d"), ((F.col("bad") + kd * F.col("suffix_mean")) / (F.col("n") + kd)).alias("domain_mean"), rest(F.col("n") + kd).alias("_rd")))
+
+    placed = cut(known.join(of_domain, F.col("domain") == F.col("_d")))
+    kh = F.lit(_weight(placed, F.col("domain_mean")))
+    below = lambda mean, share: F.greatest(mean - z * F.sqrt(mean * (1 - mean) * share), F.lit(0.0)).alias("bad_bound")
+    mean = (F.col("bad") + kh * F.col("domain_mean")) / (F.col("n") + kh)
+    out = placed.select("host", below(mean, 1 / (F.col("n") + kh + 1)))
+    if hosts is None or not total["n"]:
+        return out
+    new = named(hosts.where(F.col("host") != "").select("host").distinct().join(known.select(F.col("host").alias("_h")), F.col("host") == F.col("_h"), "left_anti"))
+    new = new.join(of_domain, F.col("domain") == F.col("_d"), "left").join(of_suffix, F.col("suffix") == F.col("_s"), "left")
+    mean = F.coalesce("domain_mean", "suffix_mean", overall)
+    kept = F.coalesce("_rd", rest(kd) * F.coalesce("_rs", rest(ks)))
+    return out.unionByName(new.select("host", below(mean, 1 - rest(kh) * kept)))
 
 
 def _rules_of(hosts: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -95,12 +105,12 @@ def _rules_of(hosts: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFr
     return met.groupBy(F.col("host").alias("_rh")).agg(F.sort_array(F.collect_set(entry)).alias("rules"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages``.
 
     ``rules``: (host, path, 'allow' or 'block'). A rule fits its host and all subdomains if the url's path starts with
     the rule's; of several the longest wins (of equally long ones the first by name). Without a rule a page is blocked if
-    its host's ``bad_bound`` is over ``limit``, else allowed; hosts without outcomes, empty hosts and null urls are allowed.
+    its host's ``bad_bound`` is over ``limit``, else allowed; empty hosts and null urls are allowed, and so is all without outcomes.
     Repeated rows stay, extra columns are left out, an empty table gives no row.
 
     Rules and bounds are looked up once per distinct host; the host table is a written table, so a host with very many
@@ -108,7 +118,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
-    bounds = cut(bad_bounds(outcomes, z).withColumnRenamed("host", "_bh"))
+    bounds = cut(bad_bounds(outcomes, z, suffixes, hosts).withColumnRenamed("host", "_bh"))
     table = hosts.join(bounds, F.col("host") == F.col("_bh"), "left")
     fitting = cut(_rules_of(hosts, rules))
     table = cut(table.join(fitting, F.col("host") == F.col("_rh"), "left").select(F.col("host").alias("_h"), "bad_bound", "rules"))

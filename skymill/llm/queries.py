@@ -151,19 +151,28 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), sk AS (
         SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0005), 0.0005), 0.5) - 1 AS k FROM s0
     ), s AS (
-        SELECT suffix, (bad + k * m) / (n + k) AS sm FROM s0, sk
+        SELECT suffix, (bad + k * m) / (n + k) AS sm, 1 - 1 / (n + k + 1) AS rs FROM s0, sk
     ), d0 AS (
         SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(sm) AS m FROM d JOIN s USING (suffix) GROUP BY domain, suffix
     ), dk AS (
         SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0005), 0.0005), 0.5) - 1 AS k FROM d0
     ), dm AS (
-        SELECT domain, (bad + k * m) / (n + k) AS m FROM d0, dk
+        SELECT domain, (bad + k * m) / (n + k) AS m, 1 - 1 / (n + k + 1) AS rd FROM d0, dk
     ), h0 AS (
         SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, m FROM d JOIN dm USING (domain)
     ), hk AS (
         SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0005), 0.0005), 0.5) - 1 AS k FROM h0
+    ), u AS (
+        SELECT host, CASE WHEN long THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain,
+            CASE WHEN long THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix
+        FROM (SELECT *, array_to_string(labels[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'com.br', 'co.jp', 'co.nz', 'co.za') AS long
+              FROM (SELECT *, string_split(host, '.') AS labels FROM (SELECT DISTINCT host FROM p WHERE host <> '' AND host NOT IN (SELECT host FROM h))))
     ), b AS (
         SELECT host, e - 1.645 * sqrt(e * (1 - e) / (n + k + 1)) AS bound FROM (SELECT *, (bad + k * m) / (n + k) AS e FROM h0, hk)
+        UNION ALL
+        SELECT host, e - 1.645 * sqrt(e * (1 - e) * (1 - (1 - 1 / (kh + 1)) * kept))
+        FROM (SELECT host, coalesce(dm.m, sm, overall) AS e, hk.k AS kh, coalesce(rd, (1 - 1 / (dk.k + 1)) * coalesce(rs, 1 - 1 / (sk.k + 1))) AS kept
+              FROM u LEFT JOIN dm USING (domain) LEFT JOIN s USING (suffix), hk, dk, sk, g WHERE EXISTS (SELECT 1 FROM h))
     ), r AS (
         SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(rh, rp, rv)
     ), best AS (

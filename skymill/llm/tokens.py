@@ -42,15 +42,17 @@ class _Units(dict):
 class Encoder:
     """Encodes texts to little-endian id bytes, two bytes an id where the vocabulary allows it.
 
-    Strings of special tokens inside a text are ordinary text.
+    The string of an added token inside a text becomes that token, as the library has it; with ``plain`` it is ordinary
+    text, so that nobody can write control tokens into a corpus. Texts with such a string are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = MEMO_LIMIT):
+    def __init__(self, path: str, limit: int = MEMO_LIMIT, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         spaced = np.zeros(size, dtype=bool)
@@ -106,7 +108,11 @@ class Encoder:
                 units.table.clear()
         split, places = [], []
         place = self.inner.__getitem__
+        whole = {}
         for t in texts:
+            if t and any(a in t for a in self.added):
+                whole[len(split)] = self._ids(t).tobytes()
+                t = ""
             words = (t or "").split(" ")
             split.append(words)
             places.append(list(map(place, words[1:])))
@@ -122,6 +128,8 @@ class Encoder:
                 out.append(start[head] + b"".join(map(known, at)))
             except TypeError:  # a unit without ids
                 out.append(self._in_units(words))
+        for i, ids in whole.items():
+            out[i] = ids
         return out
 
 

@@ -36,7 +36,6 @@ def library_ids(text):
     from tokenizers import Tokenizer
 
     t = library_ids.__dict__.setdefault("t", Tokenizer.from_file(vocabulary()))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -54,6 +53,12 @@ def test_encoder_equals_library():
             assert np.frombuffer(raw, enc.dtype).tolist() == library_ids(text), text
 
 
+def test_encoder_can_leave_control_strings_as_text():
+    plain = Encoder(vocabulary(), plain=True)
+    got = np.frombuffer(plain.encode(["a <|endoftext|> b"])[0], plain.dtype).tolist()
+    assert got != library_ids("a <|endoftext|> b") and plain.tokenizer.decode(got) == "a <|endoftext|> b"
+
+
 def test_length_histogram(spark):
     texts = ODD + ["same words here"] * 40
     lengths = [len(library_ids(t)) for t in texts]
@@ -379,6 +384,14 @@ def test_host_reputation(spark):
     bounds = {r.host: r.bad_bound for r in host_reputation.bad_bounds(outcomes).collect()}
     assert set(bounds) == {"bad.org", "h.org", "rare.org"} and bounds["bad.org"] > 0.8 > bounds["rare.org"] > bounds["h.org"]
     assert host_reputation.judge(pages.limit(0), outcomes, rules).count() == 0
+    # hosts without outcomes have what is known of their domain, else of their suffix
+    spread = [(f"h{i}.farm.net", 300, 294 + i % 3) for i in range(6)] + [(f"h{i}.clean.net", 300, i % 3) for i in range(6)]
+    spread = spark.createDataFrame(spread, "host string, n long, bad long")
+    asked = spark.createDataFrame([(i, f"x://{h}/a") for i, h in enumerate(["new.farm.net", "new.clean.net", "h0.farm.net", "other.net", "else.org", ""])], "page_id long, url string")
+    assert [r.verdict for r in sorted(host_reputation.judge(asked, spread).collect())] == ["block", "allow", "block", "allow", "allow", "allow"]
+    two = spark.createDataFrame([("a.b.zz", 50, 50), ("c.zz", 50, 0)], "host string, n long, bad long")
+    far = {r.host: r.bad_bound for r in host_reputation.bad_bounds(two, suffixes=("b.zz",), hosts=spark.createDataFrame([("x.a.b.zz",), ("y.c.zz",)], "host string")).collect()}
+    assert far["x.a.b.zz"] > far["y.c.zz"]
     none = host_reputation.judge(pages, outcomes.limit(0)).collect()
     assert len(none) == len(urls) and {r.verdict for r in none} == {"allow"}
 
