@@ -242,3 +242,18 @@ def with_wgs84_from_utm(
         }
     )
     return df.drop(*[f"_t_{k}" for k in ("xi", "eta", "x1", "e1", "tp", "lam", "tau", "r", "sg", "ti")])
+
+
+def with_utm_from_enu(
+    df: DataFrame,
+    enu: tuple[str, str, str] = ("e", "n", "u"),
+    origin: tuple[str, str, str] = ("origin_lat", "origin_lon", "origin_alt"),
+    out: tuple[str, str, str] = ("utm_x", "utm_y", "utm_z"),
+) -> DataFrame:
+    """ENU -> UTM easting, northing and height, all in the one zone of the origin, named by the new column ``epsg``.
+
+    A session that crosses a zone border keeps one continuous plane.
+    """
+    df = with_wgs84_from_enu(df, enu, origin, ("_u_lat", "_u_lon", out[2]))
+    df = df.withColumn("epsg", utm_epsg(F.col(origin[1]), F.col(origin[0])))
+    return with_utm(df, "_u_lat", "_u_lon", "epsg", out[:2]).drop("_u_lat", "_u_lon")

@@ -246,6 +246,23 @@ def _g5(spark, sf):
     return al.georeference_policy(quality, m)
 
 
+_UNIT = {c: 1.0 if c in ("s", "r00", "r11", "r22") else 0.0 for c in _PLANTED}
+
+
+@query("G5_adaptive_georeference", check_sql(
+    "select session_id, case when session_id % 3 = 0 then 'LOCAL_METRIC' else 'STRONG_GPS' end as mode, case when session_id % 3 = 0 then 'LOCAL_METRIC' else 'ENU' end as coordinate_frame, "
+    "case when session_id % 3 = 0 then count(*) else count(*) - count(*) filter (seq % 5 = 1) end as n_correspondences, "
+    + ", ".join(f"case when session_id % 3 = 0 then {_UNIT[c]}::double else {v}::double end as {c}" for c, v in _PLANTED.items())
+    + " from trajectory_pairs group by 1 having count(*) >= 8", "trajectory_pairs"))
+def _g5e(spark, sf):
+    p = _planted(spark, sf, 5)
+    sizes = p.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_matches")).where("n_matches >= 8").withColumn("is_rtk", F.lit(False))
+    tier = F.when(F.col("session_id") % 3 == 0, "INSUFFICIENT_BASELINE").otherwise("STRONG_GPS")
+    policy = al.georeference_policy(sizes.select("session_id", tier.alias("quality_tier"), F.lit(0.2).alias("estimated_noise_m")), sizes)
+    out = al.adaptive_georeference(p.join(sizes.select("session_id"), "session_id"), policy, ["seq"], trials=100)
+    return rounded(out.select("session_id", "mode", "coordinate_frame", "n_correspondences", *al.TRANSFORM), 5)
+
+
 @query("G6_refine_without_prior", check_sql(
     f"select image_id, {rnd('-tx + 1', 4)} as c0, {rnd('ty - 1', 4)} as c1, {rnd('tz + 0.5', 4)} as c2, true as converged from poses where image_id in (select image_id from observations)", "poses", "observations"))
 def _g6w(spark, sf):

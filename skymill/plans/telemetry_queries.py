@@ -229,6 +229,17 @@ def _utm_back(spark, sf):
     return rounded(geodesy.with_wgs84_from_utm(df, "utm_x", "utm_y").select("event_id", "lat", "lon"), 8)
 
 
+@query(
+    "C6_enu_to_utm",
+    check_sql(f"select session_id, seq, epsg, {rnd('utm_x', 3)} as utm_x, {rnd('utm_y', 3)} as utm_y, {rnd('alt_m', 3)} as utm_z from (" + utm_sql("oz", "session_id, seq, epsg, alt_m") + ")",
+              "gps_fixes", origins=_ORIGINS, fo=_FIX_ORIGIN,
+              oz="select session_id, seq, lat, lon, alt_m, cast(case when origin_lat >= 0 then 32600 else 32700 end + least(60, floor((origin_lon + 180) / 6) + 1) as int) as epsg from fo"),
+)
+def _utm_of_enu(spark, sf):
+    df = geodesy.with_utm_from_enu(fix_positions(spark, sf).drop("lat", "lon", "alt_m"))
+    return rounded(df.select("session_id", "seq", "epsg", "utm_x", "utm_y", "utm_z"), 3)
+
+
 _SESSIONS = ("select c_custkey as session_id, case when c_acctbal < 0 then 'NONE' when c_nationkey % 2 = 0 then 'REAL' "
              "else 'SIMULATED' end as provenance from {customer}")
 
