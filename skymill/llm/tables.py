@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TEXT_ROWS = 1_000  # texts handed to a Python worker at once
+SET_ROWS = 200  # the same where a worker also gives back whole sets of shingles
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -31,10 +32,10 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def text_batches(spark: SparkSession) -> Iterator[None]:
-    """What is written inside hands texts to Python workers ``TEXT_ROWS`` rows at a time; afterwards the session is as before."""
+    """What is written inside hands texts to Python workers ``SET_ROWS`` rows at a time; afterwards the session is as before."""
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, str(TEXT_ROWS))
+    conf.set(key, str(SET_ROWS))
     try:
         yield
     finally:
