@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TEXT_ROWS = 1_000  # texts handed to a Python worker at once
+TEXT_ROWS = 250  # texts handed to a Python worker at once
 SET_ROWS = 200  # the same where a worker also gives back whole sets of shingles
 
 

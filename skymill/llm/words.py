@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 MEMO_LIMIT = 100_000
-BATCH_CHARS = 2_000_000  # characters handled together; one longer text is a batch of its own
+BATCH_CHARS = 500_000  # characters handled together; one longer text is a batch of its own
 
 
 class WordIds(dict):
