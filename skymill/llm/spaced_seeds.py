@@ -23,11 +23,13 @@ from skymill.runtime import cut
 # Wherever 2 of 12 words, 3 of 15 or 4 of 20 are substituted, one of these fits between them. Any longer stretch with 80 %
 # equal words has a part of 12 to 23 words with 80 % equal, so none is missed.
 MASKS = ("1111011", "110010111", "11000100111")
-# The same for items of fewer words, which must be there whole: first and last word equal, a fifth substituted.
+# The same for items of fewer words, which must be there whole: wherever a fifth of the words is substituted, ends included.
 SHORT_MASKS = {
+    1: ("1",),
+    2: ("11",),
     3: ("111",),
     4: ("1111",),
-    5: ("11101", "11011", "10111"),
+    5: ("1111", "11101", "11011", "10111"),
     6: ("1111", "11011"),
     7: ("11111", "111011", "110111"),
     8: ("111111", "1111011", "1101111"),
@@ -35,9 +37,9 @@ SHORT_MASKS = {
     10: ("1111101", "11100111", "1101010011", "10110111", "1100101011"),
     11: ("1111011", "110010111", "1101100101", "111111"),
 }
-MIN_WORDS = 12  # shortest stretch that counts; shorter items must be there whole
+MIN_WORDS = 12  # shortest stretch that counts; items that are no longer must be there whole
 MIN_MATCH = 0.8  # share of equal words in it
-SHORTEST = 3  # items of fewer words are never looked for
+SHORTEST = 3  # items of fewer words are not looked for unless asked: nearly every document holds them by chance
 FILTER_BITS = 24  # the benchmark's hashes as two bit tables of this many address bits, whatever their number
 BLOCK_BITS = 16
 
@@ -76,13 +78,15 @@ def masks_of(n: int, masks: Sequence[str]) -> Sequence[str]:
     return SHORT_MASKS.get(n, masks if n >= MIN_WORDS else ())
 
 
-def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], used: Sequence[str]) -> DataFrame:
-    """``item_id, mask, at, h``: seeds of every item by its masks; ``mask`` is a place in ``used``."""
+def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], used: Sequence[str], shortest: int = SHORTEST) -> DataFrame:
+    """``item_id, mask, at, h``: seeds of every item of ``shortest`` words or more by its masks; ``mask`` is a place in ``used``."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for item, text in zip(pdf["item_id"], pdf["text"]):
                 words = normal_words(text)
+                if len(words) < shortest:
+                    continue
                 ids = ids_of(words, len(words))
                 for m, mask in enumerate(used):
                     h = seeds(ids, mask)
@@ -148,19 +152,29 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, shift: int, least: int, shar
     return best
 
 
+def whole_item(doc: np.ndarray, item: np.ndarray, shift: int, share: float) -> tuple[int, int, int] | None:
+    """The whole item at ``shift``, if at least ``share`` of its words are equal there, whichever: as ``best_stretch``."""
+    if shift < 0 or shift + len(item) > len(doc):
+        return None
+    equal = int((doc[shift : shift + len(item)] == item).sum())
+    return (0, len(item), equal) if equal >= share * len(item) - 1e-9 else None
+
+
 def keyed_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
     masks: Sequence[str] = MASKS,
     min_words: int = MIN_WORDS,
     min_match: float = MIN_MATCH,
+    shortest: int = SHORTEST,
 ) -> DataFrame:
     """One row per document and item that overlap: ``doc_id, _key, item_id, doc_start, item_start, n_words, n_equal, item_words``.
 
     Words are runs of letters and digits, lower-cased. An overlap is the longest stretch of one alignment, with at
-    least ``min_words`` words (or the whole item, if it is shorter) of which ``min_match`` are equal; only substitutions
-    are tolerated, so an insertion splits an overlap. Of several alignments the longest counts, then the one with most
-    equal words, then the earliest in the document. Null texts have no words; items of fewer than ``SHORTEST`` words or
+    least ``min_words`` words of which ``min_match`` are equal, the first and the last among them; of an item of no more than
+    ``min_words`` words it is the whole item, of which any ``min_match`` are equal. Only substitutions are tolerated, so an
+    insertion splits an overlap. Of several alignments the longest counts, then the one with most
+    equal words, then the earliest in the document. Null texts have no words; items of fewer than ``shortest`` words or
     with a null id are not looked for. The default masks find every such overlap of the default ``min_words`` and
     ``min_match`` or stricter ones. Documents without an overlap have no row. Rows that repeat a document id and
     text count once. Items that share a text give a row each. Extra columns are left out.
@@ -171,10 +185,10 @@ def keyed_overlaps(
     def n_words(texts: pd.Series) -> pd.Series:
         return pd.Series([len(normal_words(t)) for t in texts], dtype="int32")
 
-    few = [r["n"] for r in items.select(n_words("text").alias("n")).where(F.col("n") < MIN_WORDS).distinct().collect()]
+    few = [r["n"] for r in items.select(n_words("text").alias("n")).where(F.col("n").between(shortest, MIN_WORDS - 1)).distinct().collect()]
     used = list(dict.fromkeys([*masks, *[m for n in sorted(few) for m in masks_of(n, masks)]]))
     longest = max(map(len, used))
-    seed_rows = cut(benchmark_seeds(items, masks, used))
+    seed_rows = cut(benchmark_seeds(items, masks, used, shortest))
     table = items.sparkSession.sparkContext.broadcast(_tables(seed_rows))
     rows = bounded_batches(docs).select("doc_id", row_key().alias("_key"), text_of().alias("text"))
 
@@ -223,7 +237,10 @@ def keyed_overlaps(
                         w = normal_words(item_text)
                         known[item_text] = ids_of(w, len(w))
                     item = known[item_text]
-                    got = best_stretch(doc, item, line["shift"], min(min_words, len(item)), min_match)
+                    if len(item) <= min_words:
+                        got = whole_item(doc, item, line["shift"], min_match)
+                    else:
+                        got = best_stretch(doc, item, line["shift"], min_words, min_match)
                     if got:
                         start, n, equal = got
                         rank = (n, equal, -(start + line["shift"]))
