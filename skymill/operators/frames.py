@@ -43,12 +43,12 @@ def motion_blur_pct(metrics: DataFrame, keys: list[str] = SESSION, digits: int =
 # --- near duplicates ----------------------------------------------------------------------------
 
 
-def hash_pairs(hashes: DataFrame, threshold: int, bits: int = 64, bands: int | None = None, hot: int = 2000) -> DataFrame:
-    """Pairs of distinct hashes of a session that differ in at most ``threshold`` bits: ``a`` first seen before ``b``.
+def _hash_keys(hashes: DataFrame, threshold: int, bits: int, bands: int | None, hot: int) -> DataFrame:
+    """``session_id, frame_idx, phash, _key``: any two hashes of a session within ``threshold`` bits share a key.
 
     The hash is cut into bands; a pair within the threshold must agree on all but ``threshold`` of them, so every choice
     of the remaining bands is a blocking key, and none is missed. Keys that still gather more than ``hot`` hashes are split
-    further by the other bits in the same way.
+    further by the other bits in the same way. Keys of one hash are left out.
     """
     n = bands or min(bits, threshold + 2)
     edges = [bits * i // n for i in range(n + 1)]
@@ -72,45 +72,97 @@ def hash_pairs(hashes: DataFrame, threshold: int, bits: int = 64, bands: int | N
         masks.append(F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in strands]))
     heavy = tagged.where(F.col("_n") > hot).select(*FRAME, "phash", "_c", "_k", F.posexplode(F.get(F.array(*masks), F.col("_c"))).alias("_s", "_m"))
     heavy = heavy.select(*FRAME, "phash", F.xxhash64("_c", "_k", "_s", F.col("phash").bitwiseAND(F.col("_m"))).alias("_key"))
-    keyed = light.unionByName(heavy)
+    return light.unionByName(heavy)
+
+
+def hash_pairs(hashes: DataFrame, threshold: int, bits: int = 64, bands: int | None = None, hot: int = 2000) -> DataFrame:
+    """Pairs of distinct hashes of a session that differ in at most ``threshold`` bits: ``a`` first seen before ``b``."""
+    keyed = _hash_keys(hashes, threshold, bits, bands, hot)
     a = keyed.select(*SESSION, "_key", F.col("frame_idx").alias("a"), F.col("phash").alias("ha"))
     b = keyed.select(*SESSION, "_key", F.col("frame_idx").alias("b"), F.col("phash").alias("hb"))
     close = a.join(b, [*SESSION, "_key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= threshold))
     return close.select(*SESSION, "a", "b").distinct()
 
 
-def drop_near_duplicates(frames: DataFrame, threshold: int = 5, bits: int = 64) -> DataFrame:
+def _settled(rows: DataFrame, threshold: int) -> DataFrame:
+    """``session_id, _slice, phash`` of the hashes that stay when each slice is walked on its own: those that are not
+    ``blocked`` and not within ``threshold`` bits of one that stayed before in the slice."""
+    names = [*SESSION, "_slice", "phash"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def walk_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, n = None, np.zeros(64, np.uint64), 0
+        for pdf in batches:
+            stays = np.zeros(len(pdf), dtype=bool)
+            hashes = pdf["phash"].to_numpy(np.int64).view(np.uint64)
+            for i, (session, part, blocked) in enumerate(zip(pdf["session_id"], pdf["_slice"], pdf["blocked"])):
+                if (session, part) != now:
+                    now, n = (session, part), 0
+                if blocked or (np.bitwise_count(held[:n] ^ hashes[i]) <= threshold).any():
+                    continue
+                if n == len(held):
+                    held = np.concatenate([held, held])
+                held[n] = hashes[i]
+                n += 1
+                stays[i] = True
+            yield pdf.loc[stays, names]
+
+    ordered = in_order(rows.select(*names, "frame_idx", "blocked"), [*SESSION, "_slice"], ["frame_idx", "phash"])
+    return ordered.mapInPandas(walk_slices, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def drop_near_duplicates(frames: DataFrame, threshold: int = 5, bits: int = 64, slice_frames: int = 2000) -> DataFrame:
     """Greedy in frame order: a frame within ``threshold`` bits of an earlier kept frame is dropped and names the
-    first such frame.
-
-    Equal hashes share their first frame's fate, so only distinct hashes are compared. Of those, a frame with no
-    earlier neighbour is kept, a frame with a kept earlier neighbour is dropped, and what is left waits for the
-    next round; each round settles at least the earliest open frame of every session.
+    first such frame. Frames without a hash are kept.
+
+    Equal hashes share their first frame's fate, so only distinct hashes are compared (in the order of frame, then hash).
+    A session is cut into slices of ``slice_frames``. Every slice is walked as if no earlier slice kept anything;
+    then each looks up, through the blocking keys, which of its hashes are close to one that an earlier slice keeps, and is
+    walked again if that set has changed, until none does. The first slice is right at once and each right slice
+    settles the next, so there are at most as many rounds as slices, and a chain of close frames costs no round of its own.
+    Close pairs are never written: the look-ups are semi-joins, and a dropped hash has few kept ones near it, since
+    these are apart from each other.
     """
-    first = frames.groupBy(*SESSION, "phash").agg(F.min("frame_idx").alias("frame_idx"))
-    pairs = cut(hash_pairs(first, threshold, bits))
-    nodes = first.select(*FRAME)
-    status = nodes.join(pairs.select(*SESSION, F.col("b").alias("frame_idx")).distinct(), FRAME, "left_anti").withColumn("kept", F.lit(True))
-    waiting = cut(nodes.join(status, FRAME, "left_anti"))
-    status = cut(status)
-    while not waiting.isEmpty():
-        into = pairs.join(waiting.select(*SESSION, F.col("frame_idx").alias("b")), [*SESSION, "b"], "left_semi")
-        known = into.join(status.select(*SESSION, F.col("frame_idx").alias("a"), "kept"), [*SESSION, "a"], "left")
-        verdict = known.groupBy(*SESSION, F.col("b").alias("frame_idx")).agg(
-            F.bool_or(F.coalesce("kept", F.lit(False))).alias("_hit"), F.bool_or(F.col("kept").isNull()).alias("_open")
+    part = F.floor(F.col("frame_idx") / slice_frames).cast("long").alias("_slice")
+    known = frames.where(F.col("phash").isNotNull())
+    first = cut(known.groupBy(*SESSION, "phash").agg(F.min("frame_idx").alias("frame_idx")).select("*", part))
+    index = cut(_hash_keys(first.select(*FRAME, "phash"), threshold, bits, None, 2000).select("*", part))
+    of_hash, of_slice = [*SESSION, "phash"], [*SESSION, "_slice"]
+    met = (F.col("session_id") == F.col("_session")) & (F.col("_key") == F.col("_kept_key"))
+    met = met & (F.bit_count(F.col("phash").bitwiseXOR(F.col("_kept_hash"))) <= threshold)
+
+    def kept_keys(kept: DataFrame) -> DataFrame:
+        rows = index.join(renew(kept.select(*of_hash)), of_hash, "left_semi")
+        return rows.select(
+            F.col("session_id").alias("_session"), F.col("_key").alias("_kept_key"), F.col("phash").alias("_kept_hash"),
+            F.col("_slice").alias("_kept_slice"), F.col("frame_idx").alias("_kept_frame"),
         )
-        # a kept earlier neighbour decides; with all earlier neighbours dropped the frame is kept
-        settled = cut(verdict.where(F.col("_hit") | ~F.col("_open")).select(*FRAME, (~F.col("_hit")).alias("kept")))
-        status = cut(status.unionByName(settled))
-        waiting = cut(waiting.join(settled, FRAME, "left_anti"))
-    kept = status.where("kept").select(*SESSION, F.col("frame_idx").alias("a"))
-    origin = pairs.join(kept, [*SESSION, "a"], "left_semi").groupBy(*SESSION, F.col("b").alias("frame_idx")).agg(F.min("a").alias("_o"))
-    decided = first.join(status, FRAME).join(origin, FRAME, "left").select(
-        *SESSION, "phash", F.col("frame_idx").alias("_first"), F.when(F.col("kept"), F.col("frame_idx")).otherwise(F.col("_o")).alias("_anchor")
-    )
-    out = frames.join(decided, [*SESSION, "phash"])
-    is_kept = F.col("frame_idx") == F.col("_anchor")
-    return out.withColumn("kept", is_kept).withColumn("duplicate_of", F.when(~is_kept, F.col("_anchor"))).drop("_first", "_anchor")
+
+    kept = cut(_settled(first.withColumn("blocked", F.lit(False)), threshold))
+    blocked = cut(first.select(*of_slice, "phash").where(F.lit(False)))
+    start = cut(first.groupBy(*SESSION).agg(F.min("_slice").alias("_from")))  # later slices are looked at again
+    while True:
+        later = lambda df: df.join(start, SESSION).where(F.col("_slice") > F.col("_from")).drop("_from")  # noqa: B023, E731
+        now = later(index).join(kept_keys(kept), met & (F.col("_kept_slice") < F.col("_slice")), "left_semi")
+        now = cut(now.select(*of_slice, "phash").distinct())
+        both = now.withColumn("_d", F.lit(1)).unionByName(later(blocked).withColumn("_d", F.lit(-1)))
+        changed = cut(both.groupBy(*of_slice, "phash").agg(F.sum("_d").alias("_d")).where("_d <> 0").select(*of_slice).distinct())
+        if changed.isEmpty():
+            break
+        earlier = blocked.join(start, SESSION, "left").where(F.col("_from").isNull() | (F.col("_slice") <= F.col("_from"))).drop("_from")
+        blocked = cut(earlier.unionByName(now))
+        flags = blocked.select(*of_hash).withColumn("_b", F.lit(True))
+        again = first.join(changed, of_slice, "left_semi").join(flags, of_hash, "left").withColumn("blocked", F.coalesce("_b", F.lit(False)))
+        kept = cut(kept.join(changed, of_slice, "left_anti").unionByName(_settled(again, threshold)))
+        start = cut(changed.groupBy(*SESSION).agg(F.min("_slice").alias("_from")))
+    gone = index.join(renew(kept.select(*of_hash)), of_hash, "left_anti")
+    before = F.struct("_kept_frame", "_kept_hash") < F.struct("frame_idx", "phash")
+    origin = gone.join(kept_keys(kept), met & before).groupBy(*of_hash).agg(F.min("_kept_frame").alias("_anchor"))
+    decided = first.select(*of_hash, F.col("frame_idx").alias("_first")).join(cut(origin), of_hash, "left")
+    out = frames.join(decided, of_hash, "left")
+    stays = F.col("_anchor").isNull() & F.coalesce(F.col("frame_idx") == F.col("_first"), F.lit(True))
+    out = out.withColumn("kept", stays).withColumn("duplicate_of", F.when(~stays, F.coalesce("_anchor", "_first")))
+    return out.drop("_first", "_anchor")
 
 
 def filter_frames(frames: DataFrame, blur_threshold: float = 100.0, threshold: int = 5, bits: int = 64) -> DataFrame:

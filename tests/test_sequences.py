@@ -19,6 +19,39 @@ def test_duplicates_are_greedy_in_order(spark):
     assert {r.frame_idx: r.duplicate_of for r in got} == want and all(r.kept == (want[r.frame_idx] is None) for r in got)
 
 
+def greedy_duplicates(rows, threshold):
+    """{(session, frame): frame it repeats, or None}, frame by frame."""
+    want, kept = {}, {}
+    for s, i, h in sorted(rows, key=lambda r: r[:2]):
+        near = [f for k, f in kept.get(s, []) if h is not None and ((k ^ h) & (2**64 - 1)).bit_count() <= threshold]
+        want[s, i] = near[0] if near else None
+        if h is not None and not near:
+            kept.setdefault(s, []).append((h, i))
+    return want
+
+
+def test_chains_of_close_frames_take_no_more_rounds_than_slices(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows, h = [], 0
+    for i in range(200):  # each frame is close to the one before it and to no other, but for repeats
+        rows.append((1, i, h - 2**64 if h >= 2**63 else h))
+        for b in rng.choice(64, 5, replace=False):
+            h ^= 1 << int(b)
+    seeds = rng.integers(-(2**63), 2**63 - 1, 6)
+    rows += [(2, i, int(seeds[i % 6]) ^ (1 << int(rng.integers(0, 40)))) for i in range(60)]
+    rows += [(3, 0, 7), (3, 1, None), (3, 2, 7), (3, 3, None)]
+    df = spark.createDataFrame(rows, "session_id long, frame_idx long, phash long").repartition(3)
+    want = greedy_duplicates(rows, 5)
+    walks, walk = [], fr._settled
+    monkeypatch.setattr(fr, "_settled", lambda *a: walks.append(1) or walk(*a))
+    for size, slices in ((33, 7), (2000, 1)):
+        walks.clear()
+        got = fr.drop_near_duplicates(df, 5, slice_frames=size).collect()
+        assert {(r.session_id, r.frame_idx): r.duplicate_of for r in got} == want and len(got) == len(rows)
+        assert all(r.kept == (r.duplicate_of is None) for r in got) and len(walks) <= slices
+    assert fr.drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_hot_hash_blocks_lose_no_pair(spark):
     rng = np.random.default_rng(10)
     h = sorted({int(x) for x in rng.integers(0, 2**12, 150)})
