@@ -463,48 +463,82 @@ def _hull(xy: np.ndarray) -> np.ndarray:
     return np.array(chains[0] + chains[1])
 
 
-def _hull_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    corners = _hull(pdf[["x", "y"]].drop_duplicates().to_numpy(dtype=float))
-    return pd.DataFrame(
-        {"mission_id": pdf["mission_id"].iloc[0], "cluster_id": pdf["cluster_id"].iloc[0], "x": corners[:, 0], "y": corners[:, 1]}
-    )
+def _polygon_area(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = x - x[0], y - y[0]
+    return 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
 
 
 def _hull_area(pdf: pd.DataFrame) -> pd.DataFrame:
-    corners = _hull(pdf[["x", "y"]].drop_duplicates().to_numpy(dtype=float))
-    x, y = corners[:, 0] - corners[0, 0], corners[:, 1] - corners[0, 1]
-    area = 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
-    return pd.DataFrame({"mission_id": [pdf["mission_id"].iloc[0]], "cluster_id": [pdf["cluster_id"].iloc[0]], "hull_area": [area]})
+    corners = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
+    return pdf[CLUSTER].head(1).assign(hull_area=_polygon_area(corners[:, 0], corners[:, 1]))
+
+
+#: A cap of a cluster: what lies to the right of the way from one corner of its hull to a later one.
+CAP = [*CLUSTER, "ax", "ay", "bx", "by"]
+
+
+def _cap_area(pdf: pd.DataFrame) -> pd.DataFrame:
+    ends = pdf[["ax", "ay", "bx", "by"]].to_numpy(dtype=float)[0].reshape(2, 2)
+    corners = _hull(np.unique(np.vstack([ends, pdf[["x", "y"]].to_numpy(dtype=float)]), axis=0))
+    return pdf[CLUSTER].head(1).assign(hull_area=_polygon_area(corners[:, 0], corners[:, 1]))
+
+
+def _side(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Twice the area of the triangle from ``a`` over ``b`` to the row's position; negative to the right of the way."""
+    return (b[0] - a[0]) * (F.col("y") - a[1]) - (b[1] - a[1]) * (F.col("x") - a[0])
+
+
+def _into_caps(df: DataFrame, corners: list[tuple[Column, Column]]) -> DataFrame:
+    """Positions outside the corners' way, each with the ends of the one step that it lies beyond; others are left out."""
+    steps = list(zip(corners, corners[1:]))
+    cap = F.coalesce(*[F.when(_side(a, b) < 0, F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))) for a, b in steps])
+    return df.select(*CLUSTER, "x", "y", cap.alias("_cap")).where(F.col("_cap").isNotNull()).select(*CLUSTER, "_cap.*", "x", "y")
 
 
 def footprint_area(points: DataFrame, group_rows: int = 50_000) -> DataFrame:
     """Area of the convex hull in plan; fewer than three distinct positions give 1.0, collinear ones their
     bounding box with sides of at least 0.5 m.
 
-    The hull of hulls is the hull: distinct positions are dealt into groups of bounded size, only the corners of each
-    group go on, and that repeats until one group per cluster is left.
+    A cluster of at most ``group_rows`` distinct positions is one task's work. Of a larger one the extremes in eight directions
+    are corners of the hull: what lies inside them is left out, and the rest falls into the caps beyond their sides, whose
+    hulls do not touch each other. A cap with too many positions is split at its farthest one, which is a corner too, until
+    all caps are small. Areas of the inner polygon, of the triangles of the splits and of the small caps add up, so no task
+    ever holds a whole cluster, however round it is.
     """
-    pos = points.groupBy(*CLUSTER, "x", "y").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
-    stats = pos.groupBy(*CLUSTER).agg(
-        F.count(F.lit(1)).alias("_n"),
-        (F.round(F.max("x"), 3) - F.round(F.min("x"), 3)).alias("_w"),
-        (F.round(F.max("y"), 3) - F.round(F.min("y"), 3)).alias("_h"),
+    pos = cut(points.groupBy(*CLUSTER, "x", "y").agg(F.count(F.lit(1)).alias("_c")).drop("_c"))
+    x, y = F.col("x"), F.col("y")
+    around = [x, x + y, y, y - x, -x, -x - y, -y, x - y]  # counter-clockwise
+    stats = cut(
+        pos.groupBy(*CLUSTER).agg(
+            F.count(F.lit(1)).alias("_n"),
+            (F.round(F.max("x"), 3) - F.round(F.min("x"), 3)).alias("_w"),
+            (F.round(F.max("y"), 3) - F.round(F.min("y"), 3)).alias("_h"),
+            *[F.max_by(F.struct("x", "y"), F.struct(d, x, y)).alias(f"_e{i}") for i, d in enumerate(around)],
+        )
     )
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = f"mission_id {kinds['mission_id']}, cluster_id {kinds['cluster_id']}, x double, y double"
-    rest = pos
+    schema = f"mission_id {kinds['mission_id']}, cluster_id {kinds['cluster_id']}, hull_area double"
+    few = stats.where(F.col("_n") <= group_rows).select(*CLUSTER)
+    area = pos.join(few, CLUSTER, "left_semi").groupBy(*CLUSTER).applyInPandas(_hull_area, schema)
+
+    large = stats.where(F.col("_n") > group_rows)
+    corners = [(F.col(f"_e{i}.x"), F.col(f"_e{i}.y")) for i in (*range(8), 0)]
+    start = corners[0]
+    fan = [(a[0] - start[0]) * (b[1] - start[1]) - (a[1] - start[1]) * (b[0] - start[0]) for a, b in zip(corners[1:7], corners[2:8])]
+    area = area.unionByName(large.select(*CLUSTER, (sum(fan) / 2).alias("hull_area")))
+    rows = cut(_into_caps(pos.join(large, CLUSTER), corners))
+    a, b, far = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.col("_far.x"), F.col("_far.y"))
     while True:
-        sizes = rest.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_s"))
-        top = sizes.agg(F.max("_s")).first()[0]
-        if top is None or top <= group_rows:
-            break
-        dealt = rest.join(sizes, CLUSTER).withColumn(
-            "_g", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("_s") / group_rows).cast("long") * 2)
-        )
-        rest = cut(dealt.groupBy(*CLUSTER, "_g").applyInPandas(_hull_rows, schema))
-        if rest.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_s")).agg(F.max("_s")).first()[0] >= top:
+        out = -_side(a, b)
+        caps = cut(rows.groupBy(*CAP).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(out.alias("out"), "x", "y")).alias("_far")))
+        split = caps.where(F.col("_n") > group_rows)
+        if split.isEmpty():
             break
-    area = rest.groupBy(*CLUSTER).applyInPandas(_hull_area, schema.split(", x ")[0] + ", hull_area double")
+        area = area.unionByName(split.select(*CLUSTER, (F.col("_far.out") / 2).alias("hull_area")))
+        rest = rows.join(split.select(*CAP), CAP, "left_anti")
+        rows = cut(rest.unionByName(_into_caps(rows.join(split, CAP), [a, far, b])))
+    area = area.unionByName(rows.groupBy(*CAP).applyInPandas(_cap_area, schema))
+    area = area.groupBy(*CLUSTER).agg(F.sum("hull_area").alias("hull_area"))
     flat = F.greatest(F.lit(0.5), F.col("_w")) * F.greatest(F.lit(0.5), F.col("_h"))
     return stats.join(area, CLUSTER).select(
         *CLUSTER,

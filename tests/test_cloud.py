@@ -109,3 +109,21 @@ def test_percentiles_of_many_values_beside_outliers(spark):
     df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k int, v double")
     for r in exact_percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.953}).collect():
         assert np.allclose([r.a, r.b, r.c], np.percentile(values[r.k], [5, 50, 95.3]), rtol=1e-9, atol=1e-9), r.k
+
+
+def test_footprint_of_a_round_cluster_is_split(spark):
+    n = 500_000
+    ring = spark.range(n).select(
+        F.lit(1).cast("long").alias("mission_id"), F.lit(0).cast("long").alias("cluster_id"),
+        (50 * F.cos(F.col("id") * 2 * np.pi / n)).alias("x"), (50 * F.sin(F.col("id") * 2 * np.pi / n)).alias("y"),
+    )
+    rng = np.random.default_rng(21)
+    blob = rng.normal(0, 5, (3000, 2)).round(2)
+    rows = [(1, 7, float(a), float(b)) for a, b in blob] + [(2, 0, float(i), 2.0) for i in range(5000)] + [(2, 1, 1.0, 1.0)] * 9
+    df = ring.unionByName(spark.createDataFrame(rows, ring.schema))
+    got = {(r.mission_id, r.cluster_id): r.footprint_area_m2 for r in sp.footprint_area(df, 1000).collect()}
+    want = n / 2 * 50**2 * np.sin(2 * np.pi / n)
+    corners = sp._hull(np.unique(blob, axis=0))
+    assert abs(got[1, 0] - want) < 1e-6 and abs(got[1, 7] - sp._polygon_area(corners[:, 0], corners[:, 1])) < 1e-6
+    assert got[2, 0] == 4999 * 0.5 and got[2, 1] == 1.0 and len(got) == 4
+    assert sp.footprint_area(df.limit(0)).count() == 0
