@@ -150,23 +150,47 @@ def _p6b(spark, sf):
     return out.groupBy("mission_id", "cluster_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("point_id").alias("first_point"))
 
 
-@query("P7_instance_metrics", check_sql(
-    f"""select mission_id, cluster_id, cast(cluster_id + 1 as int) as instance_id, n as point_count, {rnd('ax', 5)} as centroid_x, {rnd('ay', 5)} as centroid_y, {rnd('az', 5)} as centroid_z,
+def _instances_sql(area: str, join: str = "") -> str:
+    return f"""select mission_id, cluster_id, cast(cluster_id + 1 as int) as instance_id, n as point_count, {rnd('ax', 5)} as centroid_x, {rnd('ay', 5)} as centroid_y, {rnd('az', 5)} as centroid_z,
          {rnd('x0', 5)} as min_x, {rnd('y0', 5)} as min_y, {rnd('z0', 5)} as min_z, {rnd('x1', 5)} as max_x, {rnd('y1', 5)} as max_y, {rnd('z1', 5)} as max_z,
-         {rnd('(x1 - x0) * (y1 - y0)', 5)} as footprint_area_m2, {rnd('p5', 5)} as base_elevation_m, {rnd('p95', 5)} as peak_elevation_m,
+         {rnd(area, 5)} as footprint_area_m2, {rnd('p5', 5)} as base_elevation_m, {rnd('p95', 5)} as peak_elevation_m,
          {rnd('greatest(0.1, p95 - p5)', 5)} as height_m, {rnd('greatest(0.1, z1 - p5)', 5)} as max_height_m, {rnd('greatest(0.1, roof - p5)', 5)} as mean_height_m,
-         {rnd('(x1 - x0) * (y1 - y0) * greatest(0.1, roof - p5)', 5)} as volume_m3, {rnd('mc', 5)} as mean_confidence
+         {rnd(f'{area} * greatest(0.1, roof - p5)', 5)} as volume_m3, {rnd('mc', 5)} as mean_confidence
        from (select mission_id, cluster_id, count(*) as n, avg(x) as ax, avg(y) as ay, avg(z) as az, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1,
            max(p5) as p5, max(p95) as p95, avg(case when z >= p50 then z end) as roof, avg(confidence) as mc
          from instance_points join (select mission_id, cluster_id, quantile_cont(z, 0.05) as p5, quantile_cont(z, 0.5) as p50, quantile_cont(z, 0.95) as p95 from instance_points group by 1, 2) q using (mission_id, cluster_id)
-         group by 1, 2) where n >= 20""", "instance_points"))
+         group by 1, 2) i {join} where n >= 20"""
+
+
+#: Sub-queries that walk around each cluster, always to the position that turns least: ``hull`` holds the enclosed areas.
+_HULL = {
+    "hp": "select distinct mission_id, cluster_id, x, y from instance_points",
+    "round": """select mission_id, cluster_id, x0, y0, x0 as x, y0 as y, 0e0 as turn, 0e0 as twice from (select mission_id, cluster_id, arg_min(x, (y, x)) as x0, min(y) as y0 from hp group by 1, 2) s
+      union all select mission_id, cluster_id, x0, y0, nx, ny, nt, (x - x0) * (ny - y0) - (y - y0) * (nx - x0) from (
+        select w.*, p.x as nx, p.y as ny, atan2(p.y - w.y, p.x - w.x) + case when atan2(p.y - w.y, p.x - w.x) < 0 then 2 * pi() else 0 end as nt,
+          row_number() over (partition by w.mission_id, w.cluster_id order by nt, pow(p.x - w.x, 2) + pow(p.y - w.y, 2) desc) as rk
+        from round w join hp p on p.mission_id = w.mission_id and p.cluster_id = w.cluster_id and (p.x <> w.x or p.y <> w.y)
+        where (w.turn = 0 or w.x <> w.x0 or w.y <> w.y0) and nt >= w.turn - 1e-12) t where rk = 1""",
+    "hull": """select mission_id, cluster_id, case when n < 3 then 1 when a <= 1e-12 then greatest(0.5, w) * greatest(0.5, h) else a end as area
+      from (select mission_id, cluster_id, sum(twice) / 2 as a from round group by 1, 2) r
+      join (select mission_id, cluster_id, count(*) as n, round(max(x), 3) - round(min(x), 3) as w, round(max(y), 3) - round(min(y), 3) as h from hp group by 1, 2) s using (mission_id, cluster_id)""",
+}
+
+
+@query("P7_instance_metrics", check_sql(_instances_sql("(x1 - x0) * (y1 - y0)"), "instance_points"))
 def _p7(spark, sf):
     p = load(spark, sf, "instance_points")
     area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
     return rounded(sp.instance_metrics(p, p.groupBy("mission_id", "cluster_id").agg(area.alias("footprint_area_m2")), digits=(8, 8)), 5)
 
 
-@query("P8_footprint_area")
+@query("P7_instances_with_hulls", check_sql(_instances_sql("area", "join hull using (mission_id, cluster_id)"), "instance_points", **_HULL))
+def _p7h(spark, sf):
+    p = load(spark, sf, "instance_points")
+    return rounded(sp.instance_metrics(p, sp.footprint_area(p), digits=(8, 8)), 5)
+
+
+@query("P8_footprint_area", check_sql(f"select mission_id, cluster_id, {rnd('area')} as footprint_area_m2 from hull", "instance_points", **_HULL))
 def _p8(spark, sf):
     return rounded(sp.footprint_area(load(spark, sf, "instance_points")))
 
