@@ -59,10 +59,12 @@ def visible_points(
     ``points``: mission_id, point_id, x, y, z, nx, ny, nz. ``cameras``: mission_id, cam_id, cx, cy, cz, dx, dy, dz. ``boxes``:
     mission_id, box_id, x0..z1. Local frames of different missions overlap, so nothing meets across missions.
     Points meet cameras through cells as wide as the range, sight lines meet boxes through ground cells they cross;
-    both are equi-joins with the exact test as residual.
+    both are equi-joins with the exact test as residual. Cameras of the same place and direction see the same, so one stands for
+    all of them.
     """
     size = max_range_m
-    cam = cameras.withColumns(
+    views = cameras.groupBy("mission_id", "cx", "cy", "cz", "dx", "dy", "dz").agg(F.min("cam_id").alias("cam_id"))
+    cam = views.withColumns(
         {"_gx": F.explode(_cells(F.col("cx") - size, F.col("cx") + size, size))}
     ).withColumn("_gy", F.explode(_cells(F.col("cy") - size, F.col("cy") + size, size)))
     at = points.withColumns(
@@ -136,8 +138,11 @@ def best_camera_per_face(
 
     A camera can only serve faces inside its view pyramid, so each camera lists the ground cells its
     footprint covers between the session's lowest and highest vertex, and a face meets the cameras of its
-    centroid's cell: an equi-join that leaves no candidate out.
+    centroid's cell: an equi-join that leaves no candidate out. Of cameras that agree in everything but their id, only the
+    lowest id can win, so the others take no part.
     """
+    keep = ["session_id", *R_NAMES, "tx", "ty", "tz", "fx", "fy", "cx", "cy", "width", "height"]
+    cameras = cameras.groupBy(*keep).agg(F.min("image_id").alias("image_id"))
     geo = face_geometry(faces, vertices)
     span = geo.groupBy("session_id").agg(
         *[F.min(F.least(*[F.col(f"{c}{i}") for i in range(3)])).alias(f"s_{c}0") for c in "xyz"],
@@ -145,10 +150,9 @@ def best_camera_per_face(
     )
     views = with_footprint(cameras.join(span, "session_id"), "s_z0", "s_z1", ("s_x0", "s_x1", "s_y0", "s_y1"))
     views = views.where((F.col("f_x0") <= F.col("f_x1")) & (F.col("f_y0") <= F.col("f_y1")))
-    keep = ["session_id", "image_id", *R_NAMES, "tx", "ty", "tz", "fx", "fy", "cx", "cy", "width", "height"]
     views = views.withColumn("_gx", F.explode(_cells(F.col("f_x0"), F.col("f_x1"), cell_m))).withColumn(
         "_gy", F.explode(_cells(F.col("f_y0"), F.col("f_y1"), cell_m))
-    ).select(*keep, "_gx", "_gy")
+    ).select(*keep, "image_id", "_gx", "_gy")
     at = geo.withColumns({"_gx": F.floor(F.col("fcx") / cell_m).cast("long"), "_gy": F.floor(F.col("fcy") / cell_m).cast("long")})
     # all cameras over a cell meet all its faces: a plain join, so that adaptive execution can split a busy cell
     cand = at.join(views, ["session_id", "_gx", "_gy"])
