@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from skymill.functions.camera import R_NAMES, apply_similarity, cols, norm3, rot
 from skymill.operators.ordered import row_index
 from skymill.operators.quantiles import exact_percentiles
-from skymill.runtime import cut
+from skymill.runtime import cut, spread
 
 SESSION = ["session_id"]
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
@@ -135,7 +135,8 @@ def sample_triples(sizes: DataFrame, trials: int, seed: int) -> DataFrame:
 
 
 def _hypotheses(pairs: DataFrame, sizes: DataFrame, trials: int, seed: int, min_area: float, min_scale: float) -> DataFrame:
-    chosen = sample_triples(sizes, trials, seed).join(pairs, [*SESSION, "idx"])
+    # a row per session becomes hundreds: shuffled after that, the draws are joined by their true size and never broadcast whole
+    chosen = spread(sample_triples(sizes, trials, seed), *SESSION, "idx").join(pairs, [*SESSION, "idx"])
     keys = [*SESSION, "trial"]
     # twice the triangle area from moments: |(p2-p1) x (p3-p1)|^2 = 27 (Vxx Vyy - Vxy^2 + ...)
     area2 = F.lit(0.0)
