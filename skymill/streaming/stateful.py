@@ -5,10 +5,15 @@ set at the end of a span wakes it once the watermark has passed: its events are
 gives the rows that the batch job gives. Event times have to lie after 1970-01-01, where every watermark starts. What waits for a session is bounded by the watermark's delay times the rate of its
 events; an arriving batch appends to the lists and never rewrites them. The running estimate is one small value beside
 them.
+
+Sessions wait in buckets: calls and look-ups for every session, span and event cost far more than the steps themselves. Lists and
+timers are those of a bucket, a batch's events for a span are one entry, and of the spans that are over a wake-up applies as
+many as there are lists, one after the other. Only the running values are kept by session.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,13 +29,14 @@ from skymill.operators.telemetry import EVENT_ORDER
 
 LISTS = 8  # spans of event time that wait in lists of their own; a farther span shares the list of another
 SPANS_OF_DELAY = 4
+BUCKETS = 1_024  # of sessions; part of a stream's state, so a stream has to go on with the number that it began with
 
 
 class OrderedSteps(StatefulProcessor):
     """Applies ``step`` to the events of a key in time order, one span of event time after the other.
 
     ``fields`` (name, type) of an event are kept while it waits. ``step(value, event)`` takes the running value and an event,
-    as dictionaries, and returns the value after it and a row to emit, or none.
+    as dictionaries, and returns the value after it and a row to emit, or none. Nulls come first in the order.
     """
 
     def __init__(self, key: str, fields: list[tuple[str, str]], order: list[str], value: list[tuple[str, str]], start: Callable[[], dict], step: Callable[[dict, dict], tuple[dict, dict | None]], out: list[str], span_ms: int):
@@ -49,36 +55,100 @@ class OrderedSteps(StatefulProcessor):
             pdf = pdf.where(pd.notnull(pdf), None)
             span = (pdf["event_ms"] // self.span_ms).astype("int64")
             for b, part in pdf.groupby(span):
-                self.waiting[b % LISTS].appendList([tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in r) for r in part.itertuples(index=False, name=None)])
+                self._wait(int(b), [tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in r) for r in part.itertuples(index=False, name=None)])
                 timers.add((int(b) + 1) * self.span_ms)
         for t in timers - set(self.handle.listTimers()):
             self.handle.registerTimer(t)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
+        names, values, made = ["event_ms", *[n for n, _ in self.fields]], {}, []
+        for end in self._over(key, expiredTimerInfo.getExpiryTimeInMs(), timerValues):
+            events = [dict(zip(names, e)) for e in self._take(end)]
+            for e in sorted(events, key=lambda e: [(e[c] is not None, e[c]) for c in self.order]):
+                who = self._who(key, e)
+                if who not in values:
+                    held = self._held(who)
+                    values[who] = self.start() if held is None else dict(zip([n for n, _ in self.value], held))
+                values[who], row = self.step(values[who], e)
+                if row is not None:
+                    made.append({self.key: who} | row)
+        for who, value in values.items():
+            self._hold(who, tuple(value[n] for n, _ in self.value))
+        # not a generator: by the time its rows are drawn, the state may stand at another key
+        return iter([pd.DataFrame(made, columns=self.out)] if made else [])
+
+    def _over(self, key: tuple, end: int, timerValues: TimerValues) -> Iterator[int]:
+        """The ends of the spans to apply when the timer of ``end`` expires."""
+        return iter([end])
+
+    def _wait(self, span: int, events: list[tuple]) -> None:
+        self.waiting[span % LISTS].appendList(events)
+
+    def _take(self, end: int) -> list[tuple]:
+        """The events before ``end`` from the list of its span; what is later stays."""
         waiting = self.waiting[(end // self.span_ms - 1) % LISTS]
-        names = ["event_ms", *[n for n, _ in self.fields]]
-        events = [dict(zip(names, e)) for e in waiting.get()]
-        later = [e for e in events if e["event_ms"] >= end]
+        events = list(waiting.get())
+        later = [e for e in events if e[0] >= end]
         if later:
-            waiting.put([tuple(e[n] for n in names) for e in later])
+            waiting.put(later)
         else:
             waiting.clear()
-        value = dict(zip([n for n, _ in self.value], self.now.get())) if self.now.exists() else self.start()
-        made = []
-        for e in sorted((e for e in events if e["event_ms"] < end), key=lambda e: [e[c] for c in self.order]):
-            value, row = self.step(value, e)
-            if row is not None:
-                made.append({self.key: key[0]} | row)
-        self.now.update(tuple(value[n] for n, _ in self.value))
-        # not a generator: by the time its rows are drawn, the state may stand at another key
-        return iter([pd.DataFrame(made, columns=self.out)] if made else [])
+        return [e for e in events if e[0] < end]
+
+    def _who(self, key: tuple, event: dict):
+        return key[0]
+
+    def _held(self, who) -> tuple | None:
+        return self.now.get() if self.now.exists() else None
+
+    def _hold(self, who, value: tuple) -> None:
+        self.now.update(value)
 
     def close(self) -> None:
         pass
 
 
+class SharedSteps(OrderedSteps):
+    """The same where a group is a bucket of keys and ``key`` is one of the fields."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.done = handle, {}
+        self.waiting = [handle.getListState(f"waiting{k}", "events binary") for k in range(LISTS)]
+        self.now = handle.getMapState("now", f"{self.key} {dict(self.fields)[self.key]}", "held binary")
+
+    def _over(self, key: tuple, end: int, timerValues: TimerValues) -> Iterator[int]:
+        """All spans that the watermark has passed, as far as each has a list of its own; what their timers find is done."""
+        if end <= self.done.get(key, -1):  # by an earlier timer of this batch: all its rows came before its timers
+            return iter([])
+        over = timerValues.getCurrentWatermarkInMs() // self.span_ms * self.span_ms
+        self.done[key] = max(end, min(over, end + (LISTS - 1) * self.span_ms))
+        return iter(range(end, self.done[key] + 1, self.span_ms))
+
+    def _wait(self, span: int, events: list[tuple]) -> None:
+        self.waiting[span % LISTS].appendValue((pickle.dumps(events),))
+
+    def _take(self, end: int) -> list[tuple]:
+        waiting = self.waiting[(end // self.span_ms - 1) % LISTS]
+        events = [e for (entry,) in waiting.get() for e in pickle.loads(entry)]
+        if events:
+            waiting.clear()
+            later = [e for e in events if e[0] >= end]
+            if later:
+                waiting.appendValue((pickle.dumps(later),))
+        return [e for e in events if e[0] < end]
+
+    def _who(self, key: tuple, event: dict):
+        return event[self.key]
+
+    def _held(self, who) -> tuple | None:
+        held = self.now.getValue((who,))
+        return None if held is None else pickle.loads(held[0])
+
+    def _hold(self, who, value: tuple) -> None:
+        self.now.updateValue((who,), (pickle.dumps(value),))
+
+
 def _ordered(events: DataFrame, delay: str, fields: list[str], order: list[str], value: list[tuple[str, str]], start: Callable[[], dict], step: Callable, out: str) -> DataFrame:
     """``step`` over the events of each session; the state needs the RocksDB provider."""
     spark = events.sparkSession
@@ -86,9 +156,12 @@ def _ordered(events: DataFrame, delay: str, fields: list[str], order: list[str],
     types = dict(events.dtypes)
     delay_ms = spark.sql(f"SELECT CAST(unix_millis(timestamp'1970-01-02 00:00:00' + INTERVAL {delay}) - unix_millis(timestamp'1970-01-02 00:00:00') AS BIGINT)").first()[0]
     names = ["session_id", *[c.split()[0] for c in out.split(", ")]]
-    steps = OrderedSteps("session_id", [(f, types[f]) for f in fields], order, value, start, step, names, max(delay_ms // SPANS_OF_DELAY, 1))
-    marked = events.withWatermark("event_time", delay).withColumn("event_ms", F.unix_millis("event_time"))
-    return marked.groupBy("session_id").transformWithStateInPandas(steps, f"session_id {types['session_id']}, {out}", "Append", "EventTime")
+    kept = [(f, types[f]) for f in ["session_id", *fields]]
+    steps = SharedSteps("session_id", kept, order, value, start, step, names, max(delay_ms // SPANS_OF_DELAY, 1))
+    # the null session by itself: beside nulls, pandas holds long ids as floats
+    bucket = F.when(F.col("session_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+    marked = events.withWatermark("event_time", delay).withColumns({"event_ms": F.unix_millis("event_time"), "_bucket": bucket})
+    return marked.groupBy("_bucket").transformWithStateInPandas(steps, f"session_id {types['session_id']}, {out}", "Append", "EventTime")
 
 
 # --- trajectory ---------------------------------------------------------------------------------
