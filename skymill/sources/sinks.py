@@ -79,8 +79,8 @@ def comparison_rows(metrics: DataFrame) -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """JSON lines."""
-    df.write.json(path)
+    """JSON lines, compressed: their field names repeat in every row."""
+    df.write.json(path, compression="gzip")
 
 
 def write_comparison(metrics: DataFrame, path: str) -> None:
