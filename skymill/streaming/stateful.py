@@ -156,12 +156,13 @@ def _ordered(events: DataFrame, delay: str, fields: list[str], order: list[str],
     types = dict(events.dtypes)
     delay_ms = spark.sql(f"SELECT CAST(unix_millis(timestamp'1970-01-02 00:00:00' + INTERVAL {delay}) - unix_millis(timestamp'1970-01-02 00:00:00') AS BIGINT)").first()[0]
     names = ["session_id", *[c.split()[0] for c in out.split(", ")]]
-    kept = [(f, types[f]) for f in ["session_id", *fields]]
+    # ids as text: beside a null, pandas holds long ones as floats
+    kept = [("session_id", "string"), *[(f, types[f]) for f in fields]]
     steps = SharedSteps("session_id", kept, order, value, start, step, names, max(delay_ms // SPANS_OF_DELAY, 1))
-    # the null session by itself: beside nulls, pandas holds long ids as floats
-    bucket = F.when(F.col("session_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
-    marked = events.withWatermark("event_time", delay).withColumns({"event_ms": F.unix_millis("event_time"), "_bucket": bucket})
-    return marked.groupBy("_bucket").transformWithStateInPandas(steps, f"session_id {types['session_id']}, {out}", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+    marked = events.withWatermark("event_time", delay).withColumns({"event_ms": F.unix_millis("event_time"), "_bucket": bucket, "session_id": F.col("session_id").cast("string")})
+    made = marked.groupBy("_bucket").transformWithStateInPandas(steps, f"session_id string, {out}", "Append", "EventTime")
+    return made.withColumn("session_id", F.col("session_id").cast(types["session_id"]))
 
 
 # --- trajectory ---------------------------------------------------------------------------------
