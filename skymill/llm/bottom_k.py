@@ -29,6 +29,8 @@ from skymill.runtime import cut
 K = 64
 MISS = 1e-13
 FEW = 16  # members of a list that meet pair by pair
+MARKS = 1024  # bits that tell whole sets apart before they are compared
+NEAR = 16  # values before one that an entry of a crowded list names
 
 
 def shingles_of(text: str, width: int) -> np.ndarray:
@@ -121,10 +123,27 @@ def lists(nodes: DataFrame, percent: int) -> DataFrame:
     return cut(rare.select("value", F.explode(F.array("_b", F.col("_b") + 1)).alias("bin"), "node", "n", "place"))
 
 
-def _rarest(nodes: DataFrame, values: str, needed: Column) -> DataFrame:
-    """``value, node, n, place, before``: of an array of values so many of the rarest that nodes which share ``needed`` of theirs
-    share one of these; ``place`` counts the values before it, from rare to frequent, and ``before`` those of them that other
-    nodes have too. Values that one node has are left out."""
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``MARKS`` places whether an odd number of shingles fall on it. Marks of two sets differ in at most as many
+    places as there are shingles that only one of the sets has."""
+    odd = np.bincount(shingles & (MARKS - 1), minlength=MARKS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def marked(sets: DataFrame) -> DataFrame:
+    """``node, marks`` of ``sets`` (written; ``node, shingles``)."""
+
+    @F.pandas_udf("array<long>")
+    def of(arrays: pd.Series) -> pd.Series:
+        return pd.Series([marks_of(s) for s in arrays], index=arrays.index)
+
+    return sets.select("node", of("shingles").alias("marks"))
+
+
+def _rarest(nodes: DataFrame, values: str, needed: Column, near: int = 0) -> DataFrame:
+    """``value, node, n, place``: of an array of values so many of the rarest that nodes which share ``needed`` of theirs
+    share one of these; ``place`` counts the values before it, from rare to frequent. Values that one node has are left
+    out. With ``near``, also ``near``: so many of the values before it that other nodes have too, the last ones."""
     often = cut(nodes.select(F.explode(values).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     sieve = Sieve(often, "_v")
     passes = sieve.test()
@@ -136,8 +155,11 @@ def _rarest(nodes: DataFrame, values: str, needed: Column) -> DataFrame:
     entries = nodes.select("node", "n", F.size(values).alias("_size"), F.explode(shared(values)).alias("value"))
     kept = entries.join(often, F.col("value") == F.col("_v")).groupBy("node", "n", "_size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     alone = F.col("_size") - F.size("have")
-    first = F.slice("have", 1, F.greatest(F.col("_size") - needed + 1 - alone, F.lit(0)))
-    out = cut(kept.select("node", "n", alone.alias("_alone"), F.posexplode(first).alias("_i", "_e")).select(F.col("_e.value").alias("value"), "node", "n", (F.col("_alone") + F.col("_i")).alias("place"), F.col("_i").alias("before")))
+    first = F.slice("have.value", 1, F.greatest(F.col("_size") - needed + 1 - alone, F.lit(0)))
+    entry = [F.col("_e.v").alias("value"), "node", "n", (F.col("_alone") + F.col("_e.i")).alias("place")]
+    named = lambda v, i: F.struct(v.alias("v"), i.alias("i"), *([F.slice("_first", F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near))).alias("near")] if near else []))
+    entries = kept.select("node", "n", alone.alias("_alone"), first.alias("_first")).select("node", "n", "_alone", F.explode(F.transform("_first", named)).alias("_e"))
+    out = cut(entries.select(*entry, *(["_e.near"] if near else [])))
     sieve.close()
     return out
 
@@ -175,7 +197,8 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
     First every list meets around two members, so that crowds of copies join with as many comparisons as they have
     entries. Lists whose members are all connected then are done. In others of up to ``FEW`` members all that are apart meet.
     Members of longer ones get lists of their whole sets, which are exact and much shorter. There all meet those outside the
-    list's largest component, except where the places of the common value already bound the overlap below what is asked.
+    list's largest component, at the first value they share, except where its places or the marks of the sets already bound
+    the overlap below what is asked. Only pairs that neither rules out are written and compared on the sets.
     """
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     pair = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
@@ -212,17 +235,24 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, width: int, percent: int, pr
         return roots
     sets = fetch(still)
     size = F.size("shingles")
-    exact = _with_roots(_rarest(sets.select("node", size.alias("n"), "shingles"), "shingles", F.ceil(F.col("n") * percent / 100).cast("int")), roots)
-    exact = cut(exact)
+    with text_batches(docs.sparkSession):
+        of_node = cut(_with_roots(marked(sets), roots)).withColumnRenamed("node", "_n")
+    exact = _rarest(sets.select("node", size.alias("n"), "shingles"), "shingles", F.ceil(F.col("n") * percent / 100).cast("int"), NEAR)
+    exact = cut(exact.join(of_node, F.col("node") == F.col("_n")).drop("_n"))
     shares = exact.groupBy("value", "root").agg(F.count(F.lit(1)).alias("_c"))
     main = shares.groupBy(F.col("value").alias("_value")).agg(F.max(F.struct("_c", "root")).alias("_m"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
     same = F.col("value") == F.col("_value")
     mixed = cut(exact.join(main.select("_value", F.col("_m.root").alias("_main")), same).drop("_value"))
-    apart = mixed.where("root <> _main").select(F.col("value").alias("_value"), *other, F.col("place").alias("other_place"), F.col("before").alias("other_before"), F.col("root").alias("other_root"))
+    rest = [F.col(c).alias(f"other_{c}") for c in ("place", "near", "marks", "root")]
+    apart = cut(mixed.where("root <> _main").select(F.col("value").alias("_value"), *other, *rest))
     once = (F.col("root") == F.col("_main")) | (F.col("node") < F.col("other"))
-    most = F.least("before", "other_before") + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    enough = most * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
-    met = mixed.join(cut(apart), same & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n") & enough)
+    both = F.col("n") + F.col("other_n")
+    # at the first common value, all that can be common are it and what follows; pairs that meet again have no say there
+    enough = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) * (100 + percent) >= both * percent
+    differ = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("other_marks")[i])) for i in range(MARKS // 64))
+    close = (both - differ) * (100 + percent) >= both * 2 * percent
+    again = F.arrays_overlap("near", "other_near")
+    met = mixed.join(apart, same & (F.col("root") != F.col("other_root")) & once & fits("n", "other_n") & enough & close & ~again)
     found = verified(cut(met.select(*pair).unionByName(likely).distinct()), sets, percent)
     return roots if found.isEmpty() else components(links.unionByName(found))
 

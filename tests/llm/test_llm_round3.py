@@ -81,6 +81,34 @@ def test_bottom_k_crowd_joins_without_pairs(spark):
     assert [r.component_id for r in sorted(bottom_k.near_duplicates(df).collect())] == brute_components(list(range(400)), texts)[1]
 
 
+def test_bottom_k_crowd_below_the_limit_is_told_apart_without_pairs(spark, monkeypatch):
+    """Of a crowd close below the limit few pairs are written and compared on the sets, and no link is lost."""
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    texts = [varied(rng, base, 0.045) for _ in range(300)]
+    handed, verified = [], bottom_k.verified
+
+    def counted(pairs, sets, percent):
+        handed.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(bottom_k, "verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in sorted(bottom_k.near_duplicates(df).collect())]
+    assert got == brute_components(list(range(300)), texts)[1]
+    assert len(handed) == 2 and handed[1] < 1500, handed
+
+
+def test_bottom_k_marks_never_tell_too_much():
+    rng = np.random.default_rng(11)
+    for size in (3, 100, 5000):
+        a = rng.integers(-(2**63), 2**63, size)
+        b = np.concatenate([a[: size // 2], rng.integers(-(2**63), 2**63, size // 3)])
+        differ = np.bitwise_count((bottom_k.marks_of(a) ^ bottom_k.marks_of(b)).view(np.uint64)).sum()
+        assert len(bottom_k.marks_of(a)) * 64 == bottom_k.MARKS and differ <= len(np.setxor1d(a, b))
+        assert not (bottom_k.marks_of(a) ^ bottom_k.marks_of(a[::-1])).any()
+
+
 def test_bottom_k_prefix_meets_every_similar_pair():
     """The number of values that must be shared, on random pairs at the asked similarity."""
     rng = np.random.default_rng(1)
