@@ -89,6 +89,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         digests = [digest(s) for s in sets]
         return pd.DataFrame({"d0": [d[0] for d in digests], "d1": [d[1] for d in digests], "shingles": sets}, index=texts.index)
 
+    of = of.asNondeterministic()  # else the filter on the digests gets a call of its own, in a worker of its own
     with text_batches(docs.sparkSession):
         texts = sifted(docs.select(row_key().alias("key"), text_of().alias("text")), "key", nodes, "key")
         one = texts.groupBy(F.col("key").alias("_k"), F.xxhash64(F.lit(1), "text").alias("_other")).agg(F.any_value("text").alias("text"))

@@ -99,6 +99,22 @@ def test_bottom_k_crowd_below_the_limit_is_told_apart_without_pairs(spark, monke
     assert len(handed) == 2 and handed[1] < 1500, handed
 
 
+def test_bottom_k_makes_each_whole_set_once(spark, monkeypatch, tmp_path):
+    """The filter on the digests doesn't shingle the texts again, in a second worker beside the first."""
+    log, shingles_of = str(tmp_path / "calls"), bottom_k.shingles_of
+
+    def logged(text, width):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return shingles_of(text, width)
+
+    df = spark.createDataFrame([(i, f"a{i} b c d{i}") for i in range(20)], "doc_id long, text string")
+    nodes = bottom_k.cut(bottom_k.sketch(df, 2).selectExpr("row AS node", "key", "d0", "d1"))
+    monkeypatch.setattr(bottom_k, "shingles_of", logged)
+    assert bottom_k.whole_sets(df, nodes, 2).count() == 20
+    assert len(open(log).readlines()) == 20
+
+
 def test_bottom_k_marks_never_tell_too_much():
     rng = np.random.default_rng(11)
     for size in (3, 100, 5000):
