@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from skymill.functions.camera import R_NAMES, apply_similarity, cols, norm3, rot
 from skymill.operators.ordered import row_index
 from skymill.operators.quantiles import exact_percentiles
-from skymill.runtime import cut, spread
+from skymill.runtime import cut, shuffled, spread
 
 SESSION = ["session_id"]
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
@@ -57,10 +57,11 @@ def with_transform(moments: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(f"_tf.{c}"), F.lit(None).cast("double")) for c in TRANSFORM}).drop("_tf")
 
 
-def alignment_moments(pairs: DataFrame, keys: list[str] = SESSION) -> DataFrame:
+def alignment_moments(pairs: DataFrame, keys: list[str] = SESSION, *more: Column) -> DataFrame:
     """G1, first half: means, spread and the nine cross-moments in one map-side-combined pass.
 
-    ``covar_pop`` merges centred partials, so large coordinates lose nothing and no second pass is needed.
+    ``covar_pop`` merges centred partials, so large coordinates lose nothing and no second pass is needed. ``more``:
+    further aggregates of the same pass.
     """
     return pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
@@ -68,6 +69,7 @@ def alignment_moments(pairs: DataFrame, keys: list[str] = SESSION) -> DataFrame:
         *[F.avg(c).alias(f"md{i}") for i, c in enumerate(DST)],
         sum((F.var_pop(c) for c in SRC[1:]), F.var_pop(SRC[0])).alias("var_s"),
         *[F.covar_pop(DST[i], SRC[j]).alias(f"c{i}{j}") for i in range(3) for j in range(3)],
+        *more,
     )
 
 
@@ -85,7 +87,7 @@ def residual(prefix: str = "") -> Column:
 
 def with_residuals(pairs: DataFrame, transforms: DataFrame, keys: list[str] = SESSION) -> DataFrame:
     """``residual_m`` per pair."""
-    return pairs.join(transforms.select(*keys, *TRANSFORM), keys).withColumn("residual_m", residual()).drop(*TRANSFORM)
+    return pairs.join(shuffled(transforms.select(*keys, *TRANSFORM)), keys).withColumn("residual_m", residual()).drop(*TRANSFORM)
 
 
 def residual_summary(pairs: DataFrame, keys: list[str] = SESSION) -> DataFrame:
@@ -117,6 +119,8 @@ def match_by_name(poses: DataFrame, fixes: DataFrame, min_matches: int = 3) -> D
 
 # --- robust fit ---------------------------------------------------------------------------------
 
+SLICE = 100_000  # pairs of a session that meet its hypotheses in one task
+
 
 def _draw(n: Column, seed: int, k: int) -> Column:
     return F.pmod(F.xxhash64(F.col("session_id"), F.col("trial"), F.lit(seed), F.lit(k)), n)
@@ -135,15 +139,14 @@ def sample_triples(sizes: DataFrame, trials: int, seed: int) -> DataFrame:
 
 
 def _hypotheses(pairs: DataFrame, sizes: DataFrame, trials: int, seed: int, min_area: float, min_scale: float) -> DataFrame:
-    # a row per session becomes hundreds: shuffled after that, the draws are joined by their true size and never broadcast whole
-    chosen = spread(sample_triples(sizes, trials, seed), *SESSION, "idx").join(pairs, [*SESSION, "idx"])
+    # neither the pairs nor the draws, a row per session that becomes hundreds, are as small as the planner takes them for
+    chosen = spread(sample_triples(sizes, trials, seed), *SESSION, "idx").join(shuffled(pairs), [*SESSION, "idx"])
     keys = [*SESSION, "trial"]
     # twice the triangle area from moments: |(p2-p1) x (p3-p1)|^2 = 27 (Vxx Vyy - Vxy^2 + ...)
     area2 = F.lit(0.0)
     for a, b in (("sx", "sy"), ("sx", "sz"), ("sy", "sz")):
         area2 = area2 + F.var_pop(a) * F.var_pop(b) - F.covar_pop(a, b) * F.covar_pop(a, b)
-    areas = chosen.groupBy(*keys).agg((area2 * 27.0).alias("_area2"))
-    models = with_transform(alignment_moments(chosen, keys)).join(areas, keys)
+    models = with_transform(alignment_moments(chosen, keys, (area2 * 27.0).alias("_area2")))
     return models.where((F.col("_area2") >= min_area * min_area) & (F.col("s") > min_scale)).select(*keys, *TRANSFORM)
 
 
@@ -159,16 +162,18 @@ def ransac_similarity(
     """Robust similarity per session, one row each.
 
     ``pairs`` carries the session's threshold on each row. Every session's hypotheses (at most ``trials`` short
-    rows) travel as one array to its pairs; scoring explodes them inside the task and combines before the shuffle, so a
-    session with a third of all pairs sends no more score rows than a small one. The winner has the most
+    rows) travel as one array to each slice of ``SLICE`` of its pairs; scoring explodes them inside the task and combines before
+    the shuffle, so a session with a third of all pairs is many tasks and sends few score rows from each. The winner has the most
     inliers, then the lowest mean residual, then the lowest trial. A final reweighting by Huber weights refines it.
     """
     pairs = cut(row_index(pairs, SESSION, order, chunk).select(*SESSION, "idx", threshold, *SRC, *DST))
     sizes = pairs.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_pairs")).where(F.col("n_pairs") >= 3)
     exact = sizes.where(F.col("n_pairs") > 3)
     models = cut(_hypotheses(pairs, exact, trials, seed, 1e-5, 1e-4))
-    packed = models.groupBy(*SESSION).agg(F.collect_list(F.struct("trial", *TRANSFORM)).alias("_h"))
-    tried = pairs.join(packed, SESSION).select(*SESSION, threshold, *SRC, *DST, F.explode("_h").alias("_m"))
+    packed = models.groupBy(*SESSION).agg(F.collect_list(F.struct("trial", *TRANSFORM)).alias("_h")).join(shuffled(exact), SESSION)
+    packed = packed.select(*SESSION, "_h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_pairs") - 1) / SLICE))).alias("_slice"))
+    sliced = pairs.withColumn("_slice", F.floor(F.col("idx") / SLICE))
+    tried = sliced.join(shuffled(packed), [*SESSION, "_slice"]).select(*SESSION, threshold, *SRC, *DST, F.explode("_h").alias("_m"))
     tried = tried.select(*SESSION, threshold, *SRC, *DST, "_m.*").withColumn("residual_m", residual())
     scores = (
         tried.where(F.col("residual_m") < F.col(threshold))
@@ -179,15 +184,15 @@ def ransac_similarity(
         F.max(F.struct(F.col("_in"), (-F.col("_res")).alias("_neg"), (-F.col("trial")).alias("_nt"))).alias("_b")
     )
     best = best.where(F.col("_b._in") >= min_inliers).select(*SESSION, (-F.col("_b._nt")).alias("trial"))
-    winner = models.join(best, [*SESSION, "trial"]).select(*SESSION, *[F.col(c).alias(f"w_{c}") for c in TRANSFORM])
+    winner = models.join(shuffled(best), [*SESSION, "trial"]).select(*SESSION, *[F.col(c).alias(f"w_{c}") for c in TRANSFORM])
 
-    held = pairs.join(winner, SESSION, "left")
+    held = pairs.join(shuffled(winner), SESSION, "left")
     inlier = F.col("w_s").isNull() | (residual("w_") < F.col(threshold))
     inliers = cut(held.where(inlier).select(*SESSION, F.col("w_s").isNotNull().alias("robust"), *SRC, *DST))
     first = umeyama(inliers)
     scored = with_residuals(inliers, first)
     knees = exact_percentiles(scored, SESSION, "residual_m", {"_k": 0.5}).withColumn("_k", F.greatest("_k", F.lit(1e-3)))
-    weighted = scored.join(knees, SESSION).withColumn(
+    weighted = scored.join(shuffled(knees), SESSION).withColumn(
         "_w",
         F.when(F.col("robust"), F.least(F.lit(1.0), F.col("_k") / F.greatest(F.col("residual_m"), F.lit(1e-6)))).otherwise(1.0),
     )
@@ -195,7 +200,7 @@ def ransac_similarity(
     fit = with_residuals(inliers, final).groupBy(*SESSION).agg(
         F.count(F.lit(1)).alias("n_inliers"), F.avg("residual_m").alias("mean_residual_m"), F.bool_or("robust").alias("robust")
     )
-    return final.join(fit, SESSION)
+    return final.join(shuffled(fit), SESSION)
 
 
 def weighted_moments(pairs: DataFrame, weight: str, keys: list[str] = SESSION) -> DataFrame:
@@ -203,7 +208,7 @@ def weighted_moments(pairs: DataFrame, weight: str, keys: list[str] = SESSION) -
     means = pairs.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_a{i}") for i, c in enumerate(SRC)], *[F.avg(c).alias(f"_b{i}") for i, c in enumerate(DST)]
     )
-    df = pairs.join(means, keys)
+    df = pairs.join(shuffled(means), keys)
     df = df.withColumns(
         {**{f"_s{i}": F.col(c) - F.col(f"_a{i}") for i, c in enumerate(SRC)}, **{f"_d{i}": F.col(c) - F.col(f"_b{i}") for i, c in enumerate(DST)}}
     )
