@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skymill.operators import alignment as al
 from skymill.operators import quantiles as qt
+from skymill.operators import spatial as sp
 from skymill.runtime import cut
 
 
@@ -39,3 +40,13 @@ def test_values_of_many_intervals(spark, monkeypatch):
     monkeypatch.setattr(qt, "SPANS", 8)
     many = qt._values(vals, asked, ["k"])
     assert "SortMergeJoin" in _plan(many) and "BroadcastHashJoin" not in _plan(many) and many.count() == 50_000
+
+
+def test_cells_and_locations_looked_up_around(spark):
+    cells = cut(spark.range(500).select(F.lit(1).alias("mission_id"), *[F.floor(F.col("id") / 10**k % 10).cast("long").alias(g) for k, g in enumerate(sp.G)], F.col("id").alias("a"), *[F.lit(0.0).alias(f"a_{c}") for c in sp.BOX]))
+    met = sp._neighbour_cells(cells, cells.withColumnsRenamed({"a": "b"} | {f"a_{c}": f"b_{c}" for c in sp.BOX}), 2)
+    assert {"a", "b", "a_lo_x", "b_hi_z"} <= set(met.columns)
+    assert "BroadcastHashJoin" not in _plan(met)
+    at = cut(spark.range(3000).select(F.lit(1).alias("mission_id"), F.col("id").alias("loc_id"), *[(F.col("id") % m / 4.0).alias(c) for m, c in ((7, "x"), (11, "y"), (13, "z"))], F.lit(1).alias("w")))
+    at = cut(sp._with_grid(at, 0.5))
+    assert "BroadcastHashJoin" not in _plan(sp.reached(at, at, 1.0, ["w"], F.sum))
