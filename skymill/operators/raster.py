@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skymill.functions.camera import camera_center, cols, project, rot
+from skymill.functions.camera import R_NAMES, camera_center, cols, rot
 from skymill.functions.taxonomy import GROUND_LIKE_IDS
 from skymill.operators.confidence import confidence_tier
 from skymill.operators.quantiles import exact_percentiles
-from skymill.runtime import spread
+from skymill.operators.pixels import TILE, pixel_runs
+from skymill.runtime import shuffled, spread
 
 MISSION = ["mission_id"]
 
@@ -236,8 +241,9 @@ def orthomosaic(
 ) -> DataFrame:
     """Mean colour and cover count per canvas cell.
 
-    ``canvas`` has one row per session: ``x_min, x_max, y_min, y_max, z_ref``. Every frame lists only the cells
-    under its own footprint, so work follows covered area times overlap and no frame meets every cell.
+    ``canvas`` has one row per session: ``x_min, x_max, y_min, y_max, z_ref``. Every frame looks only at the cells
+    under its own footprint, so work follows covered area times overlap and no frame meets every cell. Pictures come to their
+    frames as tiles of packed runs of pixels; a cell is coloured where the tile lies, and only sums by cell are shuffled.
     """
     shaped = canvas.withColumns(
         {
@@ -249,49 +255,97 @@ def orthomosaic(
     placed = placed.withColumns(
         {"_bx1": F.col("x_min") + F.col("n_cols") * gsd, "_by0": F.col("y_max") - F.col("n_rows") * gsd}
     )
-    seen = with_footprint(placed, "z_ref", "z_ref", ("x_min", "_bx1", "_by0", "y_max"))
-
-    def span(lo: Column, hi: Column, n: str) -> Column:
-        a = F.greatest(F.lit(0).cast("long"), F.floor(lo).cast("long"))
-        b = F.least(F.col(n) - 1, F.ceil(hi).cast("long"))
-        return F.when(a <= b, F.sequence(a, b))
-
-    rows = seen.withColumn(
-        "row", F.explode(span((F.col("y_max") - F.col("f_y1")) / gsd, (F.col("y_max") - F.col("f_y0")) / gsd, "n_rows"))
-    )
-    # a few thousand poses become millions of cells: deal the canvas lines out first
-    cells = spread(rows, "image_id", "row").withColumn(
-        "col", F.explode(span((F.col("f_x0") - F.col("x_min")) / gsd, (F.col("f_x1") - F.col("x_min")) / gsd, "n_cols"))
-    ).withColumns(
-        {"_wx": F.col("x_min") + F.col("col") * gsd, "_wy": F.col("y_max") - F.col("row") * gsd, "_wz": F.col("z_ref")}
-    )
-    hit = project(cells, ("_wx", "_wy", "_wz"), 1e-6)
-    inside = (
-        (F.rint("pu") >= 0) & (F.rint("pu") <= F.col("width") - 1) & (F.rint("pv") >= 0) & (F.rint("pv") <= F.col("height") - 1)
+    # a tile of the picture is a camera of its own, with the part of the footprint that its pixels see
+    whole = [f"_o_{c}" for c in ("cx", "cy")]
+    imaged = placed.join(shuffled(pixels.select("image_id").distinct()), "image_id", "left_semi")
+    tiles = imaged.withColumns({o: F.col(o[3:]) for o in whole})
+    for t, n in (("_tv", "height"), ("_tu", "width")):
+        tiles = tiles.withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(n) / TILE).cast("long"))))
+    low = {c: F.greatest(F.lit(-0.5), F.col(t) * float(TILE) - 1.0) for c, t in (("cx", "_tu"), ("cy", "_tv"))}
+    high = {c: F.least(F.col(n) - 0.5, F.col(t) * float(TILE) + (TILE - 1.0)) for c, t, n in (("cx", "_tu", "width"), ("cy", "_tv", "height"))}
+    tiles = tiles.withColumns({"_pw": F.col("width"), "_ph": F.col("height")} | {"width": high["cx"] - low["cx"], "height": high["cy"] - low["cy"]} | {c: F.col(c) - low[c] for c in low})
+    tiles = spread(tiles.where("width >= 0 AND height >= 0"), "image_id", "_tv", "_tu")  # also keeps the generated code small
+    seen = with_footprint(tiles, "z_ref", "z_ref", ("x_min", "_bx1", "_by0", "y_max"))
+
+    def ends(lo: Column, hi: Column, n: str) -> list[Column]:
+        return [F.greatest(F.lit(0).cast("long"), F.floor(lo).cast("long")), F.least(F.col(n) - 1, F.ceil(hi).cast("long"))]
+
+    r0, r1 = ends((F.col("y_max") - F.col("f_y1")) / gsd, (F.col("y_max") - F.col("f_y0")) / gsd, "n_rows")
+    k0, k1 = ends((F.col("f_x0") - F.col("x_min")) / gsd, (F.col("f_x1") - F.col("x_min")) / gsd, "n_cols")
+    camera = [F.col(c).cast("double").alias(c) for c in (*R_NAMES, "tx", "ty", "tz", "fx", "fy")]
+    seen = seen.select(
+        *keys, "image_id", F.col("_tv").alias("tv"), F.col("_tu").alias("tu"), *camera, F.col("_o_cx").cast("double").alias("cx"), F.col("_o_cy").cast("double").alias("cy"), F.col("_pw").cast("long").alias("width"),
+        F.col("_ph").cast("long").alias("height"), "x_min", "y_max", F.col("z_ref").cast("double").alias("z_ref"), r0.alias("r0"), r1.alias("r1"), k0.alias("k0"), k1.alias("k1"),
     )
-    hit = hit.where(inside).select(*keys, "image_id", "row", "col", "pu", "pv")
-    corners = F.array(
-        *[
-            F.struct(
-                (F.floor("pv") + dv).cast("long").alias("v"),
-                (F.floor("pu") + du).cast("long").alias("u"),
-                (
-                    (F.lit(1.0) - F.abs(F.col("pv") - F.floor("pv") - dv)) * (F.lit(1.0) - F.abs(F.col("pu") - F.floor("pu") - du))
-                ).alias("w"),
-            )
-            for dv in (0, 1)
-            for du in (0, 1)
-        ]
-    )
-    taps = hit.select(*keys, "image_id", "row", "col", F.explode(corners).alias("_t")).where(F.col("_t.w") > 0)
-    images = pixels.select("image_id").distinct()
-    taps = taps.join(images, "image_id", "left_semi")
-    tex = pixels.select("image_id", F.col("row").alias("_v"), F.col("col").alias("_u"), "gray")
-    colour = taps.select(*keys, "image_id", "row", "col", F.col("_t.v").alias("_v"), F.col("_t.u").alias("_u"), F.col("_t.w").alias("_w"))
-    colour = colour.join(tex, ["image_id", "_v", "_u"], "left")
-    per_frame = colour.groupBy(*keys, "row", "col", "image_id").agg(
-        F.sum(F.col("_w") * F.coalesce("gray", F.lit(0))).alias("_g")
-    )
-    return per_frame.groupBy(*keys, "row", "col").agg(
-        F.floor(F.avg("_g") + 1e-9).cast("int").alias("gray"), F.count(F.lit(1)).alias("coverage")
+    # the lower neighbour of a tile's last line or column lies in the tile itself: both border lines are held twice
+    runs = pixel_runs(pixels, "gray")
+    last = F.col("lo") + F.size("run") - 1
+    over = lambda a, b: F.explode(F.sequence(F.floor(a / TILE).cast("long"), F.floor((b + 1) / TILE).cast("long")))
+    runs = runs.withColumn("_tv", over(F.col("row"), F.col("row"))).withColumn("_tu", over(F.col("lo"), last))
+    packed = runs.groupBy("image_id", F.col("_tv").alias("tv"), F.col("_tu").alias("tu")).agg(F.collect_list(F.struct("row", "lo", "run")).alias("runs"))
+    met = seen.join(shuffled(packed), ["image_id", "tv", "tu"], "left")
+    kinds = dict(seen.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row long, col long, _g double, _n long"
+    sums = met.mapInPandas(lambda parts: _sampled(parts, keys, gsd), schema)
+    return sums.groupBy(*keys, "row", "col").agg(
+        F.floor(F.sum("_g") / F.sum("_n") + 1e-9).cast("int").alias("gray"), F.sum("_n").alias("coverage")
     )
+
+
+CELLS = 1_000_000  # canvas cells looked at together
+
+
+def _sampled(parts: Iterator[pd.DataFrame], keys: list[str], gsd: float) -> Iterator[pd.DataFrame]:
+    """Sums of colour and covers of the canvas cells under each tile, added up as far as they lie in one batch."""
+    for pdf in parts:
+        held, size = [], 0
+        spans = ["r0", "r1", "k0", "k1"]
+        pdf = pdf.dropna(subset=spans).astype({c: np.int64 for c in spans})  # a pose that is not known sees nothing
+        for t in pdf[(pdf["r0"] <= pdf["r1"]) & (pdf["k0"] <= pdf["k1"])].itertuples(index=False):
+            gray = _tile(t)
+            step = max(1, CELLS // (t.k1 - t.k0 + 1))
+            for r in range(t.r0, t.r1 + 1, step):
+                row, col, g = _hits(t, gray, np.arange(r, min(r + step, t.r1 + 1)), gsd)
+                held.append(pd.DataFrame({k: getattr(t, k) for k in keys} | {"row": row, "col": col, "_g": g, "_n": np.int64(1)}, index=range(len(row))))
+                size += len(row)
+                if size > CELLS:
+                    yield _added(held, keys)
+                    held, size = [], 0
+        if held:
+            yield _added(held, keys)
+
+
+def _added(held: list[pd.DataFrame], keys: list[str]) -> pd.DataFrame:
+    return pd.concat(held).groupby([*keys, "row", "col"], as_index=False, dropna=False).sum()
+
+
+def _tile(t) -> np.ndarray:
+    """The pixels of a tile, its last line and column those of the next; unknown ones count as black."""
+    gray = np.zeros((TILE + 1, TILE + 1))
+    for line in t.runs if t.runs is not None else ():
+        v, u = line["row"] + 1 - t.tv * TILE, line["lo"] + 1 - t.tu * TILE
+        run = np.array([0.0 if x is None else x for x in line["run"]], float)
+        a, b = max(0, -u), min(len(run), TILE + 1 - u)
+        if a < b:
+            gray[v, u + a : u + b] += run[a:b]
+    return gray
+
+
+def _hits(t, gray: np.ndarray, rows: np.ndarray, gsd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and colour of the cells on the given canvas lines whose upper left pixel lies in the tile."""
+    row, col = (a.ravel() for a in np.meshgrid(rows, np.arange(t.k0, t.k1 + 1), indexing="ij"))
+    x, y, z = t.x_min + col * gsd, t.y_max - row * gsd, t.z_ref
+    c = [getattr(t, f"r{i}0") * x + getattr(t, f"r{i}1") * y + getattr(t, f"r{i}2") * z + getattr(t, f"t{a}") for i, a in enumerate("xyz")]
+    with np.errstate(all="ignore"):
+        pu, pv = t.fx * c[0] / c[2] + t.cx, t.fy * c[1] / c[2] + t.cy
+        inside = (c[2] > 1e-6) & (np.rint(pu) >= 0) & (np.rint(pu) <= t.width - 1) & (np.rint(pv) >= 0) & (np.rint(pv) <= t.height - 1)
+    row, col, pu, pv = row[inside], col[inside], pu[inside], pv[inside]
+    v, u = np.floor(pv), np.floor(pu)
+    i, j = (v + 1).astype(np.int64) - t.tv * TILE, (u + 1).astype(np.int64) - t.tu * TILE
+    own = (i >= 0) & (i < TILE) & (j >= 0) & (j < TILE)
+    row, col, pu, pv, v, u, i, j = (a[own] for a in (row, col, pu, pv, v, u, i, j))
+    g = np.zeros(len(row))
+    for dv in (0, 1):
+        for du in (0, 1):
+            g += (1.0 - np.abs(pv - v - dv)) * (1.0 - np.abs(pu - u - du)) * gray[i + dv, j + du]
+    return row, col, g
