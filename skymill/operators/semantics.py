@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skymill.functions.taxonomy import BACKGROUND_ID, CAR_PLACEHOLDER, CLASS_NAMES, DYNAMIC_CLASS_IDS
 from skymill.operators.confidence import clip
+from skymill.operators.pixels import pixel_runs
+from skymill.runtime import shuffled
 
 N_CLASSES = len(CLASS_NAMES)
 
@@ -17,9 +19,15 @@ def invert_tracks(observations: DataFrame, retained: DataFrame) -> DataFrame:
 
 
 def observed_classes(observations: DataFrame, mask_pixels: DataFrame) -> DataFrame:
-    """Class under each observation; half-even pixel rounding, missing masks and outside pixels fall away."""
+    """Class under each observation; half-even pixel rounding, missing masks and outside pixels fall away.
+
+    Masks have far more pixels than observations: they come as runs of a pixel row, and an observation takes its place in one.
+    """
     at = observations.withColumns({"row": F.rint("v").cast("long"), "col": F.rint("u").cast("long")})
-    return at.join(mask_pixels.select("image_id", "row", "col", "class_id"), ["image_id", "row", "col"])
+    met = at.join(shuffled(pixel_runs(mask_pixels, "class_id")), ["image_id", "row"])
+    met = met.where((F.col("col") >= F.col("lo")) & (F.col("col") < F.col("lo") + F.size("run")))
+    place = F.get("run", (F.col("col") - F.col("lo")).cast("int"))
+    return met.select("image_id", "row", "col", *[c for c in observations.columns if c != "image_id"], place.alias("class_id"))
 
 
 def tag_first_seen(points: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from skymill.operators import raster as rs
+from skymill.operators import semantics as sm
 from skymill.operators.pixels import TILE, pixel_runs
 
 
@@ -21,6 +22,16 @@ def test_runs_hold_every_pixel_and_stay_within_tiles(spark):
         assert runs.where(F.floor((F.col("lo") + 1) / TILE) != F.floor((F.col("lo") + F.size("run")) / TILE)).count() == 0
 
 
+def test_observations_take_their_class_from_runs(spark):
+    obs = spark.range(2000).select((F.col("id") % 4).alias("image_id"), F.col("id").alias("obs_idx"), (F.col("id") % 613 / 2.0 - 1).alias("u"), (F.col("id") % 17 / 2.0 - 1).alias("v"))
+    px = _table(spark)
+    got = sm.observed_classes(obs, px)
+    want = obs.withColumns({"row": F.rint("v").cast("long"), "col": F.rint("u").cast("long")}).join(px, ["image_id", "row", "col"])
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 500
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
 def test_mosaic_of_pictures_of_several_tiles(spark):
     h, w, gsd = 270, 300, 3.0
     poses = pd.DataFrame([{"session_id": 1, "image_id": i, "r00": 1.0, "r01": 0.0, "r02": 0.0, "r10": 0.0, "r11": -1.0, "r12": 0.0, "r20": 0.0, "r21": 0.0, "r22": -1.0, "tx": -10.0 * i, "ty": 5.0 * i, "tz": 60.0, "fx": 64.0, "fy": 64.0, "cx": 150.0, "cy": 135.0, "width": w, "height": h} for i in range(3)])
